@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,20 @@ LOWER = UPPER.lower()
 _fallback: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Once per application, give the executors this package, which they may not have on their path."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='auditlake-')}/auditlake", "zip", root, "auditlake"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,6 +59,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: cuts lineage and survives lost executors."""
+    ship(df.sparkSession)
     path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from auditlake.llm import exact_dedup
+from auditlake.llm import exact_dedup, packing
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {"op1_packing": packing.op1_packing, "op7_exact_dedup": exact_dedup.op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7}
+    return {"op1_packing": packing.op1_packing, "op7_exact_dedup": exact_dedup.ORACLE_OP7}
