@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import documents, lower_ascii, table_path, written
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; changes are checkpointed as logs, and no file is allocated ahead, as there are many small stores.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _located(docs: DataFrame) -> tuple[DataFrame, Column]:
@@ -39,14 +43,16 @@ def _fold(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(rows.schema).parquet(path)
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         state.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, keep struct<doc_id: bigint, locator: string>, group_size bigint, batch int"
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(out)
@@ -75,7 +81,7 @@ def _verify(docs: DataFrame, where: Column, norm: Column, rows: DataFrame, state
     """Compare the whole text of every hit with the text that its group keeps."""
     shared = state.where("group_size > 1")
     hits = rows.join(shared.select("digest", F.col("keep.locator").alias("kept_at")), "digest").select("digest", "locator", "kept_at")
-    texts = docs.select(where.alias("locator"), norm.alias("norm")).join(hits, "locator")
+    texts = written(docs.select(where.alias("locator"), norm.alias("norm")).join(hits, "locator"), "dedup-hits")
     kept = texts.where("locator = kept_at").select("digest", F.col("norm").alias("kept_norm"))
     others = texts.where("locator <> kept_at").select("digest", "norm")
     wrong = others.join(kept, "digest").where("norm <> kept_norm").limit(1).count()
