@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from auditlake.llm import exact_dedup, packing
+from auditlake.llm import exact_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {"op1_packing": packing.op1_packing, "op4_substring_dedup": substring_dedup.op4_substring_dedup, "op7_exact_dedup": exact_dedup.op7_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
