@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from auditlake.llm import exact_dedup, packing, substring_dedup
+from auditlake.llm import exact_dedup, language, near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
-    return {"op1_packing": packing.op1_packing, "op4_substring_dedup": substring_dedup.op4_substring_dedup, "op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_language_id": language.op8_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_packing": packing.op1_packing, "op7_exact_dedup": exact_dedup.ORACLE_OP7}
+    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7}
