@@ -102,10 +102,3 @@ def told(hashes: np.ndarray, bits: pa.Table, buckets: int) -> np.ndarray:
         out[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
     return out
 
-
-def starts_earlier(hashes: np.ndarray, ids: np.ndarray, distinct: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    """For windows in order of their document's id: does the hash also start in a smaller id, here or in an earlier chunk?"""
-    where = np.searchsorted(distinct, hashes)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, where, ids)
-    return earlier[where] | (least[where] < ids)

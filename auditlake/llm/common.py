@@ -18,7 +18,6 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_VALUE = np.random.default_rng(20240).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -125,6 +124,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting is many times faster here than hashing)."""
+    ranked = np.sort(values)
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return ranked[new]
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, each value's place among them, an order that sorts, and where each distinct value begins in it."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place, order, np.flatnonzero(new)
+
+
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of every text: (64-bit hash, document index, first byte, past the last byte)."""
     data, at = text_bytes(column)
@@ -137,11 +158,22 @@ def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray
     edge[at] = True
     starts = solid.copy()
     starts[1:] &= ~solid[:-1] | edge[1:n]
-    ends = solid.copy()
+    ends = solid
     ends[:-1] &= ~solid[1:] | edge[1:n]
     first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    doc = np.searchsorted(at, first, side="right") - 1
-    return rolling(_BYTE_VALUE[_LOWER[data] if lower else data], first, last), doc, first, last
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(first, at)))
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if lower else data
+    # Eight bytes from any position.
+    eight = np.ndarray(n + 1, np.uint64, padded, 0, (1,))
+    left = last - first
+    h = mix((eight[first] & _MASK[np.minimum(left, 8)]) * _BASE + left.astype(np.uint64))
+    rest, step = np.flatnonzero(left > 8), 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (eight[first[rest] + step] & _MASK[np.minimum(left[rest] - step, 8)]) * _BASE)
+        step += 8
+        rest = rest[left[rest] > step]
+    return h, doc, first, last
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, rolling, slices, windows, words, written
+from auditlake.llm.common import distinct, documents, rolling, slices, windows, words, written
 from auditlake.llm.components import components
 
 SHINGLE = 4
@@ -53,7 +53,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     many = np.diff(at)
     short = np.flatnonzero((many > 0) & (many < size))
     whole = dict(zip(short.tolist(), rolling(h, at[short], at[short + 1]), strict=True)) if len(short) else {}
-    return [np.unique(grams[where[i] : where[i + 1]]) if many[i] >= size else np.array([whole[i]] if i in whole else [], np.uint64) for i in range(len(many))]
+    return [distinct(grams[where[i] : where[i + 1]]) if many[i] >= size else np.array([whole[i]] if i in whole else [], np.uint64) for i in range(len(many))]
 
 
 def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:

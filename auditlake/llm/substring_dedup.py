@@ -22,54 +22,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import chunks
-from auditlake.llm.common import documents, slices, windows, words
+from auditlake.llm.common import distinct, documents, grouped, slices, windows, words
 
 SIZE = 13
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<start: bigint, stop: bigint>>, kept_text string"
 
 
-def _sorted(table: pa.Table) -> pa.Table:
-    return table.take(pa.array(np.argsort(table.column("doc_id").to_numpy(), kind="stable")))
-
-
 def _windows(table: pa.Table, size: int):
-    """For parts of the chunk's documents in order of id: rows, words' documents, window hashes, first words."""
-    for part in slices(table, "text", 2 << 20):
+    """For parts of the chunk's documents: rows, words' documents, window hashes, first words."""
+    for part in slices(table, "text", 1 << 20):
         h, doc, _, _ = words(part.column("text"))
         yield (part, doc, *windows(h, doc, size))
 
 
 def _distinct(table: pa.Table, size: int) -> np.ndarray:
-    found = [np.unique(h) for _, _, h, _ in _windows(table, size)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [h for _, _, h, _ in _windows(table, size)]
+    return distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def _remove(table: pa.Table, bits: pa.Table, size: int, buckets: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_text", pa.string())])
     if not table.num_rows:
         return schema.empty_table()
-    table = _sorted(table)
-    distinct = _distinct(table, size)
-    earlier = chunks.told(distinct, bits, buckets)
-    # Within the chunk, the smallest id that has a hash; then every window is judged.
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    for part, doc, h, first in _windows(table, size):
-        where = np.searchsorted(distinct, h)
-        ids = part.column("doc_id").to_numpy()[doc[first]]
-        # Ids ascend, so the first window of a hash in this part has its smallest id.
-        at, which = np.unique(where, return_index=True)
-        least[at] = np.minimum(least[at], ids[which])
-    out = []
-    for part, doc, h, first in _windows(table, size):
-        where = np.searchsorted(distinct, h)
-        ids = part.column("doc_id").to_numpy()
-        again = first[earlier[where] | (least[where] < ids[doc[first]])]
+    parts = list(_windows(table, size))
+    ids = np.concatenate([part.column("doc_id").to_numpy()[doc[first]] for part, doc, _, first in parts])
+    hashes, place, order, begins = grouped(np.concatenate([h for _, _, h, _ in parts]))
+    repeated = chunks.told(hashes, bits, buckets)[place]
+    if len(ids):
+        # An id of this chunk that is smaller than the window's own.
+        repeated |= np.minimum.reduceat(ids[order], begins)[place] < ids
+    out, done = [], 0
+    for part, doc, _, first in parts:
+        again = first[repeated[done : done + len(first)]]
+        done += len(first)
         cover = np.zeros(len(doc) + 1, np.int64)
         np.add.at(cover, again, 1)
         np.add.at(cover, again + size, -1)
         gone = np.cumsum(cover[:-1]) > 0
         at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        for i, (doc_id, text) in enumerate(zip(ids.tolist(), part.column("text").to_pylist(), strict=True)):
+        for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
             own, raw = gone[at[i] : at[i + 1]], text.encode().split()
             n = int(own.sum())
             edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist() if n else []
