@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ END = 2
 #: Words whose ids a worker remembers.
 CACHE = 1_000_000
 
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 _workers: dict[str, _Ids] = {}
 
@@ -60,30 +62,47 @@ class _Ids:
         self.many = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+    def _add(self, new: list[bytes], ids: list[list[int]]) -> None:
         many = np.fromiter(map(len, ids), np.int64, len(ids))
         n, total = len(self.index), int(many.sum())
         while n + len(new) > len(self.first):
             self.first, self.many = np.concatenate([self.first, self.first * 0]), np.concatenate([self.many, self.many * 0])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.flat[self.used : self.used + total] = [i for x in ids for i in x]
+        self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
         self.many[n : n + len(new)] = many
         self.first[n : n + len(new)] = self.used + np.cumsum(many) - many
         self.used += total
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def _known(self, word: bytes) -> list[int]:
+        at = self.index[word]
+        return self.flat[self.first[at] : self.first[at] + self.many[at]].tolist()
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode words. Case is dropped, and a mark after a letter or digit is a piece of its own, so variants of one word are encoded once."""
+        cores = []
+        for w in new:
+            core = w if b"<" in w else w.lower()
+            cores.append((core[:-1], core[-1:]) if core[-1:] in _MARKS and core[-2:-1].isalnum() else (core, b""))
+        fresh = list(dict.fromkeys(c for pair in cores for c in pair if c and c not in self.index))
+        self._add(fresh, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)])
+        variants = {w: pair for w, pair in zip(new, cores, strict=True) if w not in self.index}
+        self._add(list(variants), [self._known(core) + (self._known(mark) if mark else []) for core, mark in variants.values()])
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
         split = [t.split() for t in texts]
         if len(self.index) > CACHE:
             self.clear()
-        known = self.index
-        new = list(dict.fromkeys(w for x in split for w in x if w not in known))
-        if new:
-            self.learn(new)
-        where = np.fromiter((known[w] for x in split for w in x), np.int64, sum(map(len, split)))
+        every = list(chain.from_iterable(split))
+        found = list(map(self.index.get, every))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            self.learn(list(dict.fromkeys(every[i] for i in missing)))
+            for i in missing:
+                found[i] = self.index[every[i]]
+        where = np.array(found, np.int64)
         many = self.many[where]
         ends = np.cumsum(many)
         total = int(ends[-1]) if len(ends) else 0
