@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from auditlake.llm import exact_dedup, language, near_dedup, packing, substring_dedup
+from auditlake.llm import decontamination, exact_dedup, language, near_dedup, packing, pii, scoring, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_pii": pii.op2_pii,
+        "op3_katz_scoring": scoring.op3_katz_scoring,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": language.op8_language_id,
     }
