@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontamination, exact_dedup, language, near_dedup, packing, pii, scoring, substring_dedup
+from auditlake.llm import decontamination, exact_dedup, language, licences, near_dedup, packing, pii, scoring, substring_dedup
+
+
+def pipeline(spark, sf_dir):
+    """The corpus pipeline of the repository's top folder."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -15,8 +22,10 @@ def queries() -> dict:
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": language.op8_language_id,
+        "op9_licence_scan": licences.op9_licence_scan,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7}
+    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7, "op9_licence_scan": licences.ORACLE_OP9}
