@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import decontamination, exact_dedup, language, licences, near_dedup, packing, pii, scoring, substring_dedup
+from auditlake.llm import decontamination, exact_dedup, language, licences, near_dedup, packing, pii, scoring, substring_dedup, suffix_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ def queries() -> dict:
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": language.op8_language_id,
         "op9_licence_scan": licences.op9_licence_scan,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "pipeline": pipeline,
     }
 
