@@ -25,11 +25,11 @@ SENT = "bucket int, chunk int, hashes binary"
 ANSWER = "chunk int, bucket int, bits binary"
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, chunk) dealt by chunk, and the bytes of all texts. A null id counts as the smallest."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-size // CHUNK_BYTES))
+    n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-size // chunk_bytes))
     at = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     bounds = sorted(set(at))
     # The number of bounds below an id, by bisection.

@@ -9,10 +9,11 @@ are joined and the long lists of frequent values are skipped; the signatures of
 pairs that meet are then compared in full. Every candidate that could join two
 groups is confirmed on the full sets.
 
-Lists aren't expanded into all pairs. First each member of a list meets one
-pivot of it; the best candidate of each node is confirmed and the confirmed
-links give groups. Only members of different groups can still be joined, and
-those that share a list meet then.
+Lists aren't expanded into all pairs. In `ROUNDS` rounds each member of a list
+meets two pivots of it; the best candidate of each node is confirmed and the
+confirmed links give groups. Only members of one list but different groups can
+still be joined: they are compared by longer signatures, block by block, and
+what agrees is confirmed.
 
 A pair at the threshold is missed with a probability of about 3e-6 (fewer than
 36 of 64 coordinates agreeing at a similarity of 0.8), and less above it.
@@ -39,9 +40,16 @@ SHINGLE = 4
 PERCENT = 80
 HASHES = 64
 MATCHES = 36
+#: Coordinates of one byte compared of nodes of different groups, and how many must agree: at a similarity of 0.8
+#: fewer do with a probability of about 5e-7.
+LONG = 1024
+LONG_MATCHES = 756
+BLOCK = 2048
+#: Rounds of confirming each node's best pivot of another group.
+ROUNDS = 2
 
 _ROWS = "doc_id bigint, n_shingles bigint, node bigint, signature array<bigint>"
-_RANDOM = np.random.default_rng(811).integers(0, 2**32, (2, 256), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_RANDOM = np.random.default_rng(811).integers(0, 2**32, (2, 1024), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -65,7 +73,7 @@ def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     for n, i in enumerate(full):
         block.append(i)
         held += len(sets[i])
-        if held > 20_000 or n == len(full) - 1:
+        if held * hashes > 2_000_000 or n == len(full) - 1:
             x = np.concatenate([sets[j] for j in block])
             low, high = x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
             starts = np.cumsum([0, *(len(sets[j]) for j in block[:-1])])
@@ -117,6 +125,38 @@ def _matches(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= least)
 
 
+def _across(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lists(key, node, label) that share a list, have different labels and agree in `LONG_MATCHES` of LONG coordinates.
+
+    Lists are cut into blocks of `BLOCK` nodes and pairs of blocks are tasks of
+    their own. Pairs are compared there and only those that agree leave it, each
+    from the least of its common lists.
+    """
+    keys = lists.groupBy("node", "label").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    rows = lists.join(lists.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node")
+    full = rows.join(keys.join(sets.select("node", "long"), "node"), "node")
+    return full.groupBy("key", "bi", "bj").applyInArrow(_agreeing, "a bigint, b bigint").distinct()
+
+
+def _agreeing(table: pa.Table) -> pa.Table:
+    key, bi, bj = (table.column(c)[0].as_py() for c in ("key", "bi", "bj"))
+    node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+    long = np.frombuffer(b"".join(table.column("long").to_pylist()), np.uint8).reshape(len(node), LONG)
+    values, number, many = np.unique(label, return_inverse=True, return_counts=True)
+    out = []
+    if len(values) > 1:
+        keys = [set(k) for k in table.column("keys").to_pylist()]
+        most = number == many.argmax()
+        for i in np.flatnonzero(~most):
+            other = np.flatnonzero((label != label[i]) & (most | (np.arange(len(node)) > i)) & ((bi == bj) | (block != block[i])))
+            other = other[(long[other, :HASHES] == long[i, :HASHES]).sum(axis=1) >= MATCHES]
+            other = other[(long[other] == long[i]).sum(axis=1) >= LONG_MATCHES]
+            out += [(node[i], node[j]) for j in other.tolist() if min(keys[i] & keys[j]) == key]
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -126,29 +166,34 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     posts = nodes.select("node", F.explode("signature").alias("key"))
     shared = posts.groupBy("key").count().where("count > 1")
     # Values that no other node has are the rarest; they fill the prefix first and join nothing.
-    ranked = posts.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
+    ranked = posts.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"), F.sum("count").alias("fame"))
     prefix = F.slice("keys", 1, F.size("keys") - (matches - 1))
-    lists = written(ranked.where(F.size("keys") >= matches).select("node", F.explode(prefix).alias("_k")).select("node", F.col("_k.key").alias("key")), "prefixes")
+    lists = written(ranked.where(F.size("keys") >= matches).select("node", "fame", F.explode(prefix).alias("_k")).select("node", "fame", F.col("_k.key").alias("key")), "prefixes")
     active = written(nodes.join(lists.select("node").distinct(), "node").select("node", "signature"), "active")
 
     texts = rows.select("doc_id", "node").join(active.select("node"), "node").groupBy("node").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"))
     # One text of each node; an id may have several texts, so the node is found again from the text.
-    sets = source.join(texts.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_signed_sets(size), "node bigint, shingles binary")
+    sets = source.join(texts.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").mapInArrow(_signed_sets(size), "node bigint, shingles binary, long binary")
     sets = written(sets.join(active.select("node"), "node", "left_semi"), "sets").dropDuplicates(["node"])
 
-    pivot = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("b"))
-    met = lists.join(pivot, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    best = _matches(met, active, matches).groupBy("a").agg(F.max_by("b", "agree").alias("b"))
-    links = written(_confirmed(best, sets, percent), "near-links")
-    labels = components(links)
-
-    grouped = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    grouped = written(grouped, "grouped")
-    mixed = grouped.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    few = grouped.join(mixed, "key", "left_semi")
-    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    apart = few.join(other, "key").where("label < label_b").select(F.col("node").alias("a"), "b").distinct()
-    more = written(_confirmed(_matches(apart, active, matches), sets, percent), "near-links")
+    # In each round every list has two pivots: any one, and the member whose values are the most frequent, which copies resemble most.
+    labels, links, tried = None, None, None
+    grouped = lists.select("key", "node", "fame", F.col("node").alias("label"))
+    for turn in range(ROUNDS):
+        any_one, famous = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")), F.max(F.struct("fame", "node", "label"))
+        pivots = grouped.groupBy("key").agg(any_one.alias("x"), famous.alias("y")).select("key", F.explode(F.array(F.struct("x.node", "x.label"), F.struct("y.node", "y.label"))).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.label").alias("label_b"))
+        met = grouped.join(pivots, "key").where("label <> label_b").select(F.col("node").alias("a"), "b").distinct()
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        best = _matches(met, active, matches).groupBy("a").agg(F.max_by("b", F.struct("agree", F.xxhash64("b", F.lit(turn)))).alias("b"))
+        best = tried = written(best, "tried")
+        found = written(_confirmed(best, sets, percent), "near-links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        grouped = lists.join(labels, "node", "left").select("key", "node", "fame", F.coalesce("label", "node").alias("label"))
+        mixed = grouped.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+        grouped = written(grouped.join(mixed, "key", "left_semi"), "grouped")
+    more = written(_confirmed(_across(grouped, sets), sets, percent), "near-links")
     labels = components(links.union(more))
 
     named = nodes.select("node", "doc_id", "lost").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id", "lost")
@@ -166,7 +211,8 @@ def _signed_sets(size: int):
             for part in slices(batch, "text", 2 << 20):
                 sets = [s for s in shingle_sets(part.column("text"), size) if len(s)]
                 nodes = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                long = [row.tobytes() for row in (signatures(sets, LONG) >> np.uint32(13)).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(long, pa.binary())], ["node", "shingles", "long"])
 
     return run
 
