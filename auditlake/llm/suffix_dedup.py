@@ -40,6 +40,8 @@ SIZE = 50
 GRAM = 24
 #: Windows of one super-suffix, at most.
 LONGEST = 64
+#: A range holds every window of its strings at once, so chunks and ranges are smaller here than for words.
+CHUNK_BYTES = 8 << 20
 
 _RUNS = "bucket int, chunk int, run binary"
 _ANSWER = "kind int, chunk int, bucket int, bits binary"
@@ -340,8 +342,8 @@ def _remove(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal runs of byte positions), kept (the bytes that stay)."""
-    cut, size = chunks.cut(docs)
-    buckets = chunks.buckets_for(size // 12)
+    cut, size = chunks.cut(docs, chunk_bytes=CHUNK_BYTES)
+    buckets = chunks.buckets_for(size // 3)
     by = cut.groupBy("chunk")
 
     def sender(table: pa.Table) -> pa.Table:
