@@ -13,17 +13,21 @@ LEGACY_ACTIONS = {"block": "denied", "ask": "asked", "warn": "warned", "redact":
 KINDS = ["command", "regex", "path", "entropy", "config_key"]
 
 
+def _records(lines: DataFrame, *more: str) -> DataFrame:
+    """Lines that hold an object; from_json rather than the JSON source, which can't count its good rows."""
+    parsed = F.from_json("value", AUDIT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.where("trim(value) <> ''").select(parsed.alias("x"), *more).where("x._corrupt IS NULL")
+    return rows.select("x.*", *(m.split(" AS ")[-1].split(".")[-1] for m in more)).drop("_corrupt").withColumn("event_time", F.try_to_timestamp("ts"))
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """All records of a folder of day files; blank and broken lines are left out."""
-    rows = spark.read.schema(AUDIT + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    named = rows.select("*", F.col("_metadata.file_name").alias("file"))
-    return named.where("_corrupt IS NULL").drop("_corrupt").withColumn("event_time", F.try_to_timestamp("ts"))
+    return _records(spark.read.text(path), "_metadata.file_name")
 
 
 def stream_audit(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """The log as a stream of files."""
-    rows = spark.readStream.schema(AUDIT + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("maxFilesPerTrigger", files).json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt").withColumn("event_time", F.try_to_timestamp("ts"))
+    return _records(spark.readStream.option("maxFilesPerTrigger", files).text(path))
 
 
 def legacy_fields(line: Column) -> Column:

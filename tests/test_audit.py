@@ -1,0 +1,181 @@
+"""Sources, sinks and streams over temporary folders."""
+
+import http.server
+import json
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditlake.operators import commands as C
+from auditlake.operators import policy as L
+from auditlake.operators import trust as T
+from auditlake.sources import audit as A
+from auditlake.sources import sinks as K
+from auditlake.streaming import streams as X
+
+LINES = [
+    {"kind": "event", "ts": "2024-01-02T10:00:00.000+00:00", "session_id": "s", "user": "u1", "host": "h1", "rule": "r", "action": "warned", "extra": 1},
+    {"kind": "heartbeat", "ts": "2024-01-03T10:00:00.000+00:00", "session_id": "s", "user": "u2", "host": "h1"},
+]
+
+
+@pytest.fixture
+def log(tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "2024-01-02.jsonl").write_text("\n".join([json.dumps(LINES[0]), "", "{broken", json.dumps(LINES[1])]))
+    return str(folder)
+
+
+def test_read_audit_skips_broken_lines(spark, log):
+    rows = A.read_audit(spark, log)
+    assert sorted(r.user for r in rows.collect()) == ["u1", "u2"]
+    assert rows.where("event_time IS NULL").count() == 0
+
+
+def test_lake_retention_and_exports(spark, log, tmp_path):
+    rows = A.read_audit(spark, log).drop("event_time", "file_name")
+    lake = str(tmp_path / "lake")
+    K.write_audit(rows, lake)
+    K.write_audit(rows, lake)
+    assert spark.read.json(lake).count() == 4
+    assert K.apply_retention(spark, lake, 0, "2024-02-01") == 0
+    assert K.apply_retention(spark, lake, 29, "2024-02-01") == 1
+    assert spark.read.json(lake).count() == 2
+    for _ in range(2):
+        assert K.export(rows, {"type": "file", "path": str(tmp_path / "out")}).first()[:2] == (True, 2)
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert K.export(rows, {"type": "none"}).first().skipped == 2
+    assert not K.export(rows, {"type": "what"}).first().ok
+    (tmp_path / "file").write_text("")
+    assert not K.export(rows, {"type": "file", "path": str(tmp_path / "file" / "below")}).first().ok
+
+
+def test_http_export(spark, log):
+    got = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = A.read_audit(spark, log).select("kind", "user").coalesce(1)
+    assert K.export(rows, {"type": "http", "url": f"http://127.0.0.1:{server.server_port}"}).first().ok
+    server.shutdown()
+    assert sum(len(x["records"]) for x in got) == 2
+
+
+def test_legacy_migration(spark, tmp_path):
+    (tmp_path / "old.tsv").write_text("2024-01-02T03:04:05\tPreToolUse\tBash\tblock\tsession=s1\ttypes=A\tcount=1\tA: **\nbad line\n")
+    assert K.migrate_tsv(spark, str(tmp_path / "old.tsv"), "", dry_run=True).count() == 1
+    done = K.migrate_tsv(spark, str(tmp_path / "old.tsv"), str(tmp_path / "lake")).first()
+    assert (done.sent, done.skipped) == (1, 1)
+    assert spark.read.json(str(tmp_path / "lake")).first().migrated_from == "tsv"
+
+
+def test_rules_policy_overrides(spark, tmp_path):
+    (tmp_path / "rules").mkdir()
+    good = {"id": "a", "class": "c", "severity": "LOW", "match": {"kind": "path"}, "message": "m"}
+    (tmp_path / "rules" / "paths.json").write_text(json.dumps({"rules": [good, {"id": "b"}]}))
+    (tmp_path / "rules" / "empty.json").write_text("nothing")
+    rules, problems = A.load_rules(spark, str(tmp_path / "rules"))
+    assert rules.count() == 1 and sorted(r.problem for r in problems.collect()) == ["RULES_FILE_INVALID", "RULE_FIELD_MISSING"] or problems.count() == 2
+    (tmp_path / "policy.json").write_text('{"level":"strict","rule_levels":{"injection":"strict","$comment":"x"}}')
+    row = A.load_policy(spark, str(tmp_path / "policy.json"), L.CLASS_LEVELS).first()
+    assert row.level == "strict" and row.rule_levels["injection"] == "strict" and row.rule_levels["platform"] == "warn" and "$comment" not in row.rule_levels
+    for user, text in (("u1", "{}"), ("u2", "[1]"), ("u3", "{")):
+        (tmp_path / "users" / user).mkdir(parents=True)
+        (tmp_path / "users" / user / "local.json").write_text(text)
+    found = {r.user_name: r.problem for r in A.read_overrides(spark, str(tmp_path / "users" / "*")).collect()}
+    assert found == {"u1": None, "u2": "LOCAL_FILE_INVALID", "u3": "LOCAL_FILE_INVALID"}
+
+
+def test_artifacts_and_tool_events(spark, tmp_path):
+    (tmp_path / "repos" / "a" / "conf").mkdir(parents=True)
+    (tmp_path / "repos" / "a" / "conf" / "x.json").write_text("{}")
+    rows = {r.rel: r.content for r in A.read_artifacts(spark, str(tmp_path / "repos"), ["conf/x.json", "y.md"]).collect()}
+    assert bytes(rows["conf/x.json"]) == b"{}" and rows["y.md"] is None
+    (tmp_path / "calls.jsonl").write_text('{"session_id":"s","tool_name":"Bash","tool_input":{"command":"ls"}}\n\n[1]\n')
+    assert [r.tool_name for r in A.read_tool_events(spark, str(tmp_path / "calls.jsonl")).collect()] == ["Bash"]
+
+
+def test_baselines_keep_the_latest(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "pending", "2024-01-01"), ("r", "trusted", "2024-01-02")], "repo_id string, status string, trusted_at string")
+    K.save_baseline(rows, str(tmp_path / "b"))
+    assert K.latest_baselines(spark, str(tmp_path / "b")).first().status == "trusted"
+
+
+def test_directory_hash_order_and_cap(spark):
+    rows = [("d", f"f{i}", "x") for i in range(501)]
+    a = T.dir_hash(spark.createDataFrame(rows, "dir string, rel string, content string")).first().dir_hash
+    b = T.dir_hash(spark.createDataFrame(rows[::-1], "dir string, rel string, content string")).first().dir_hash
+    assert a == b and a != T.dir_hash(spark.createDataFrame(rows[:500], "dir string, rel string, content string")).first().dir_hash
+
+
+def test_random_lines_never_fail(spark):
+    pick = random.Random(7)
+    parts = ["rm", "-rf", "'", '"', "`", "$(", ")", "|", "&&", ";", "\\", ">", "x=1", "$A", "sudo", "bash -c", "\n", " ", "é", "#", "2>&1"]
+    rows = [(i, " ".join(pick.choices(parts, k=pick.randint(0, 30)))) for i in range(300)]
+    cmds = C.parse_log(spark.createDataFrame(rows, "id long, line string"), "id", "line")
+    assert cmds.where("argv0 IS NULL OR argv0 = ''").count() == 0
+
+
+def _stream(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / name))
+    return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+
+def _run(spark, tmp_path, df, mode="append"):
+    out = []
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda b, n: out.extend(b.collect())).start()
+    q.awaitTermination()
+    return out
+
+
+def test_ingest_and_incremental_export(spark, log, tmp_path):
+    X.start_ingest(spark, log, str(tmp_path / "lake"), str(tmp_path / "c1")).awaitTermination()
+    X.start_ingest(spark, log, str(tmp_path / "lake"), str(tmp_path / "c1")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 2
+    for _ in range(2):
+        X.export_stream(spark, log, str(tmp_path / "x"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "x")).count() == 2
+
+
+def test_stream_memory_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
+    hours = [0, 5, 23, 24, 30, 49]
+    rows = [(i, "s", "r", None, None, "warn", 1704067200 + h * 3600) for i, h in enumerate(hours)]
+    schema = "event_id bigint, session_id string, rule string, target string, agent_id string, decision string, sec bigint"
+    batch = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("sec"))
+    want = {r.event_id: r.suppressed for r in L.session_memory(batch).collect()}
+    assert list(want[i] for i in range(6)) == [False, True, True, False, True, False]
+    live = _stream(spark, tmp_path, "m", rows, schema).withColumn("event_time", F.timestamp_seconds("sec"))
+    assert {r.event_id: r.suppressed for r in _run(spark, tmp_path, X.session_memory(live))} == want
+    assert X.read_state(spark, str(tmp_path / "ck")).count() == 1
+
+
+def test_stream_trust_equals_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
+    rows = [("a", 1, "snapshot", "x", 1), ("a", 2, "approve", None, 0), ("a", 3, "snapshot", "y", 0), ("b", 1, "snapshot", "z", 0)]
+    schema = "repo string, seq bigint, kind string, fingerprint string, findings int"
+    want = sorted(map(tuple, T.trust_history(spark.createDataFrame(rows, schema)).collect()))
+    assert want == [("a", 1, "pending"), ("a", 2, "trusted"), ("a", 3, "quarantined"), ("b", 1, "trusted")]
+    assert sorted(map(tuple, _run(spark, tmp_path, X.trust(_stream(spark, tmp_path, "t", rows, schema))))) == want
+
+
+def test_windows_and_silence(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
+    rows = [(k, u, "r", s, 1704067200 + h * 3600) for k, u, s, h in (("heartbeat", "u1", "s1", 0), ("heartbeat", "u2", "s2", 200), ("event", "u1", "s1", 1))]
+    schema = "kind string, user string, rule string, session_id string, sec bigint"
+    live = _stream(spark, tmp_path, "w", rows, schema).withColumn("event_time", F.timestamp_seconds("sec"))
+    counts = _run(spark, tmp_path, X.rule_counts(live), "complete")
+    assert sorted(r.n for r in counts) == [1, 2]
