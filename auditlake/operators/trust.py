@@ -63,3 +63,15 @@ def trust_history(events: DataFrame) -> DataFrame:
 
     rows = events.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "fingerprint", F.col("findings").cast("int").alias("findings")))).alias("e"))
     return rows.select("repo", F.explode(F.aggregate("e", blank, step, lambda a: a["out"])).alias("o")).select("repo", "o.*")
+
+
+def fingerprint(artifacts: DataFrame, watched: list[str]) -> DataFrame:
+    """Hash of every watched file of each repository, or 'absent'. The watched names are a short constant."""
+    frame = artifacts.select("repo").distinct().join(F.broadcast(artifacts.sparkSession.createDataFrame([(w,) for w in watched], "rel string")))
+    hashed = artifacts.where(F.col("rel").isin(watched)).select("repo", "rel", S.content_hash(F.col("content")).alias("hash"))
+    return frame.join(hashed, ["repo", "rel"], "left").na.fill("absent", ["hash"])
+
+
+def make_baseline(rows: DataFrame) -> DataFrame:
+    """One row per repository: its artifacts as a map, and the hot keys present, sorted. rows: repo, rel, hash, hot_key."""
+    return rows.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("rel", "hash"))).alias("artifacts"), F.array_sort(F.collect_set("hot_key")).alias("hot_keys_present"))

@@ -294,3 +294,49 @@ def _(g):
 
 
 SECRET_TYPES = [r[0] for r in rules.SECRETS]
+
+
+@gold("u01_extra_rules", "kind string, complete boolean", [("command", True, True), ("regex", True, True), ("path", True, False), ("regex", False, False)], ["taken"])
+def _(g):
+    return g.select("event_id", (F.col("kind").isin("command", "regex") & F.col("complete")).alias("taken"))
+
+
+@gold("a14_rule_catalogue", "one int", [(1, len(rules.COMMANDS), True, True)], ["loaded", "unique_ids", "taught"])
+def _(g):
+    spark = g.sparkSession
+    table_ = spark.createDataFrame([(r["id"], r["message"], r["remediation"], r["reference"]) for r in rules.COMMANDS], "id string, message string, remediation string, reference string")
+    made = table_.agg(F.count(F.lit(1)).cast("int").alias("loaded"), (F.count_distinct("id") == F.count(F.lit(1))).alias("unique_ids"), F.bool_and((F.col("message") != "") & (F.col("remediation") != "") & (F.col("reference") != "")).alias("taught"))
+    return g.select("event_id").join(F.broadcast(made))
+
+
+@gold("a17_corpus_gates", "decision string, attack boolean", [("deny", True, "hit"), (None, True, "missed"), ("ask", False, "false alarm"), (None, False, "hit")], ["verdict"])
+def _(g):
+    blocked = F.coalesce(F.col("decision").isin("deny", "ask"), F.lit(False))
+    return g.select("event_id", F.when(blocked == F.col("attack"), "hit").when(F.col("attack"), "missed").otherwise("false alarm").alias("verdict"))
+
+
+QUERIES["r01_fingerprint"] = lambda spark, d: T.fingerprint(table(spark, d, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("rel"), F.col("text").alias("content")), ["0", "1", "none.md"])
+SQL["r01_fingerprint"] = "WITH w(rel) AS (VALUES ('0'), ('1'), ('none.md')), r AS (SELECT DISTINCT source AS repo FROM documents) SELECT r.repo, w.rel, coalesce('sha256:' || sha256(d.text), 'absent') AS hash FROM r CROSS JOIN w LEFT JOIN documents d ON d.source = r.repo AND CAST(d.doc_id AS VARCHAR) = w.rel"
+
+QUERIES["a23_baselines"] = lambda spark, d: T.make_baseline(table(spark, d, "documents").where("doc_id < 40").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("rel"), S.content_hash(F.col("text")).alias("hash"), F.col("lang").alias("hot_key"))).select("repo", F.size("artifacts").cast("long").alias("n"), F.array_join("hot_keys_present", ",").alias("hot"))
+SQL["a23_baselines"] = "SELECT source AS repo, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS hot FROM documents WHERE doc_id < 40 GROUP BY 1"
+
+QUERIES["r03_doc_findings"] = lambda spark, d: I.score(table(spark, d, "pages"), "page_id", "html").where("confidence <> 'low'").select(F.col("id").alias("page_id"), F.concat(F.lit("injection:"), "classes").alias("key"))
+SQL["r03_doc_findings"] = "SELECT page_id, 'injection:' AS key FROM pages WHERE regexp_matches(html, '(?i)ignore\\s+(all\\s+)?previous\\s+instructions')"
+
+QUERIES["r08_scan_repos"] = lambda spark, d: table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.count_if(F.col("doc_id") % 10 == 0).cast("int").alias("changed"), F.lit(0).alias("findings")).withColumn("status", T.status(F.col("changed"), F.col("findings"), F.lit("trusted"))).select("repo", "status", (F.col("status") == "trusted").alias("clean"))
+SQL["r08_scan_repos"] = "SELECT source AS repo, CASE WHEN count(*) FILTER (doc_id % 10 = 0) > 0 THEN 'quarantined' ELSE 'trusted' END AS status, count(*) FILTER (doc_id % 10 = 0) = 0 AS clean FROM documents GROUP BY 1"
+
+
+@gold("j18_change_evidence", "file string, key string, changed boolean", [("a.json", "hooks", True, "hooks → a.json"), ("b.json", "env", False, None)], ["evidence"])
+def _(g):
+    moved = g.where("changed").select("event_id")
+    kept = g.join(moved, "event_id", "left_semi").select("event_id", F.concat("key", F.lit(" → "), "file").alias("evidence"))
+    return g.select("event_id").join(kept, "event_id", "left")
+
+
+@gold("w08_one_per_root", "root string, item string", [("hooks", "a", True), ("hooks", "b", False), ("env", "c", True)], ["first"])
+def _(g):
+    rows = g.withColumn("file", F.expr("event_id div 3"))
+    first = L.first_match(rows, ["item"], ["file", "root"]).select("event_id", F.lit(True).alias("first"))
+    return g.select("event_id").join(first, "event_id", "left").withColumn("first", F.coalesce("first", F.lit(False)))
