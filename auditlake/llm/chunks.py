@@ -32,9 +32,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_b
     n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-size // chunk_bytes))
     at = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     bounds = sorted(set(at))
+    if not bounds:
+        return rows.withColumn("chunk", F.lit(0)).repartition(1, "chunk"), size
     # The number of bounds below an id, by bisection.
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    chunk = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & (F.get(F.lit(bounds) if bounds else F.array(F.lit(0)), F.least(a + s, F.lit(len(bounds))) - 1) < F.col("doc_id")), a + s).otherwise(a))
+    below = lambda n: F.get(F.lit(bounds), F.least(n, F.lit(len(bounds))) - 1) < F.col("doc_id")
+    chunk = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & below(a + s), a + s).otherwise(a))
     return rows.withColumn("chunk", chunk).repartition(len(bounds) + 1, "chunk"), size
 
 

@@ -112,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     longest = items.agg(F.max("n")).first()[0] or 0
     grams = items.select("item_id", F.posexplode("grams").alias("at", "gram"))
     parts = [np.frombuffer(r["bits"], np.uint8) for r in grams.select("gram").repartition(4).mapInArrow(_filter, "bits binary").collect()]  # four filters of constant size
-    shared = spark.sparkContext.broadcast(np.bitwise_or.reduce(parts).tobytes())
+    shared = spark.sparkContext.broadcast(np.bitwise_or.reduce(parts or [np.zeros(FILTER_BITS // 8, np.uint8)]).tobytes())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     regions = written(source.mapInArrow(_regions(shared, longest), _REGIONS).withColumn("region", F.monotonically_increasing_id()), "regions")
 

@@ -92,8 +92,8 @@ def _verify(docs: DataFrame, where: Column, norm: Column, rows: DataFrame, state
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents without exact copies; all columns stay as they are."""
     docs, where = _located(docs)
-    gone = exact_dedup(docs).where("not kept").select("locator")
-    return docs.withColumn("_locator", where).join(gone, F.col("_locator") == F.col("locator"), "left_anti").select(*docs.columns)
+    gone = exact_dedup(docs).where("not kept").select(F.col("locator").alias("_gone"))
+    return docs.withColumn("_locator", where).join(gone, F.col("_locator") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

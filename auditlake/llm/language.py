@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.common import documents, fold, slices
 
@@ -142,7 +143,7 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: i
 def identify(docs: DataFrame, model: dict[str, str], keep: list[str] = ()) -> DataFrame:
     """keep columns, lang_pred and score of every document; reads text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most chars_per_lang characters for each language
-    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tuple(sorted(shared.value.items())))
@@ -161,7 +162,6 @@ def identify(docs: DataFrame, model: dict[str, str], keep: list[str] = ()) -> Da
                 pred = [parser.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
@@ -172,8 +172,9 @@ def trained(docs: DataFrame) -> dict[str, str]:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is found; all columns stay as they are."""
-    found = identify(docs, trained(docs), docs.columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    # The row travels as one column, so that no name of its own can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return identify(rows, trained(docs), ["_row"]).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,9 +218,9 @@ def _signed_sets(size: int):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's smallest; all columns stay as they are."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose id is their component's smallest; all columns stay as they are. An id with several texts stays if one of them does."""
+    gone = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("not _kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,16 +156,37 @@ def _knapsack(price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), pattern
 
 
-def column_generation(demand: np.ndarray, rounds: int = 3000, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _largest_first(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: fill a sequence with the largest classes left, and repeat that until one of its classes is used up.
+
+    Every pattern uses up a class that no later one has, so the patterns are independent.
+    """
+    size, patterns, level = len(left), [], []
+    open_ = left > 0
+    while open_.any():
+        pattern, room = np.zeros(size, np.int64), size
+        for w in np.flatnonzero(open_)[::-1]:
+            if w < room:
+                pattern[w] = room // (w + 1)
+                room -= pattern[w] * (w + 1)
+        own = np.flatnonzero(pattern)
+        times = left[own] / pattern[own]
+        out = own[times.argmin()]
+        patterns.append(pattern)
+        level.append(times.min())
+        left[own] = np.maximum(left[own] - times.min() * pattern[own], 0)
+        open_[out] = False
+    return np.array(patterns), np.array(level)
+
+
+def column_generation(demand: np.ndarray, rounds: int = 1500, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one per row, over classes of 1..n units) and how often each is used, fractional, to cover demand with few sequences."""
     size = len(demand)
     have = np.flatnonzero(demand)
     if not len(have):
         return np.zeros((0, size), np.int64), np.zeros(0)
-    patterns = np.zeros((len(have), size), np.int64)
-    patterns[np.arange(len(have)), have] = size // (have + 1)
-    inverse = np.diag(1.0 / patterns[np.arange(len(have)), have])
-    level = inverse @ demand[have].astype(float)
+    patterns, level = _largest_first(demand.astype(float))
+    inverse = np.linalg.inv(patterns[:, have].T.astype(float))
     for _ in range(rounds):
         dual = inverse.sum(axis=0)
         price = np.full(size, -1.0)

@@ -203,7 +203,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
             up.append(win)
         node //= 2
         level = up
-    win, last = level[0], 0
+    win, last = level[0], -1
     while head[win] is not None:
         s = head[win]
         yield win, place[win], share[win] == len(s) == last
