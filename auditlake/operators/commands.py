@@ -9,7 +9,7 @@ frontier is written after each round, and an empty one ends the loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.paths import basename, expand_path, fnmatch_to_regex, glob_match, glob_to_regex, is_root_target, outside_cwd
@@ -294,6 +294,14 @@ def parse_log(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
     return every.withColumn("warnings", F.concat("warnings", deep)).drop("inner", "runs").unionByName(unknown, allowMissingColumns=True)
 
 
+def parse_limits(cmds: DataFrame) -> DataFrame:
+    """C11: a line's first commands up to the limit; where there are more, the last that stays carries a warning."""
+    n = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
+    rows = cmds.withColumn("_n", n).where(F.col("_n") <= MAX_COMMANDS + 1)
+    over = F.when(F.col("_n") > MAX_COMMANDS, F.array_append(F.coalesce("warnings", F.array().cast("array<string>")), F.lit("too_many_commands"))).otherwise(F.col("warnings"))
+    return rows.withColumn("warnings", over).drop("_n")
+
+
 def command_context(cmds: DataFrame, cwd: Column, home: Column, branch: Column, protected: list[str]) -> DataFrame:
     """Expanded operands and redirects, targets outside the working directory or at a root, protected branches."""
     patterns = _strings([fnmatch_to_regex(p) for p in protected])

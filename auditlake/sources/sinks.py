@@ -130,3 +130,8 @@ def apply_retention(spark: SparkSession, path: str, days: int, today: str) -> in
     for day in old:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}"), True)
     return len(old)
+
+
+def flush_summary(exported: DataFrame, rotated: int, states: int) -> DataFrame:
+    """One row on a flush: day folders removed, states expired, and what the export did."""
+    return exported.select(F.lit(rotated).cast("long").alias("rotated"), F.lit(states).cast("long").alias("states"), "sent", "skipped", "ok", "reason")

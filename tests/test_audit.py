@@ -128,6 +128,13 @@ def test_random_lines_never_fail(spark):
     assert cmds.where("argv0 IS NULL OR argv0 = ''").count() == 0
 
 
+def test_command_limit_and_flush_row(spark):
+    line = "; ".join(f"echo {i}" for i in range(300))
+    cmds = C.parse_limits(C.parse_log(spark.createDataFrame([(1, line), (2, "ls")], "id long, line string"), "id", "line")).collect()
+    assert len(cmds) == C.MAX_COMMANDS + 2 and [r.argv0 for r in cmds if r.warnings == ["too_many_commands"]] == ["echo"]
+    assert K.flush_summary(K.result(spark, True, 3), 1, 2).first()[:4] == (1, 2, 3, 0)
+
+
 def _stream(spark, tmp_path, name, rows, schema):
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / name))
     return spark.readStream.schema(schema).parquet(str(tmp_path / name))
