@@ -19,6 +19,7 @@ without pieces has no pattern; further columns are passed by.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,9 +36,11 @@ UNIT = 8
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 
-_MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Words encoded at once; the tokenizer keeps far more of each than its ids.
+_BATCH = 1000
+_BETWEEN = b"<|startoftext|>"
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 _workers: dict[str, _Ids] = {}
 
@@ -53,6 +56,7 @@ class _Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        self.between = self.tokenizer.token_to_id(_BETWEEN.decode())
         self.clear()
 
     def clear(self) -> None:
@@ -62,33 +66,32 @@ class _Ids:
         self.many = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _add(self, new: list[bytes], ids: list[list[int]]) -> None:
-        many = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.index), int(many.sum())
+    def _add(self, new: list[bytes], ids: np.ndarray, many: np.ndarray) -> None:
+        n, total = len(self.index), len(ids)
         while n + len(new) > len(self.first):
             self.first, self.many = np.concatenate([self.first, self.first * 0]), np.concatenate([self.many, self.many * 0])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
+        self.flat[self.used : self.used + total] = ids
         self.many[n : n + len(new)] = many
         self.first[n : n + len(new)] = self.used + np.cumsum(many) - many
         self.used += total
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
-    def _known(self, word: bytes) -> list[int]:
-        at = self.index[word]
-        return self.flat[self.first[at] : self.first[at] + self.many[at]].tolist()
-
     def learn(self, new: list[bytes]) -> None:
-        """Encode words. Case is dropped, and a mark after a letter or digit is a piece of its own, so variants of one word are encoded once."""
-        cores = []
-        for w in new:
-            core = w if b"<" in w else w.lower()
-            cores.append((core[:-1], core[-1:]) if core[-1:] in _MARKS and core[-2:-1].isalnum() else (core, b""))
-        fresh = list(dict.fromkeys(c for pair in cores for c in pair if c and c not in self.index))
-        self._add(fresh, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in fresh], add_special_tokens=False)])
-        variants = {w: pair for w, pair in zip(new, cores, strict=True) if w not in self.index}
-        self._add(list(variants), [self._known(core) + (self._known(mark) if mark else []) for core, mark in variants.values()])
+        """Encode words, many in one text: between them stands a special token, which ends a word as its edge does."""
+        odd = [w for w in new if b"<" in w or b">" in w or b"|" in w]
+        for w in odd:
+            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+            self._add([w], np.array(ids, np.uint32), np.array([len(ids)]))
+        plain = [w for w in new if w not in self.index] if odd else new
+        for i in range(0, len(plain), _BATCH):
+            some = plain[i : i + _BATCH]
+            text = _BETWEEN.join(some).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            gap = ids == self.between
+            edges = np.flatnonzero(gap)
+            self._add(some, ids[~gap], np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -116,8 +119,10 @@ def _pieces(capacity: int, vocabulary: str):
         if vocabulary not in _workers:
             _workers[vocabulary] = _Ids(vocabulary)
         tokens = _workers[vocabulary]
+        # Lists of words hold no cycles; collecting them again and again takes longer than the work.
+        gc.disable()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 data, at = text_bytes(part.column("text"))
                 raw = data.tobytes()
                 ids, many = tokens.encode([raw[at[i] : at[i + 1]] for i in range(len(at) - 1)])
