@@ -101,7 +101,8 @@ def super_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = np.repeat(first, parts) + step * LONGEST
     many = np.minimum(np.repeat(many, parts) - step * LONGEST, LONGEST)
-    return np.searchsorted(at, begin, side="right") - 1, begin, many, least[begin]
+    # The least of many hashes is small; mixed again, ranges of it are even.
+    return np.searchsorted(at, begin, side="right") - 1, begin, many, mix(least[begin])
 
 
 def _slices(table: pa.Table) -> Iterator[tuple]:
