@@ -1,87 +1,115 @@
-"""Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 6).
+"""Benchmark decontamination by word pairs and Smith-Waterman alignment (operator 6).
 
-Item texts give n-grams of `SEED` words. One pass over the documents finds where
-n-grams occur, tested by a Bloom filter of constant size, and keeps the regions
-around them. Corpus counts then choose the seeds: of every `SPREAD` consecutive
-n-grams of an item the rarest, so that any copy of SEED + SPREAD - 1 words in a
-row holds a seed, however often it was copied. Regions meet items by joins on
-the exact seed and are aligned word by word; a pair counts if the best local
-alignment reaches `LEAST` of the score of the item aligned with itself.
+A pair counts if the best local alignment of an item of n words reaches `least` of
+the score of the item aligned with itself. An alignment that does has at least
+n * least - 1 matched words whose next matched word follows after one error at
+most, so both are one or two words apart in the item and in the text; all of them
+lie within n * (3 - 2 * least) words of the text. Texts are searched for that many
+places of such word pairs, whatever was edited between them, and what holds them
+is aligned word by word: no pair is lost to the search. The benchmark is taken in
+blocks of constant size, one pass over the documents each.
 
 Defined results: null texts and texts without words match nothing, nor do items
-shorter than a seed; repeated rows give one row for each document id and item,
-the best; a null id is kept as one; an empty table gives an empty result; further
-columns are ignored.
+of fewer than `SHORTEST` words; repeated rows give one row for each document id and
+item, the best; a null id is kept as one; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, mix, slices, windows, words, written
+from auditlake.llm.common import documents, grouped, mix, slices, words, written
 
-SEED = 5
-SPREAD = 4
+SHORTEST = 5
 LEAST = 0.5
 MATCH, MISS, GAP = 2, -1, 1
-#: Bits of the filter: 2 MB, whatever the benchmark's size.
-FILTER_BITS = 1 << 24
+#: Words of the items of a block, and bits of the filter before its pairs.
+BLOCK_WORDS = 1 << 17
+FILTER_BITS = 1 << 22
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
-_ITEMS = "item_id bigint, words binary, n bigint, grams array<bigint>"
-_REGIONS = "doc_id bigint, start bigint, words binary, grams array<bigint>"
-
-
-def _places(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(grams)
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+_FOUND = "doc_id bigint, item_id bigint, seeds bigint, score double"
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             h, doc, _, _ = words(part.column("text"), lower=True)
-            grams, first = windows(h, doc, SEED)
-            at, where = np.searchsorted(doc, np.arange(part.num_rows + 1)), np.searchsorted(doc[first], np.arange(part.num_rows + 1))
-            rows = range(part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()), pa.array(np.diff(at)), pa.array([grams[where[i] : where[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))], ["item_id", "words", "n", "grams"])
-
-
-def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        for p in _places(batch.column("gram").to_numpy().view(np.uint64)):
-            bits[p] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
-def _regions(shared, reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                h, doc, _, _ = words(part.column("text"), lower=True)
-                grams, first = windows(h, doc, SEED)
-                one, two = _places(grams)
-                hit = np.flatnonzero(bits[one] & bits[two])
-                if not len(hit):
-                    continue
-                at, where = np.searchsorted(doc, np.arange(part.num_rows + 1)), first[hit]
-                new = np.ones(len(hit), bool)
-                new[1:] = (doc[where[1:]] != doc[where[:-1]]) | (np.diff(where) > reach)
-                edges = np.append(np.flatnonzero(new), len(hit))
-                ids, out = part.column("doc_id").to_pylist(), []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    d = doc[where[a]]
-                    lo, hi = max(at[d], where[a] - reach), min(at[d + 1], where[b - 1] + SEED + reach)
-                    out.append((ids[d], int(lo - at[d]), h[lo:hi].tobytes(), grams[hit[a:b]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["doc_id", "start", "words", "grams"])
-
-    return run
+            at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], ["item_id", "words"])
+
+
+def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every two words of one document that are one or two words apart."""
+    first = [np.flatnonzero(doc[:-d] == doc[d:]) for d in (1, 2)]
+    return np.concatenate([mix(h[f] * _STEP + h[f + d]) for d, f in zip((1, 2), first, strict=True)]), np.concatenate(first)
+
+
+class _Index:
+    """The word pairs of a block of items: where each occurs, as item and place."""
+
+    def __init__(self, items: list[np.ndarray], least: float):
+        n = np.array([len(w) for w in items])
+        self.items, self.need = items, np.maximum(1, np.ceil(n * least - 1 - 1e-9)).astype(np.int64)
+        self.reach = np.maximum(n, np.ceil(n * (3 - 2 * least))).astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        hashes, self.place = _pairs(np.concatenate(items), owner)
+        self.pairs, _, order, first = grouped(hashes)
+        self.place, self.first, self.count = self.place[order], first, np.diff(np.append(first, len(order)))
+        self.item = owner[self.place]
+        self.bits = np.zeros(FILTER_BITS, bool)
+        self.bits[(self.pairs & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+
+    def met(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, word of the text, place in the block) of every pair that text and items share, by item and word."""
+        pairs, at = _pairs(h, doc)
+        hit = np.flatnonzero(self.bits[(pairs & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
+        pairs, at = pairs[hit], at[hit]
+        k = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        same = self.pairs[k] == pairs
+        k, at = k[same], at[same]
+        count = self.count[k]
+        p = np.repeat(self.first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        item, at, place = self.item[p], np.repeat(at, count), self.place[p]
+        order = np.argsort(item * (len(h) + 1) + at, kind="stable")
+        return item[order], at[order], place[order]
+
+    def regions(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item, first word, past the last word, places met) of what may hold an alignment."""
+        item, at, place = self.met(h, doc)
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1])
+        once = np.flatnonzero(new)
+        i, a = item[once], at[once]
+        last = np.arange(len(i)) + self.need[i] - 1
+        ok = np.flatnonzero(last < len(i))
+        end = last[ok]
+        keep = (i[end] == i[ok]) & (doc[a[end]] == doc[a[ok]])
+        keep &= a[end] - a[ok] < self.reach[i[ok]]
+        ok = ok[keep]
+        if not len(ok):
+            return
+        i, d, reach = i[ok], doc[a[ok]], self.reach[i[ok]]
+        lo = np.maximum(a[ok] - reach, np.searchsorted(doc, d))
+        hi = np.minimum(a[ok] + reach + 1, np.searchsorted(doc, d, side="right"))
+        # Both ends grow with the place in the text, so overlapping neighbours join.
+        cut = np.ones(len(ok), bool)
+        cut[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (lo[1:] > hi[:-1])
+        edges = np.append(np.flatnonzero(cut), len(ok))
+        key = item * (len(h) + 1) + at
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            w = np.searchsorted(key, i[x] * (len(h) + 1) + np.array([lo[x], hi[y - 1]]))
+            seeds = len(np.unique(place[w[0] : w[1]]))
+            if seeds >= self.need[i[x]]:
+                yield int(d[x]), int(i[x]), int(lo[x]), int(hi[y - 1]), seeds
 
 
 def align(item: np.ndarray, text: np.ndarray) -> int:
@@ -98,32 +126,50 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        item, text = batch.column("item").to_pylist(), batch.column("words").to_pylist()
-        score = [align(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) / (MATCH * (len(a) // 8)) for a, b in zip(item, text, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), batch.column("seeds"), pa.array(score, pa.float64())], ["doc_id", "item_id", "seeds", "score"])
+def _search(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, items = shared.value
+        index = _Index([np.frombuffer(w, np.uint64) for w in items], least)
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                h, doc, _, _ = words(part.column("text"), lower=True)
+                ids, out = part.column("doc_id"), []
+                for d, i, lo, hi, seeds in index.regions(h, doc):
+                    score = align(index.items[i], h[lo:hi]) / (MATCH * len(index.items[i]))
+                    if score >= least:
+                        out.append((ids[d].as_py(), names[i], seeds, score))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "seeds", "score"])
+
+    return run
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and words of the items in blocks of about `BLOCK_WORDS` words; the driver holds one partition and one block."""
+    names, block, size = [], [], 0
+    for row in items.toLocalIterator():
+        names.append(row["item_id"])
+        block.append(bytes(row["words"]))
+        size += len(block[-1]) // 8
+        if size >= BLOCK_WORDS:
+            yield names, block
+            names, block, size = [], [], 0
+    if block:
+        yield names, block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, seeds (distinct seeds met), score (0 to 1) of every pair that reaches `least`."""
+    """doc_id, item_id, seeds (places of the item's word pairs met), score (0 to 1) of every pair that reaches `least`, which is above 0.2."""
     spark = docs.sparkSession
-    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, _ITEMS), "items").where(F.size("grams") > 0)
-    longest = items.agg(F.max("n")).first()[0] or 0
-    grams = items.select("item_id", F.posexplode("grams").alias("at", "gram"))
-    parts = [np.frombuffer(r["bits"], np.uint8) for r in grams.select("gram").repartition(4).mapInArrow(_filter, "bits binary").collect()]  # four filters of constant size
-    shared = spark.sparkContext.broadcast(np.bitwise_or.reduce(parts or [np.zeros(FILTER_BITS // 8, np.uint8)]).tobytes())
+    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id bigint, words binary"), "items").where(F.octet_length("words") >= 8 * SHORTEST)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    regions = written(source.mapInArrow(_regions(shared, longest), _REGIONS).withColumn("region", F.monotonically_increasing_id()), "regions")
-
-    counts = regions.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    ranked = grams.join(counts, "gram", "left").select("item_id", "at", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram").alias("g"))
-    ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, SPREAD - 1)
-    seeds = ranked.select("item_id", F.min("g").over(ahead)["gram"].alias("gram")).distinct()
-    met = regions.select("region", F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").groupBy("region", "item_id").agg(F.count(F.lit(1)).alias("seeds"))
-    pairs = met.join(regions.select("region", "doc_id", "words"), "region").join(items.select("item_id", F.col("words").alias("item")), "item_id")
-    scored = pairs.select("doc_id", "item_id", "seeds", "item", "words").mapInArrow(_aligned, "doc_id bigint, item_id bigint, seeds bigint, score double")
-    return scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
+    found = []
+    for block in _blocks(items):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(written(source.mapInArrow(_search(shared, least), _FOUND), "contaminated"))
+        shared.destroy()
+    scored = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], _FOUND)
+    return scored.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -236,6 +236,28 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(docs, items.where("item_id > 9")).count() == 0
 
 
+def test_decontamination_finds_edited_copies(spark):
+    pick = random.Random(5)
+    say = lambda n: ["".join(pick.choices("abcdefghij", k=pick.randint(1, 4))) for _ in range(n)]
+    items = [say(n) for n in (39, 39, 22, 5, 60)]
+    texts = [[], items[0][:]]
+    for item in items:
+        for every in (2, 3, 4, 5, 6, 7, 8):
+            kinds = (lambda w, i: ["new" + w], lambda w, i: [w, "more"], lambda w, i: [])
+            for kind in kinds:
+                copy = [x for i, w in enumerate(item) for x in (kind(w, i) if i % every == every - 1 else [w])]
+                texts.append(say(30) + copy + say(30))
+        texts.append(say(20) + [x for w in item for x in (w, "odd")] + say(20))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    code = {w: k for k, w in enumerate({w for t in texts + items for w in t})}
+    coded = lambda t: np.array([code[w] for w in t], np.uint64)
+    best = {(d, i): decontamination.align(coded(item), coded(t)) / (2 * len(item)) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    want = {k: s for k, s in best.items() if s >= 0.5}
+    assert len(want) > 90
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench).collect()} == want
+
+
 def test_alignment_scores():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontamination.align(a, a) == 10
