@@ -271,6 +271,25 @@ def test_licences(docs):
     assert found == [(15, 1, "MIT")]
 
 
+def test_licence_headers_outside_the_test_tables(spark, docs):
+    gpl3 = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    texts = {
+        100: ("GPL-3.0", gpl3),
+        101: ("GPL-2.0", gpl3.replace("version 3", "version 2")),
+        102: ("AGPL-3.0", gpl3.replace("GNU General", "GNU Affero General")),
+        103: ("LGPL", gpl3.replace("program", "library").replace("GNU General", "GNU Lesser General")),
+        104: ("GPL-3.0", "Licensed under GPL-3.0-or-later"),
+        105: ("GPL-3.0", "Licensed under the GPL v3"),
+        106: ("Apache-2.0", '/*\n * Licensed under the Apache License, Version\n * 2.0 (the "License"); you may not use this file\n * except in compliance with the License.\n */'),
+        107: ("MIT", "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software"),
+        108: ("GPL-3.0", gpl3.replace("\n#", "").removeprefix("# ")),
+        109: (None, "The general public has a license to be wrong.\nThe gnu is free"),
+    }
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id bigint, text string")
+    found = [(r.doc_id, r.family) for r in licences.licence_scan(docs.select("doc_id", "text").unionByName(rows)).collect()]
+    assert sorted(found) == [(15, "MIT"), *((i, f) for i, (f, _) in texts.items() if f)]
+
+
 def test_empty_tables(spark, empty):
     assert packing.pack(common.written(packing.tokenised(empty), "pieces")).count() == 0
     for f in (pii.personal_data, scoring.scores, substring_dedup.remove_repeats, suffix_dedup.remove_repeats, near_dedup.near_duplicates, exact_dedup.exact_dedup, language.keep_identified, licences.licence_scan):
