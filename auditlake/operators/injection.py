@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from auditlake.functions import rules
 from auditlake.functions import scalars as S
 
-SCAN = 200_000
 EVIDENCE = 160
 _SPAN = "array<struct<start: int, stop: int, text: string>>"
 _TOKEN64 = r"([A-Za-z0-9+/]{40,}={0,2})"
@@ -19,7 +18,8 @@ _FLAGS = "(?iU)(?s)"
 
 def regex_spans(text: Column, pattern: str, flags: str = _FLAGS) -> Column:
     """Start, end (0-based) and text of every match, from the gaps before the matches: both come from one regular expression."""
-    both = f"({flags}(.*?)({pattern}))"
+    # \G: no search begins anew at each character behind the last match, which would take the square of the length.
+    both = f"\\G({flags}(.*?)({pattern}))"
     whole, gap = F.regexp_extract_all(text, F.lit(both), 1), F.regexp_extract_all(text, F.lit(both), 2)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Raw and normalised text are searched; a rule's same words count once, as they
     first occur. Texts that no rule fits pass one combined test only.
     """
-    raw = F.left(F.col(text_col), F.lit(SCAN))
+    raw = F.col(text_col)
     hay = docs.select(F.col(id_col).alias("id"), F.posexplode(F.array_distinct(F.array(raw, S.normalize_text(raw)))).alias("hay", "text"))
     hay = hay.where(F.col("text").rlike(_FLAGS + "|".join(f"(?:{r[4]})" for r in rules.INJECTIONS)))
     def hits_of(place: int, r: tuple) -> Column:
@@ -85,7 +85,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def score(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, score, classes and confidence of every text."""
-    base = docs.select(F.col(id_col).alias("id"), F.left(F.col(text_col), F.lit(SCAN)).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     extra = base.select("id", F.when(S.homoglyph_word(F.col("text")).isNotNull(), 1).otherwise(0).alias("glyph"), F.when(decoded_payload(F.col("text")).isNotNull(), 2).otherwise(0).alias("coded"))
     found = scan(docs, id_col, text_col).where(~F.col("quoted")).groupBy("id").agg(F.sum("weight").alias("weight"), F.collect_set("class").alias("classes"))
     both = extra.join(found, "id", "left").withColumn("score", (F.coalesce("weight", F.lit(0)) + F.col("glyph") + F.col("coded")).cast("long"))

@@ -23,11 +23,11 @@ def _levels(docs: DataFrame, col: str, depth: int = DEPTH) -> DataFrame:
     return every
 
 
-def strings(docs: DataFrame, col: str, limit: int = 200_000) -> DataFrame:
+def strings(docs: DataFrame, col: str) -> DataFrame:
     """All strings of a document, depth first, one a line."""
     leaves = _levels(docs, col).where("kind = 'STRING'").select("doc", "path", F.col("v").cast("string").alias("s"))
     joined = leaves.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("path", "s"))).alias("x"))
-    return joined.select(F.col("doc").alias(col), F.left(F.array_join(F.transform("x", lambda y: y["s"]), "\n"), F.lit(limit)).alias("text"))
+    return joined.select(F.col("doc").alias(col), F.array_join(F.transform("x", lambda y: y["s"]), "\n").alias("text"))
 
 
 def keys(docs: DataFrame, col: str) -> DataFrame:
