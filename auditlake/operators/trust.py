@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
 
-FILE_CAP = 2 << 20
-DIR_CAP = 500
-
 
 def dir_hash(files: DataFrame) -> DataFrame:
-    """A10: one hash of a directory's files (dir, rel, content), whatever order they come in; beyond the cap the list ends with a marker."""
-    lines = files.select("dir", F.concat("rel", F.lit(":"), S.content_hash(F.left("content", F.lit(FILE_CAP)))).alias("line"))
+    """A10: one hash of all of a directory's files (dir, rel, content), whatever order they come in."""
+    lines = files.select("dir", F.concat("rel", F.lit(":"), S.content_hash(F.col("content"))).alias("line"))
     listed = lines.groupBy("dir").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    cut = F.when(F.size("lines") > DIR_CAP, F.array_append(F.slice("lines", 1, DIR_CAP), F.lit("truncated"))).otherwise(F.col("lines"))
-    return listed.select("dir", F.sha2(F.array_join(cut, "\n").cast("binary"), 256).alias("dir_hash"))
+    return listed.select("dir", F.sha2(F.array_join("lines", "\n").cast("binary"), 256).alias("dir_hash"))
 
 
 def diff_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -199,3 +199,12 @@ def test_findings_behind_a_long_start(spark):
     assert found[1] > 0 and found[2] > 0 and found[3] == 0
     doc = spark.createDataFrame([('["' + long + '", "end"]',)], "doc string")
     assert J.strings(doc, "doc").first().text.endswith("end")
+
+
+def test_directory_hash_covers_every_file(spark):
+    import hashlib
+
+    rows = [("d", f"{i:04}", "x" * (3 << 20) + "end" if i == 700 else str(i)) for i in range(701)]
+    lines = sorted(f"{rel}:sha256:{hashlib.sha256(text.encode()).hexdigest()}" for _, rel, text in rows)
+    found = T.dir_hash(spark.createDataFrame(rows, "dir string, rel string, content string")).first().dir_hash
+    assert found == hashlib.sha256("\n".join(lines).encode()).hexdigest()
