@@ -15,14 +15,15 @@ repeated rows are packed each; an empty table gives an empty result; a class
 without pieces has no pattern; further columns are passed by.
 """
 
-
-
 from __future__ import annotations
 
-import gc
+import json
+import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,102 +36,94 @@ CAPACITY = 4096
 UNIT = 8
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-#: Words whose ids a worker remembers.
-CACHE = 500_000
+#: Pieces that a task ranks together, at least.
+RANKED = 300
+#: Words whose ids a worker remembers: about 200 bytes each.
+CACHE = 400_000
 
-#: Words encoded at once; the tokenizer keeps far more of each than its ids.
-_BATCH = 1000
-_BETWEEN = b"<|startoftext|>"
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+_LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+_MARK = rb"[!-&(-/:-@\[-`{-~]"
+#: Runs of ASCII marks between plain characters, which the vocabulary always splits off; an apostrophe can begin a suffix.
+_MARKS = re.compile(_MARK + rb"(?:" + rb"|".join(rb"(?<=%s%s)" % (x, _MARK) for x in (rb"[a-z0-9 \t\n\r]", rb"\xc3[\x9f-\xb6\xb8-\xbf]", rb"\A")) + rb")" + _MARK + rb"*+(?=[a-z0-9 \t\n\r]|\xc3[\x9f-\xb6\xb8-\xbf]|\Z)")
+#: Words of lower-case letters alone, or of marks alone: nothing to normalise and nothing to split.
+_PLAIN = re.compile(_LETTER + rb"+|" + _MARK + rb"+")
 _workers: dict[str, _Ids] = {}
 
 
+def _byte_letters() -> str:
+    """The letter by which a byte-level vocabulary writes each byte: itself if it can be seen, else the next free one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return "".join(chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256))
+
+
 class _Ids:
-    """Token ids by word. The vocabulary drops white space and never joins across it, so words can be looked up one by one."""
+    """Token ids by word. The vocabulary drops white space and never joins across it, nor across a letter and a mark, so words are looked up one by one."""
 
     def __init__(self, name: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        self.between = self.tokenizer.token_to_id(_BETWEEN.decode())
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.many = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, new: list[bytes], ids: np.ndarray, many: np.ndarray) -> None:
-        n, total = len(self.index), len(ids)
-        while n + len(new) > len(self.first):
-            self.first, self.many = np.concatenate([self.first, self.first * 0]), np.concatenate([self.many, self.many * 0])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, self.flat * 0])
-        self.flat[self.used : self.used + total] = ids
-        self.many[n : n + len(new)] = many
-        self.first[n : n + len(new)] = self.used + np.cumsum(many) - many
-        self.used += total
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+        path = name if "/" in name else public_tokenizers.path(name)
+        self.whole = Tokenizer.from_file(path)
+        # The same merges without normalising and splitting, for words that need neither.
+        with open(path) as f:
+            setup = json.load(f)
+        self.special = [t["content"].encode() for t in setup["added_tokens"]]
+        setup.update(normalizer=None, added_tokens=[], pre_tokenizer={"type": "CharDelimiterSplit", "delimiter": " "})
+        self.merges = Tokenizer.from_str(json.dumps(setup))
+        self.letters = _byte_letters()
+        # A word that no plain word equals, with one id, stands between words that are encoded together.
+        self.edge = self.letters[0]
+        self.edge_id = self.merges.encode(self.edge, add_special_tokens=False).ids
+        self.index: dict[bytes, bytes] = {}
 
     def learn(self, new: list[bytes]) -> None:
-        """Encode words, many in one text: between them stands a special token, which ends a word as its edge does."""
-        odd = [w for w in new if b"<" in w or b">" in w or b"|" in w]
-        for w in odd:
-            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self._add([w], np.array(ids, np.uint32), np.array([len(ids)]))
-        plain = [w for w in new if w not in self.index] if odd else new
-        for i in range(0, len(plain), _BATCH):
-            some = plain[i : i + _BATCH]
-            text = _BETWEEN.join(some).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            gap = ids == self.between
-            edges = np.flatnonzero(gap)
-            self._add(some, ids[~gap], np.diff(np.concatenate([[-1], edges, [len(ids)]])) - 1)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each has."""
-        split = [t.split() for t in texts]
-        if len(self.index) > CACHE:
-            self.clear()
-        every = list(chain.from_iterable(split))
-        found = list(map(self.index.get, every))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            self.learn(list(dict.fromkeys(every[i] for i in missing)))
-            for i in missing:
-                found[i] = self.index[every[i]]
-        where = np.array(found, np.int64)
-        many = self.many[where]
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[where] - (ends - many), many) + np.arange(total)]
-        ends = np.concatenate([[0], ends])
-        return ids, np.diff(ends[np.cumsum([0, *map(len, split)])])
+        plain = [w for w in new if _PLAIN.fullmatch(w)] if len(self.edge_id) == 1 else []
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            text = f" {self.edge} ".join([w.decode("latin-1").translate(self.letters) for w in some])
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.edge_id[0])
+            raw = ids.tobytes()
+            self.index.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True))
+        rest = [w for w in new if w not in self.index]
+        for i in range(0, len(rest), 1000):
+            some = rest[i : i + 1000]
+            for w, e in zip(some, self.whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.index[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of every text, four bytes each."""
+        # Lower-casing ASCII is what the vocabulary does first; a special token is found before that.
+        split = [(t if any(x in t for x in self.special) else _MARKS.sub(rb" \g<0> ", t.lower())).split() for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.index)
+        if len(self.index) + len(new) > CACHE:
+            self.index.clear()
+            new = set(chain.from_iterable(split))
+        if new:
+            self.learn(list(new))
+        get = self.index.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
 
 def _pieces(capacity: int, vocabulary: str):
+    end = END.to_bytes(4, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _workers:
             _workers[vocabulary] = _Ids(vocabulary)
         tokens = _workers[vocabulary]
-        # Lists of words hold no cycles; collecting them again and again takes longer than the work.
-        gc.disable()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, at = text_bytes(part.column("text"))
-                raw = data.tobytes()
-                ids, many = tokens.encode([raw[at[i] : at[i + 1]] for i in range(len(at) - 1)])
-                docs, rows, pos = part.column("doc_id").to_pylist(), [], 0
-                for doc, n in zip(docs, many.tolist(), strict=True):
-                    own = np.append(ids[pos : pos + n], np.uint32(END)).astype("<u4")
-                    pos += n
-                    rows += [(doc, a, len(own[a : a + capacity]), zlib.crc32(own[a : a + capacity].tobytes()), n + 1) for a in range(0, n + 1, capacity)]
+                raw, rows = data.tobytes(), []
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encode([raw[a:b] for a, b in pairwise(at.tolist())]), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    rows += [(doc, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n) for a in range(0, n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
@@ -161,12 +154,14 @@ def _knapsack(price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), pattern
 
 
-def _largest_first(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis: fill a sequence with the largest classes left, and repeat that until one of its classes is used up.
+def _largest_first(left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first basis, how often each pattern is used, and the class that it uses up.
 
-    Every pattern uses up a class that no later one has, so the patterns are independent.
+    A sequence is filled with the largest classes left, and that is repeated until one of
+    its classes is used up. No later pattern has that class, so the patterns are
+    independent, and triangular in the order of these classes.
     """
-    size, patterns, level = len(left), [], []
+    size, patterns, level, last = len(left), [], [], []
     open_ = left > 0
     while open_.any():
         pattern, room = np.zeros(size, np.int64), size
@@ -179,9 +174,24 @@ def _largest_first(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = own[times.argmin()]
         patterns.append(pattern)
         level.append(times.min())
+        last.append(out)
         left[own] = np.maximum(left[own] - times.min() * pattern[own], 0)
         open_[out] = False
-    return np.array(patterns), np.array(level)
+    return np.array(patterns), np.array(level), np.array(last)
+
+
+def _inverse(patterns: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Inverse of the basis whose columns are the patterns and whose rows the classes in ascending order, by substitution.
+
+    Sums are written out: the driver of a Spark job shouldn't start threads of a linear algebra library.
+    """
+    n = len(last)
+    basis, out = patterns[:, last].T.astype(float), np.zeros((n, n))
+    for i in range(n):
+        row = -(basis[i, :i, None] * out[:i]).sum(axis=0)
+        row[i] += 1
+        out[i] = row / basis[i, i]
+    return out[:, np.argsort(last)]
 
 
 def column_generation(demand: np.ndarray, rounds: int = 1500, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +200,8 @@ def column_generation(demand: np.ndarray, rounds: int = 1500, gap: float = 1e-3)
     have = np.flatnonzero(demand)
     if not len(have):
         return np.zeros((0, size), np.int64), np.zeros(0)
-    patterns, level = _largest_first(demand.astype(float))
-    inverse = np.linalg.inv(patterns[:, have].T.astype(float))
+    patterns, level, last = _largest_first(demand.astype(float))
+    inverse = _inverse(patterns, last)
     for _ in range(rounds):
         dual = inverse.sum(axis=0)
         price = np.full(size, -1.0)
@@ -199,7 +209,7 @@ def column_generation(demand: np.ndarray, rounds: int = 1500, gap: float = 1e-3)
         worth, pattern = _knapsack(price, size)
         if worth <= 1 + gap:
             break
-        column = inverse @ pattern[have].astype(float)
+        column = (inverse * pattern[have]).sum(axis=1)
         usable = np.flatnonzero(column > 1e-9)
         if not len(usable):
             break
@@ -218,7 +228,7 @@ def plan(demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers of patterns that cover the demand: rounded down, then first-fit for what is left."""
     patterns, level = column_generation(demand)
     times = np.floor(level + 1e-6).astype(np.int64)
-    left = demand.astype(np.int64) - times @ patterns if len(patterns) else demand.astype(np.int64)
+    left = demand.astype(np.int64) - (times[:, None] * patterns).sum(axis=0)
     for w in np.flatnonzero(left < 0):
         left[w] = 0
     open_, room = [], []
@@ -242,8 +252,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
     demand = np.zeros(-(-capacity // unit), np.int64)
     for c, n in classed.groupBy("class").count().collect():
         demand[c - 1] = n
-    # Buckets of about 100,000 pieces within a class are ranked on their own and then shifted.
-    buckets = max(1, int(demand.sum()) // 100_000)
+    # Buckets within a class are ranked on their own and then shifted; there are about as many buckets as a bucket has pieces.
+    buckets = np.maximum(1, demand // max(RANKED, math.isqrt(int(demand.sum())))).tolist()
     patterns, times = plan(demand)
     rows, seen, base = [], np.zeros(len(demand), np.int64), 0
     for p, n in zip(patterns, times.tolist(), strict=True):
@@ -255,7 +265,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataF
             slot += k
         base += n
     slots = spark.createDataFrame(rows, "class int, low long, high long, each long, base long, slot0 long")
-    salted = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    salted = classed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(F.lit(buckets), F.col("class") - 1)).cast("int"))
     shift = salted.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     shift = shift.withColumn("shift", F.sum("n").over(Window.partitionBy("class").orderBy("bucket")) - F.col("n")).drop("n")
     order = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "length")
