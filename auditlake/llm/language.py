@@ -1,26 +1,27 @@
-"""Language identification by cross-parsing (operator 8).
+"""Language identification by cross-parsing entropy (operator 8).
 
-For every language a suffix automaton is built over labelled text. A text is
-parsed greedily into the longest phrases that occur in a language's text; the
-language that needs the fewest phrases for each letter wins. Phrases don't
-cross a word's edges, so that a word's phrases are counted once in each worker
-and remembered.
+For every language a suffix automaton is built over running labelled text. A text
+is parsed greedily into the longest phrases that occur in a language's text. c
+phrases over n bytes, each a place in m bytes of labelled text, are a cross
+entropy of c * log2(m) / n bits a byte; the language with the least wins. Case is
+ignored, and runs of ASCII characters that aren't letters count as one space.
 
-What is learned: from each language at most `docs_per_lang` labelled documents
-(those with the smallest hash of the id; a documented bound), and of their
-words the most frequent ones up to `chars_per_lang` characters; both bounds
-keep the model small whatever the corpus. Predictions read whole texts.
+What is learned: of each language the labelled documents with the smallest hash of
+the id, at most `docs_per_lang` and those of up to `LONG` characters first, until
+they hold `chars_per_lang` characters, where the last one is cut. These documented
+bounds keep the model small whatever the corpus. Predictions read whole texts.
 
 Defined results: null text and text without a letter give `und` with score 0;
 a null label teaches nothing; without any label everything is `und`; ties go to
-the first language by name; repeated rows are predicted each; an empty table
-gives an empty result; further columns are passed by.
-The score is 1 - phrases of the winner / phrases of the next language.
+the first language by name; a text of any length is parsed in one pass, with
+memory for the text alone; repeated rows, and rows with one id, are predicted each;
+an empty table gives an empty result; further columns are passed by.
+The score is 1 - entropy of the winner / entropy of the next language.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +32,23 @@ from pyspark.sql import types as T
 
 from auditlake.llm.common import documents, fold, slices
 
-DOCS_PER_LANG = 300
-CHARS_PER_LANG = 40_000
+DOCS_PER_LANG = 100
+CHARS_PER_LANG = 20_000
+LONG = 5_000
+#: Fewer texts than this are parsed one by one.
+LANES = 48
 UNKNOWN = "und"
-#: Words whose phrase counts a worker remembers.
-CACHE = 1_000_000
 
-_WORD = re.compile(r"[^\W\d_]+")
 _workers: dict[int, _Parser] = {}
+_LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
+def running(text: str | None) -> bytes:
+    """The text in lower case, one space for ASCII characters that aren't letters."""
+    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
+
+
+def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts every substring of the text; state 0 is the start."""
     nxt, link, length, last = [{}], [-1], [0], 0
     for c in text:
@@ -70,77 +77,94 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return nxt
 
 
-def phrases(text: str, automaton: list[dict[str, int]]) -> int:
-    """The number of longest-match phrases of the text; an unknown character is a phrase."""
-    n = state = 0
-    for c in text:
-        go = automaton[state].get(c)
-        if go is None:
-            if state:
-                n += 1
-            state = automaton[0].get(c, 0)
-            if not state:
-                n += 1
-        else:
-            state = go
-    return n + (state > 0)
+class _Parser:
+    """For each language its automaton as a table, for parsing many texts side by side.
 
+    A table holds the state after a byte, or its complement if a phrase ends before the
+    byte. States are places of rows in it.
+    """
 
-class _Parser:
-    def __init__(self, model: dict[str, str]):
+    def __init__(self, model: dict[str, bytes]):
         self.langs = sorted(model)
-        self.automata = [suffix_automaton(model[x]) for x in self.langs]
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.counts = np.zeros((1 << 16, len(self.langs) + 1), np.int32)
-
-    def learn(self, new: list[str]) -> None:
-        n = len(self.index)
-        while n + len(new) > len(self.counts):
-            self.counts = np.concatenate([self.counts, self.counts * 0])
-        self.counts[n : n + len(new)] = [[*(phrases(f" {w} ", a) for a in self.automata), sum(map(str.isalpha, w))] for w in new]
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def totals(self, texts: list[str | None]) -> np.ndarray:
-        """Phrases by language, and letters, of every text."""
-        split = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.index) > CACHE:
-            self.clear()
-        known = self.index
-        new = list(dict.fromkeys(w for x in split for w in x if w not in known))
-        if new:
-            self.learn(new)
-        many = np.fromiter(map(len, split), np.int64, len(split))
-        where = np.fromiter((known[w] for x in split for w in x), np.int64, int(many.sum()))
-        sums = np.zeros((len(where) + 1, len(self.langs) + 1), np.int64)
-        np.cumsum(self.counts[where], axis=0, out=sums[1:])
-        ends = np.cumsum(many)
-        return sums[ends] - sums[ends - many]
-
-
-def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
+        texts = [model[x] for x in self.langs]
+        self.bits = np.array([math.log2(len(x) + 1) for x in texts])
+        self.kind, self.tables = np.zeros((len(texts), 256), np.uint8), []
+        for kind, text in zip(self.kind, texts, strict=True):
+            letters = sorted(set(text))
+            # The last kind is that of all bytes that the language's text lacks.
+            kind[:] = len(letters)
+            kind[letters] = np.arange(len(letters))
+            automaton, width = suffix_automaton(text), len(letters) + 1
+            first = np.zeros(width, np.int32)
+            for c, to in automaton[0].items():
+                first[kind[c]] = to * width
+            table = np.tile(~first, (len(automaton), 1))
+            table[0] = first
+            for row, state in zip(table, automaton, strict=True):
+                for c, to in state.items():
+                    row[kind[c]] = to * width
+            self.tables.append(table.ravel())
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """The number of longest-match phrases by language (rows) and text; a byte that a language lacks is a phrase of its own."""
+        size = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        data = np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)
+        size = size[order]
+        at = np.cumsum(size) - size
+        # How many texts are longer than each step.
+        active = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 1), side="left")
+        side = active[active >= LANES].tolist()
+        out = np.empty((len(self.langs), len(texts)), np.int64)
+        for lang, table in enumerate(self.tables):
+            kinds = self.kind[lang][data]
+            count, state = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+            for step, k in enumerate(side):
+                to = table.take(state[:k] + kinds[at[:k] + step])
+                ends = to >> 31
+                count[:k] -= ends
+                np.bitwise_xor(to, ends, out=state[:k])
+            view = memoryview(table)
+            for i in range(int(active[len(side)]) if len(side) < len(active) else 0):
+                s, n = int(state[i]), 0
+                for c in kinds[at[i] + len(side) : at[i] + size[i]].tobytes():
+                    s = view[s + c]
+                    if s < 0:
+                        n += 1
+                        s = ~s
+                count[i] += n
+                state[i] = s
+            odd = np.concatenate([[0], np.cumsum(kinds == self.kind[lang].max())])
+            out[lang, order] = count + (state != 0) + odd[at + size] - odd[at]
+        return out
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits a byte by text (rows) and language, and which texts have a letter."""
+        plain = [running(t) for t in texts]
+        size = np.maximum([len(t) for t in plain], 1)
+        has = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+        return (self.phrases(plain) * self.bits[:, None] / size).T, has
+
+
+def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, bytes]:
     """The text of each language's automaton, learned from rows with a label and a text."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_hash", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
-    bound = rows.select("lang", "_hash").withColumn("_rank", rank).where(F.col("_rank") <= docs_per_lang).groupBy("lang").agg(F.max("_hash").alias("most")).collect()
-    if not bound:
-        return {}
-    # One row for each language.
-    most = F.broadcast(spark.createDataFrame([(r["lang"], r["most"]) for r in bound], "lang string, most long"))
-    sample = rows.join(most, "lang").where(F.col("_hash") <= F.col("most"))
-    counts = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").count()
-    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    counts = counts.withColumn("chars", F.sum(F.length("word") + 1).over(order)).where(F.col("chars") <= chars_per_lang)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.withColumn("size", F.length("text")).withColumn("far", F.col("size") > LONG)
+    # About four times the rows wanted of each language and kind, by hash: what is ranked below stays small at any size.
+    known = rows.groupBy("lang", "far").agg(F.count(F.lit(1)).alias("n"))
+    few = F.pmod(F.col("h"), F.lit(1 << 40)) <= F.ceil(F.lit(docs_per_lang * 4.0) / F.col("n") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy("far", "h")
+    ranked = rows.join(known, ["lang", "far"]).where(few).withColumn("rank", F.row_number().over(order))
+    ranked = ranked.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    chosen = ranked.where((F.col("rank") <= docs_per_lang) & (F.coalesce("before", F.lit(0)) < chars_per_lang))
     model: dict[str, list[str]] = {}
-    for r in counts.select("lang", "word").orderBy("lang", "chars").collect():
-        model.setdefault(r["lang"], []).append(r["word"])
-    return {k: f" {' '.join(v)} " for k, v in model.items()}
+    for r in chosen.select("lang", "rank", F.substring("text", 1, chars_per_lang).alias("text")).orderBy("lang", "rank").collect():
+        model.setdefault(r["lang"], []).append(r["text"])
+    plain = {k: running(f" {' '.join(v)} "[:chars_per_lang]) for k, v in model.items()}
+    return {k: v for k, v in plain.items() if v.strip()}
 
 
-def identify(docs: DataFrame, model: dict[str, str], keep: list[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = ()) -> DataFrame:
     """keep columns, lang_pred and score of every document; reads text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most chars_per_lang characters for each language
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -152,20 +176,18 @@ def identify(docs: DataFrame, model: dict[str, str], keep: list[str] = ()) -> Da
             _workers[key] = _Parser(shared.value)
         parser = _workers[key]
         for batch in batches:
-            for part in slices(batch, "_text"):
-                totals = parser.totals(part.column("_text").to_pylist())
-                rates = totals[:, :-1].astype(float)
-                some = (totals[:, -1] > 0) & (len(parser.langs) > 0)
-                best = rates.argmin(axis=1) if parser.langs else np.zeros(len(rates), int)
-                two = np.sort(rates, axis=1)[:, :2] if len(parser.langs) > 1 else np.ones((len(rates), 2)) * [0.0, 1.0]
-                score = np.where(some, 1 - two[:, 0] / np.maximum(two[:, 1], 1), 0.0)
-                pred = [parser.langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+            for part in slices(batch, "_text", 16 << 20):
+                texts = part.column("_text").to_pylist()
+                bits, has = parser.entropies(texts) if parser.langs else (np.ones((len(texts), 1)), np.zeros(len(texts), bool))
+                best, two = bits.argmin(axis=1), np.sort(bits, axis=1)[:, :2]
+                score = np.where(has, 1 - two[:, 0] / two[:, 1] if two.shape[1] > 1 else 1.0, 0.0)
+                pred = [parser.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def trained(docs: DataFrame) -> dict[str, str]:
+def trained(docs: DataFrame) -> dict[str, bytes]:
     """Learned from the rows that aren't held out: crc32 of the id as text, modulo 3, is not 1."""
     return learn(docs.where(F.coalesce(fold("doc_id", 3), F.lit(0)) != 1))
 

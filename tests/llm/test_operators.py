@@ -216,16 +216,35 @@ def test_language(docs):
     assert {r.lang_pred for r in language.identify(docs, {}, ["doc_id"]).collect()} == {"und"}
 
 
-def test_phrases_are_longest_matches():
-    text = "abcabdabcd"
-    for probe in ("abcd", "abda", "dabx", "xx", "", "cabdabcdab"):
-        n = i = 0
-        while i < len(probe):
-            k = 1
-            while i + k < len(probe) and probe[i : i + k + 1] in text:
-                k += 1
-            i, n = i + k, n + 1
-        assert language.phrases(probe, language.suffix_automaton(text)) == n
+def longest_matches(probe, text):
+    n = i = 0
+    while i < len(probe):
+        k = 1
+        while i + k < len(probe) and probe[i : i + k + 1] in text:
+            k += 1
+        i, n = i + k, n + 1
+    return n
+
+
+@pytest.mark.parametrize("lanes", [2, 100])
+def test_phrases_are_longest_matches(monkeypatch, lanes):
+    monkeypatch.setattr(language, "LANES", lanes)
+    pick = random.Random(1)
+    for _ in range(20):
+        model = {"a": "".join(pick.choices("abc ", k=40)).encode(), "b": "".join(pick.choices("abcdé", k=30)).encode(), "z": b"x"}
+        probes = ["".join(pick.choices("abcdexyé", k=pick.choice([0, 1, 5, 30]))).encode() for _ in range(30)]
+        assert language._Parser(model).phrases(probes).tolist() == [[longest_matches(p, model[x]) for p in probes] for x in "abz"]
+
+
+def test_language_predictions_equal_brute_force(docs):
+    model = language.trained(docs)
+    want = {}
+    for r in ROWS[:-2]:
+        plain = language.running(r[1])
+        bits = {x: longest_matches(plain, model[x]) * np.log2(len(model[x]) + 1) for x in sorted(model)}
+        has = any(c.isalpha() for c in r[1] or "")
+        want[r[0]] = (min(bits, key=bits.get), round(1 - min(bits.values()) / sorted(bits.values())[1], 9)) if has else ("und", 0.0)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.identify(docs, model, ["doc_id"]).collect()} == want
 
 
 def test_decontamination(spark, docs):
