@@ -43,10 +43,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset in local mode, as in tests, one of our own."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _fallback.setdefault(app, tempfile.mkdtemp(prefix="auditlake-"))
     return base.rstrip("/")
@@ -64,6 +66,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to lower case, everything else unchanged; null counts as empty."""
     text = F.coalesce(col, F.lit(""))

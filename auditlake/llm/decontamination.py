@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, grouped, mix, slices, words, written
+from auditlake.llm.common import documents, grouped, mix, slices, unused, words, written
 
 SHORTEST = 5
 LEAST = 0.5
@@ -174,8 +174,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item; all columns stay as they are."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    found = unused("found", docs)
+    ids = contaminated(docs, benchmark).select(F.col("doc_id").alias(found)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(found)), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

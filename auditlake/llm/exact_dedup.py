@@ -2,21 +2,30 @@
 
 Every row becomes (digest, id, locator). A stream keyed by the digest keeps, in a
 disk-backed RocksDB state that never expires, the largest id, its locator and
-the number of rows. Whatever hits an existing key is then checked byte for byte
-against the text at the locator.
+the number of rows. Whatever hits a key that another row has is checked within its
+batch, byte for byte, against the text at the key's locator.
+
+With `state_dir`, rows, state and results stay in that folder: a later call reads
+its own rows alone and meets the keys of all earlier ones. A call that was cut off
+is taken up again where it stopped.
 
 Defined results: null text is empty text; a null id counts as smaller than any
 id; of rows with the same id and text the one with the greatest locator stays;
-an empty table gives an empty result; further columns are passed by. A digest
-shared by unequal texts raises an error instead of dropping a text.
+a text of any length is a digest and is compared only on a hit; an empty table
+gives an empty result; further columns are passed by, whatever their names. A
+digest shared by unequal texts raises an error instead of dropping a text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, lower_ascii, table_path, written
+from auditlake.llm.common import documents, lower_ascii, table_path, unused, written
 
 #: Disk-backed state; changes are checkpointed as logs, and no file is allocated ahead, as there are many small stores.
 _STATE = {
@@ -26,74 +35,89 @@ _STATE = {
 }
 
 
+_ROWS = "doc_id bigint, digest string, locator string, call string"
+_GROUPS = "digest string, keep struct<doc_id: bigint, locator: string>, group_size bigint, batch int"
+
+
+def _where(docs: DataFrame) -> Column:
+    at = docs.metadataColumn("_metadata")
+    return F.concat_ws("#", at["file_path"], at["row_index"].cast("string"))
+
+
 def _located(docs: DataFrame) -> tuple[DataFrame, Column]:
-    """The documents and a locator column; rows that don't come straight from files are written first."""
-    where = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    """The documents and their locators; rows that don't come straight from Parquet files are written first."""
     try:
-        docs.select(where)
-    except Exception:
+        docs.select(_where(docs)).schema  # noqa: B018
+    except AnalysisException:
         docs = written(docs, "located")
-    return docs, where
+    return docs, _where(docs)
 
 
-def _fold(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
-    """One row per digest: keep (id, locator) and group_size, folded by a stateful stream over the staged rows."""
-    out, mark = table_path(spark, "dedup-state"), table_path(spark, "dedup-stream")
+def _fold(spark: SparkSession, base: str, check: Callable[[DataFrame], None]) -> DataFrame:
+    """digest, keep (id, locator) and group_size of every key in the state, after the rows not read yet; check(groups) sees each batch's hits."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        path = f"{base}/groups/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        check(spark.read.parquet(path).where("group_size > 1"))
 
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(rows.schema).parquet(path)
+        stream = spark.readStream.schema(_ROWS).parquet(f"{base}/rows")
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        state.writeStream.outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest string, keep struct<doc_id: bigint, locator: string>, group_size bigint, batch int"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(out)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema).drop("batch")
-    seen = spark.read.schema(schema).parquet(out)
+    try:
+        seen = spark.read.schema(_GROUPS).parquet(f"{base}/groups")
+    except AnalysisException:
+        return spark.createDataFrame([], _GROUPS).drop("batch")
     # A key is written once for each batch that touched it; the last one holds its whole group.
     return seen.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max("group_size").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, locator, digest, keep_id, group_size, kept."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, locator, digest, keep_id, group_size, kept; groups reach over all calls with one state_dir."""
     spark = docs.sparkSession
     docs, where = _located(docs)
-    norm = lower_ascii(F.col(text_col))
-    path = table_path(spark, "dedup-rows")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(norm.cast("binary"), 256).alias("digest"), where.alias("locator")).write.parquet(path)
-    rows = spark.read.schema("doc_id bigint, digest string, locator string").parquet(path)
-    state = written(_fold(spark, rows, path), "dedup-groups")
-    _verify(docs, where, norm, rows, state)
-    joined = rows.join(state, "digest")
+    base = state_dir or table_path(spark, "dedup")
+    call = uuid4().hex
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(lower_ascii(F.col(text_col)).cast("binary"), 256).alias("digest"), where.alias("locator"), F.lit(call).alias("call"))
+    rows.write.mode("append").parquet(f"{base}/rows")
+    every = spark.read.schema(_ROWS).parquet(f"{base}/rows")
+    mine = every.where(F.col("call") == call)
+    texts = docs.select(where.alias("locator"), lower_ascii(F.col(text_col)).alias("norm"))
+    state = written(_fold(spark, base, lambda hits: _verify(hits, mine, texts, text_col)), "dedup-groups")
+    joined = mine.join(state, "digest")
     return joined.select("doc_id", "locator", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"))
 
 
-def _verify(docs: DataFrame, where: Column, norm: Column, rows: DataFrame, state: DataFrame) -> None:
-    """Compare the whole text of every hit with the text that its group keeps."""
-    shared = state.where("group_size > 1")
-    hits = rows.join(shared.select("digest", F.col("keep.locator").alias("kept_at")), "digest").select("digest", "locator", "kept_at")
-    texts = written(docs.select(where.alias("locator"), norm.alias("norm")).join(hits, "locator"), "dedup-hits")
-    kept = texts.where("locator = kept_at").select("digest", F.col("norm").alias("kept_norm"))
-    others = texts.where("locator <> kept_at").select("digest", "norm")
-    wrong = others.join(kept, "digest").where("norm <> kept_norm").limit(1).count()
-    if wrong:
+def _verify(hits: DataFrame, rows: DataFrame, texts: DataFrame, text_col: str) -> None:
+    """Compare the whole text of every row of the hit groups with the text that its group keeps."""
+    spark = hits.sparkSession
+    wanted = rows.join(hits.select("digest", F.col("keep.locator").alias("kept_at")), "digest").select("digest", "locator", "kept_at")
+    found = written(texts.join(wanted, "locator"), "dedup-hits")
+    kept = found.where("locator = kept_at").select("digest", F.col("norm").alias("kept_norm"))
+    others = found.where("locator <> kept_at").select("digest", "norm")
+    # What an earlier call keeps is read from its own file.
+    old = others.select("digest").distinct().join(kept.select("digest"), "digest", "left_anti").join(hits, "digest").select("digest", F.col("keep.locator").alias("locator"))
+    files = [r[0] for r in old.select(F.substring_index("locator", "#", 1)).distinct().collect()]
+    if files:
+        source = spark.read.parquet(*files)
+        kept = kept.union(source.select(_where(source).alias("locator"), lower_ascii(F.col(text_col)).alias("kept_norm")).join(old, "locator").select("digest", "kept_norm"))
+    if others.join(kept, "digest").where("norm <> kept_norm").limit(1).count():
         raise ValueError("two different texts share a digest")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents without exact copies; all columns stay as they are."""
     docs, where = _located(docs)
-    gone = exact_dedup(docs).where("not kept").select(F.col("locator").alias("_gone"))
-    return docs.withColumn("_locator", where).join(gone, F.col("_locator") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone, mark = unused("gone", docs), unused("mark", docs)
+    copies = exact_dedup(docs).where("not kept").select(F.col("locator").alias(gone))
+    return docs.withColumn(mark, where).join(copies, F.col(mark) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import distinct, documents, rolling, slices, windows, words, written
+from auditlake.llm.common import distinct, documents, rolling, slices, unused, windows, words, written
 from auditlake.llm.components import components
 
 SHINGLE = 4
@@ -219,8 +219,9 @@ def _signed_sets(size: int):
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents whose id is their component's smallest; all columns stay as they are. An id with several texts stays if one of them does."""
-    gone = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("_kept")).where("not _kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = unused("gone", docs)
+    ids = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,31 @@ def test_exact_copies(docs):
     assert exact_dedup.drop_copies(docs).count() == len(groups)
 
 
+def test_exact_copies_over_several_calls(spark, tmp_path):
+    state, out = str(tmp_path / "state"), []
+    for n, rows in enumerate([[(1, "a"), (2, "b"), (3, "A")], [(4, "b"), (5, "c"), (0, "a")], [(6, "d")]]):
+        path = str(tmp_path / f"day{n}")
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+        out.append(sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.read.parquet(path), state_dir=state).collect()))
+    assert out == [[(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)], [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)], [(6, 6, 1, True)]]
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    names = ["found", "gone", "mark", "most", "kept", "node", "label", "row", "_row", "_hash", "_gone", "_found", "_locator", "_metadata", "_text", "text_", "h", "n", "rank", "size", "far", "key", "locator", "chunk", "bucket"]
+    frame = spark.createDataFrame([(r[0], r[1], r[2], *names) for r in ROWS], "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    frame.write.parquet(str(tmp_path / "odd"))
+    docs = spark.read.parquet(str(tmp_path / "odd"))
+    items = spark.createDataFrame([(1, ROWS[10][1])], "item_id bigint, text string")
+    for f in (language.keep_identified, exact_dedup.drop_copies, near_dedup.one_of_each, lambda d: decontamination.drop_contaminated(d, items)):
+        for source in (docs, docs.where("doc_id >= 0")):
+            out = f(source)
+            assert out.columns == docs.columns
+            assert 0 < out.count() < len(ROWS) and set(out.select(*names).distinct().collect()) == {tuple(names)}
+    for f in (pii.personal_data, scoring.scores, substring_dedup.remove_repeats, suffix_dedup.remove_repeats, packing.tokenised):
+        assert f(docs).count() >= len(ROWS)
+    assert licences.licence_scan(docs).count() == 1
+
+
 def test_language(docs):
     rows = {r.doc_id: r for r in language.identify(docs, language.trained(docs), ["doc_id"]).collect()}
     assert {k for k, r in rows.items() if r.lang_pred == "und"} == {i for i, r in enumerate(ROWS[:-2]) if not any(c.isalpha() for c in r[1] or "")}
