@@ -98,12 +98,17 @@ def test_base_patterns(text):
 
 
 def test_trees_add_loose_spans(spark):
-    rows = [(i, f"call me at phone +1 ({200 + i}) 555-{1000 + i} today, or write {'x' * (i % 5 + 1)}@mail.example.com") for i in range(300)]
+    rows = [(i, f"call me at phone +1 ({200 + i}) 555-{1000 + i} today, or write {'x' * (i % 5 + 1)}@mail.example.com about the thing that we saw") for i in range(300)]
     rows += [(1000 + i, f"order 4111 1111 1111 {2000 + i} was shipped as part 9999.{i}.3.1") for i in range(300)]
-    rows += [(5000, "call me at phone 1-212-555-1234 today")]
+    right = ["call me at phone <1-212-555-1234> today", "tel <(212) 555-0199> please", "my mobile: <212-555-0134>, thanks", "reach <bob at mail dot example dot com> any day", "write <ann [at] corp [dot] org> now", "paid by card <4111.1111.1111.1111> twice", "visa <3782 822463 10005> used"]
+    wrong = ["invoice 20240131 123456 is due", "a population of 12 345 678 people", "ISBN 978-3-16-148410-0 in print", "stamped 1700000000 by the clock", "rows 10 20 30 40 50 60 of it", "we met at noon. Then it rained", "seen on 2024-01-31 12:30 again", "total 1.234.567 in all", "card 4111 1111 1111 1112 is none", "build 20231105 of the tool"]
+    rows += [(5000 + i, t.replace("<", "").replace(">", "")) for i, t in enumerate(right)] + [(6000 + i, t) for i, t in enumerate(wrong)]
     found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert [(s.kind, s.start) for s in found[5000].spans] == [(3, 17)] and not found[5000].base
-    assert not any(set(map(tuple, r.spans)) - set(map(tuple, r.base)) for k, r in found.items() if 1000 <= k < 1100)
+    got = [[(s.start, s.stop) for s in found[5000 + i].spans] == [(t.index("<"), t.index(">") - 1)] for i, t in enumerate(right)]
+    assert sum(got) >= len(right) - 1, got
+    assert [wrong[i] for i in range(len(wrong)) if found[6000 + i].spans] == []
+    added = sum(len(r.spans) > len(r.base) for k, r in found.items() if 1000 <= k < 1300)
+    assert added <= 3
 
 
 def test_katz_scores(docs):
