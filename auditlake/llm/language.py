@@ -112,30 +112,33 @@ class _Parser:
         data = np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)
         size = size[order]
         at = np.cumsum(size) - size
-        # How many texts are longer than each step.
-        active = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 1), side="left")
-        side = active[active >= LANES].tolist()
         out = np.empty((len(self.langs), len(texts)), np.int64)
         for lang, table in enumerate(self.tables):
             kinds = self.kind[lang][data]
             count, state = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
-            for step, k in enumerate(side):
-                to = table.take(state[:k] + kinds[at[:k] + step])
-                ends = to >> 31
-                count[:k] -= ends
-                np.bitwise_xor(to, ends, out=state[:k])
+            step, k = 0, int((size > 0).sum())
+            while k >= LANES:
+                # The k longest texts, to the end of the shortest of them.
+                for step in range(step, int(size[k - 1])):  # noqa: B020
+                    to = table.take(state[:k] + kinds[at[:k] + step])
+                    ends = to >> 31
+                    count[:k] -= ends
+                    np.bitwise_xor(to, ends, out=state[:k])
+                step = int(size[k - 1])
+                k = int((size > step).sum())
             view = memoryview(table)
-            for i in range(int(active[len(side)]) if len(side) < len(active) else 0):
+            for i in range(k):
                 s, n = int(state[i]), 0
-                for c in kinds[at[i] + len(side) : at[i] + size[i]].tobytes():
+                for c in kinds[at[i] + step : at[i] + size[i]].tobytes():
                     s = view[s + c]
                     if s < 0:
                         n += 1
                         s = ~s
                 count[i] += n
                 state[i] = s
-            odd = np.concatenate([[0], np.cumsum(kinds == self.kind[lang].max())])
-            out[lang, order] = count + (state != 0) + odd[at + size] - odd[at]
+            odd = np.flatnonzero(kinds == self.kind[lang].max())
+            own = np.bincount(np.searchsorted(at + size, odd, side="right"), minlength=len(texts)) if len(odd) else 0
+            out[lang, order] = count + (state != 0) + own
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,10 +154,14 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: i
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     rows = rows.withColumn("size", F.length("text")).withColumn("far", F.col("size") > LONG)
     # About four times the rows wanted of each language and kind, by hash: what is ranked below stays small at any size.
-    known = rows.groupBy("lang", "far").agg(F.count(F.lit(1)).alias("n"))
-    few = F.pmod(F.col("h"), F.lit(1 << 40)) <= F.ceil(F.lit(docs_per_lang * 4.0) / F.col("n") * (1 << 40))
+    few = rows.groupBy("lang", "far").agg(F.ceil(F.lit(docs_per_lang * 4.0) / F.count(F.lit(1)) * (1 << 40)).alias("most")).collect()
+    if not few:
+        return {}
+    # Two rows a language, whose text the model holds anyway.
+    few = F.broadcast(docs.sparkSession.createDataFrame(few, "lang string, far boolean, most long"))
     order = Window.partitionBy("lang").orderBy("far", "h")
-    ranked = rows.join(known, ["lang", "far"]).where(few).withColumn("rank", F.row_number().over(order))
+    rows = rows.join(few, ["lang", "far"]).where(F.pmod(F.col("h"), F.lit(1 << 40)) <= F.col("most"))
+    ranked = rows.withColumn("rank", F.row_number().over(order))
     ranked = ranked.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     chosen = ranked.where((F.col("rank") <= docs_per_lang) & (F.coalesce("before", F.lit(0)) < chars_per_lang))
     model: dict[str, list[str]] = {}
@@ -176,7 +183,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = ()) ->
             _workers[key] = _Parser(shared.value)
         parser = _workers[key]
         for batch in batches:
-            for part in slices(batch, "_text", 16 << 20):
+            for part in slices(batch, "_text", 8 << 20):
                 texts = part.column("_text").to_pylist()
                 bits, has = parser.entropies(texts) if parser.langs else (np.ones((len(texts), 1)), np.zeros(len(texts), bool))
                 best, two = bits.argmin(axis=1), np.sort(bits, axis=1)[:, :2]
