@@ -1,31 +1,42 @@
 """Removal of repeated byte strings by a merge sort of suffixes (operator 10).
 
 A byte goes if a string of `SIZE` bytes that covers it also starts in a document
-with a smaller id. Of all suffixes only those are sorted that can repeat:
-
-1. The windows (suffixes cut at SIZE bytes) that start next to each other and
-   have the same minimiser (the least hash of a `GRAM`-byte string in them) form
-   one super-suffix. Equal windows have equal minimisers, so a minimiser that
-   only one chunk of documents holds can repeat in that chunk alone (chunks.py).
-2. A chunk sorts its other super-suffixes, distinct, within ranges of the
-   minimiser's hash, and sends each range as a front-coded run: common prefix
-   with the string before, and the rest.
-3. A range merges the runs of all chunks with a loser tree in which every string
+with a smaller id. Of all suffixes only those at anchors are sorted. A window of
+SIZE bytes has as its anchor the first place of its minimiser, the least hash of a
+`GRAM`-byte string in it; equal windows have equal minimisers and lie alike around
+their anchors. Windows with one anchor form a super-suffix: what follows from the
+anchor on, and what stands before it.
+
+1. Of the minimisers that only one chunk of documents holds, the chunk itself takes
+   care (chunks.py tells which these are).
+2. A chunk sorts its other super-suffixes, distinct, by what follows the anchor
+   within ranges of the minimiser, and sends each range as a front-coded run: common
+   prefix with the suffix before, and the rest.
+3. A range merges the runs of all chunks with a loser tree in which every suffix
    carries the prefix it shares with the last winner, so that known prefixes
-   aren't compared again. Each distinct string has the first chunk that sent it;
-   so has each window of the distinct strings. A chunk is answered with a bit for
-   each window: does an earlier chunk hold it?
-4. Repeats within a chunk are found by the chunk itself.
-
-Defined results: null text is empty; texts shorter than SIZE lose nothing;
-repeated rows with one id don't remove each other's bytes; a null id counts as
-the smallest; an empty table gives an empty result; further columns are
-ignored. Distinct windows of one range are told apart by 64-bit hashes.
+   aren't compared again. What comes out is the sorted order with the common prefix
+   of each suffix and its neighbour. What stands before the anchors is sorted
+   likewise, read backwards.
+4. Two windows that begin k bytes before their anchors are equal if no neighbour
+   between them has a common prefix of less than SIZE - k bytes in the first order,
+   nor of less than k bytes in the second. So each window is told the first chunk
+   that holds it, and a chunk is answered with a bit for each window: does an
+   earlier chunk hold it?
+5. Repeats within a chunk are found by the chunk in the same way, with document ids
+   in place of chunks.
+
+Defined results: null text is empty; texts shorter than SIZE lose nothing; a text
+of any length lies in one chunk, which is as large as that; repeated rows with one
+id don't remove each other's bytes; a null id counts as the smallest; an empty
+table gives an empty result; further columns are ignored. Bytes are compared, not
+hashes; hashes only choose anchors and ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +49,6 @@ from auditlake.llm.common import distinct, documents, grouped, mix, slices, text
 
 SIZE = 50
 GRAM = 24
-#: Windows of one super-suffix, at most.
-LONGEST = 64
 #: A range holds every window of its strings at once, so chunks and ranges are smaller here than for words.
 CHUNK_BYTES = 8 << 20
 
@@ -48,8 +57,6 @@ _ANSWER = "kind int, chunk int, bucket int, bits binary"
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, removed array<struct<start: bigint, stop: bigint>>, kept binary"
 _ODD = np.random.default_rng(77).integers(0, 2**63, 8, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
-_SHIFT = _ODD * np.arange(1, 9, dtype=np.uint64)
-
 
 def _eight(data: np.ndarray) -> np.ndarray:
     """Eight bytes as a number, from every position."""
@@ -58,20 +65,12 @@ def _eight(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + SIZE, np.uint64, padded, 0, (1,))
 
 
-def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the SIZE bytes from each position."""
-    e, h = _eight(data), np.zeros(len(at), np.uint64)
-    for k, step in enumerate([*range(0, SIZE - 8, 8), SIZE - 8]):
-        h += mix(e[at + step] + _SHIFT[k])
-    return mix(h)
-
-
-def super_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first byte, windows, minimiser) of the super-suffixes of texts that lie one after another."""
+def super_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, windows, bytes before the anchor, minimiser) of the super-suffixes of texts that lie one after another."""
     n = len(data) - SIZE + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return z, z, z, z, np.zeros(0, np.uint64)
     e = _eight(data)[: len(data)]
     m = len(data) - GRAM + 1
     h = np.zeros(m, np.uint64)
@@ -88,21 +87,66 @@ def super_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     np.add.at(inside, np.maximum(at[1:-1] - SIZE + 1, at[:-2]), 1)
     np.add.at(inside, at[1:-1], -1)
     good = np.cumsum(inside[:n]) == 0
+    # A window that begins at its anchor is the last one with that anchor.
+    own = good & (h[:n] == least)
     new = good.copy()
-    new[1:] &= ~good[:-1] | (least[1:] != least[:-1])
+    new[1:] &= ~good[:-1] | (least[1:] != least[:-1]) | own[:-1]
     # A window right behind a text's last byte begins a new text.
     starts = at[1:-1][(at[1:-1] < n)]
     new[starts] |= good[starts]
     first = np.flatnonzero(new)
     stop = good.copy()
     stop[:-1] &= ~good[1:] | new[1:]
-    many = np.flatnonzero(stop) + 1 - first
-    parts = -(-many // LONGEST)
-    step = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = np.repeat(first, parts) + step * LONGEST
-    many = np.minimum(np.repeat(many, parts) - step * LONGEST, LONGEST)
+    last = np.flatnonzero(stop)
+    # The others have it behind the start of their last window.
+    anchor = np.where(own[last], last, -1)
+    open_ = np.flatnonzero(anchor < 0)
+    for k in range(1, width):
+        here = last[open_] + k
+        hit = h[here] == least[last[open_]]
+        anchor[open_[hit]] = here[hit]
+        open_ = open_[~hit]
     # The least of many hashes is small; mixed again, ranges of it are even.
-    return np.searchsorted(at, begin, side="right") - 1, begin, many, mix(least[begin])
+    return np.searchsorted(at, first, side="right") - 1, first, last + 1 - first, anchor - first, mix(least[first])
+
+
+def common_prefixes(strings: list[bytes]) -> np.ndarray:
+    """The length of the prefix that each of the sorted strings shares with the one before; none of them is longer than SIZE."""
+    if not strings:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    wide = np.array(strings, f"S{SIZE}").view(np.uint8).reshape(-1, SIZE)
+    out = np.zeros(len(strings), np.int64)
+    differ = wide[1:] != wide[:-1]
+    out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), SIZE)
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
+    return out
+
+
+def earliest(rank: np.ndarray, common: np.ndarray, before: list[bytes], many: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For every window of every super-suffix the least `first` of those that hold an equal window.
+
+    rank: place of what follows the anchor among all such suffixes, sorted, with `common`
+    prefixes between neighbours; before: what stands before the anchor.
+    """
+    if not len(before):
+        return np.zeros(0, first.dtype)
+    back = [x[::-1] for x in before]
+    order = sorted(set(back))
+    place = dict(zip(order, range(len(order)), strict=True))
+    behind, shared = np.fromiter(map(place.__getitem__, back), np.int64, len(back)), common_prefixes(order)
+    which = np.repeat(np.arange(len(many)), many)
+    ahead = np.fromiter(map(len, before), np.int64, len(before))[which] - (np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many))
+    ahead = ahead.astype(np.uint8)
+    out = np.empty(len(which), first.dtype)
+    for k in range(int(ahead.max()) + 1):
+        at = np.flatnonzero(ahead == k)
+        if len(at):
+            own = which[at]
+            right, left = np.cumsum(common < SIZE - k), np.cumsum(shared < k)
+            _, group, by, begins = grouped((right[rank[own]] * (len(order) + 1) + left[behind[own]]).astype(np.int64))
+            out[at] = np.minimum.reduceat(first[own[by]], begins)[group]
+    return out
 
 
 def _slices(table: pa.Table) -> Iterator[tuple]:
@@ -129,38 +173,31 @@ def _shared(sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([1] * len(runs), pa.int32()), sent.column("chunk"), sent.column("bucket"), pa.array(bits, pa.binary())], names=["kind", "chunk", "bucket", "bits"])
 
 
-def front_code(strings: list[bytes]) -> bytes:
-    """A sorted run as common prefixes, lengths and the rests."""
-    before, lcps = b"", np.zeros(len(strings), np.uint16)
-    rests = []
-    for i, s in enumerate(strings):
-        n = 0
-        for x, y in zip(before, s, strict=False):
-            if x != y:
-                break
-            n += 1
-        lcps[i] = n
-        rests.append(s[n:])
-        before = s
-    lengths = np.fromiter(map(len, strings), np.uint16, len(strings))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(strings).to_bytes(4, "little"), lcps.tobytes(), lengths.tobytes(), *rests]))
-
-
-def front_decode(run: bytes) -> tuple[list[bytes], list[int]]:
-    """The strings of a run, and how much each shares with the one before."""
+def front_code(strings: list[tuple[bytes, bytes]]) -> bytes:
+    """A sorted run of (suffix from the anchor on, bytes before it): common prefixes, lengths and the rests."""
+    suffixes, before = [x[0] for x in strings], [x[1] for x in strings]
+    common = common_prefixes(suffixes)
+    sizes = [np.fromiter(map(len, x), np.uint8, len(strings)).tobytes() for x in (suffixes, before)]
+    rests = [x[n:] for x, n in zip(suffixes, common.tolist(), strict=True)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(strings).to_bytes(4, "little"), common.astype(np.uint8).tobytes(), *sizes, *rests, *before]))
+
+
+def front_decode(run: bytes) -> tuple[list[bytes], list[int], list[bytes]]:
+    """The suffixes of a run, how much each shares with the one before, and what stands before the anchors."""
     raw = zstandard.ZstdDecompressor().decompress(run)
     n = int.from_bytes(raw[:4], "little")
-    lcps, lengths = np.frombuffer(raw, np.uint16, n, 4).tolist(), np.frombuffer(raw, np.uint16, n, 4 + 2 * n).tolist()
-    at, before, out = 4 + 4 * n, b"", []
-    for c, m in zip(lcps, lengths, strict=True):
-        before = before[:c] + raw[at : at + m - c]
+    common, size, behind = (np.frombuffer(raw, np.uint8, n, 4 + k * n).tolist() for k in range(3))
+    at, last, out = 4 + 3 * n, b"", []
+    for c, m in zip(common, size, strict=True):
+        last = last[:c] + raw[at : at + m - c]
         at += m - c
-        out.append(before)
-    return out, lcps
+        out.append(last)
+    ends = [at, *(at + np.cumsum(behind)).tolist()]
+    return out, common, [raw[a:b] for a, b in pairwise(ends)]
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, bool]]:
-    """(run, place in it, equal to the string before) over all runs in order, by a loser tree.
+def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
+    """(run, place in it, length of the prefix shared with the string before) over all runs in order, by a loser tree.
 
     Each contender carries the length of the prefix that it shares with the last
     winner. The one that shares more is the smaller; only at a tie are bytes
@@ -204,11 +241,9 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
             up.append(win)
         node //= 2
         level = up
-    win, last = level[0], -1
+    win = level[0]
     while head[win] is not None:
-        s = head[win]
-        yield win, place[win], share[win] == len(s) == last
-        last = len(s)
+        yield win, place[win], share[win]
         at = place[win] = place[win] + 1
         if at < len(texts[win]):
             head[win], share[win] = texts[win][at], commons[win][at]
@@ -232,21 +267,26 @@ def _send_runs(table: pa.Table, bits: pa.Table, buckets: int) -> pa.Table:
     return pa.table(list(map(list, zip(*rows, strict=True))) or [[], [], []], schema=schema)
 
 
-def _runs(parts: list[tuple], bits: pa.Table, buckets: int) -> tuple[dict[int, list[bytes]], list[list[tuple[int, bytes]]]]:
-    """The chunk's sorted distinct shared super-suffixes by bucket, and by part the shared ones (number, string)."""
+def _runs(parts: list[tuple], bits: pa.Table, buckets: int) -> tuple[dict[int, list[tuple[bytes, bytes]]], list[tuple]]:
+    """The chunk's sorted distinct shared super-suffixes by bucket, and by part the shared ones (numbers, buckets, pairs of bytes)."""
     known = distinct(np.concatenate([p[-1] for p in parts]))
     shared = chunks.told(known, bits, buckets)
-    found: dict[int, set[bytes]] = {}
+    found: dict[int, set[tuple[bytes, bytes]]] = {}
     own = []
-    for _, data, _, _, begin, many, least in parts:
-        raw = data.tobytes()
+    for _, data, _, _, begin, many, ahead, least in parts:
         where = np.flatnonzero(shared[np.searchsorted(known, least)]) if len(known) else np.zeros(0, np.int64)
         bucket = bucket_of(least[where], buckets)
-        strings = [raw[a:b] for a, b in zip(begin[where].tolist(), (begin[where] + many[where] + SIZE - 1).tolist(), strict=True)]
-        for b, s in zip(bucket.tolist(), strings, strict=True):
-            found.setdefault(b, set()).add(s)
-        own.append((where, bucket, strings))
-    return {b: sorted(s) for b, s in sorted(found.items())}, own
+        pairs = _pairs(data.tobytes(), begin[where], many[where], ahead[where])
+        for b, x in zip(bucket.tolist(), pairs, strict=True):
+            found.setdefault(b, set()).add(x)
+        own.append((where, bucket, pairs))
+    return {b: sorted(x, key=itemgetter(0)) for b, x in sorted(found.items())}, own
+
+
+def _pairs(raw: bytes, begin: np.ndarray, many: np.ndarray, ahead: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(suffix from the anchor on, bytes before it) of super-suffixes."""
+    anchor = begin + ahead
+    return [(raw[p:z], raw[a:p]) for a, p, z in zip(begin.tolist(), anchor.tolist(), (begin + many + SIZE - 1).tolist(), strict=True)]
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -254,36 +294,28 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.minimum(hashes // step, np.uint64(buckets - 1)).astype(np.int64) if buckets > 1 else np.zeros(len(hashes), np.int64)
 
 
+def _windows(pairs: list[tuple[bytes, bytes]]) -> int:
+    """How many windows super-suffixes have together."""
+    return sum(len(a) + len(b) - SIZE + 1 for a, b in pairs)
+
+
 def _merge_runs(sent: pa.Table) -> pa.Table:
-    """For every window of every chunk's strings in this bucket: a bit, set if an earlier chunk holds it."""
+    """For every window of every chunk's super-suffixes in this bucket: a bit, set if an earlier chunk holds it."""
     sent = sent.sort_by("chunk")
     number = sent.column("chunk").to_pylist()
     runs = [front_decode(r) for r in sent.column("run").to_pylist()]
-    # Strings of all runs, numbered run by run; class_of: the distinct string of each.
     base = np.cumsum([0, *(len(r[0]) for r in runs)])
-    class_of, firsts, texts = np.zeros(base[-1], np.int64), [], []
-    n = -1
-    for run, at, same in merge(runs):
-        if not same:
-            n += 1
-            firsts.append(number[run])
-            texts.append(runs[run][0][at])
-        # Equal strings leave the tree in order of their runs, so the first is of the earliest chunk.
-        class_of[base[run] + at] = n
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    many = lengths - SIZE + 1
-    starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(texts), np.uint8)
-    offset = np.cumsum(many) - many
-    at = np.repeat(starts - offset, many) + np.arange(int(many.sum()))
-    _, place, order, begins = grouped(window_hashes(data, at))
-    first = np.repeat(np.array(firsts, np.int64), many)
-    earliest = np.minimum.reduceat(first[order], begins)[place] if len(first) else first
-    bits = []
-    for r, chunk in enumerate(number):
-        own = class_of[base[r] : base[r + 1]]
-        m = many[own]
-        where = np.repeat(offset[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        bits.append(np.packbits(earliest[where] < chunk).tobytes())
+    rank, common = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
+    starts = base.tolist()
+    for n, (run, at, share) in enumerate(merge([r[:2] for r in runs])):
+        rank[starts[run] + at] = n
+        common[n] = share
+    before = list(chain.from_iterable(r[2] for r in runs))
+    many = np.fromiter((len(a) + len(b) - SIZE + 1 for r in runs for a, b in zip(r[0], r[2], strict=True)), np.int64, len(before))
+    first = np.repeat(np.array(number, np.int64), np.diff(base))
+    again = earliest(rank, common, before, many, first) < np.repeat(first, many)
+    ends = np.concatenate([[0], np.cumsum(many)])[base]
+    bits = [np.packbits(again[a:b]).tobytes() for a, b in pairwise(ends.tolist())]
     return pa.table([pa.array([2] * len(bits), pa.int32()), sent.column("chunk"), sent.column("bucket"), pa.array(bits, pa.binary())], names=["kind", "chunk", "bucket", "bits"])
 
 
@@ -296,36 +328,39 @@ def _remove(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     runs, own = _runs(parts, answers.filter(pa.array(kind == 1)), buckets)
     told = {r["bucket"]: r["bits"] for r in answers.filter(pa.array(kind == 2)).to_pylist()}
     flags, offset, total = [], {}, 0
-    for b, strings in runs.items():
-        n = sum(map(len, strings)) - (SIZE - 1) * len(strings)
-        flags.append(np.unpackbits(np.frombuffer(told[b], np.uint8), count=n).view(bool))
-        for s in strings:
-            offset[b, s] = total
-            total += len(s) - SIZE + 1
+    for b, pairs in runs.items():
+        flags.append(np.unpackbits(np.frombuffer(told[b], np.uint8), count=_windows(pairs)).view(bool))
+        for x in pairs:
+            offset[x] = total
+            total += len(x[0]) + len(x[1]) - SIZE + 1
     flags = np.concatenate(flags) if flags else np.zeros(0, bool)
 
-    # Repeats within the chunk: windows of the minimisers that it holds more than once.
+    # Repeats within the chunk: super-suffixes of the minimisers that it holds more than once.
     _, place, _, begins = grouped(np.concatenate([p[-1] for p in parts]))
     often = (np.diff(np.append(begins, len(place))) > 1)[place] if len(place) else np.zeros(0, bool)
-    hashes, ids, wheres, done = [], [], [], 0
-    for part, data, _, doc, begin, many, _ in parts:
+    suffixes, before, ids, sizes, wheres, done = [], [], [], [], [], 0
+    for part, data, _, doc, begin, many, ahead, _ in parts:
         mine = np.flatnonzero(often[done : done + len(doc)])
         done += len(doc)
+        pairs = _pairs(data.tobytes(), begin[mine], many[mine], ahead[mine])
+        suffixes += [x[0] for x in pairs]
+        before += [x[1] for x in pairs]
         m = many[mine]
-        at = np.repeat(begin[mine] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        wheres.append(at)
-        hashes.append(window_hashes(data, at))
-        ids.append(np.repeat(part.column("doc_id").to_numpy()[doc[mine]], m))
-    every = np.concatenate(ids)
-    _, place, order, begins = grouped(np.concatenate(hashes))
-    local = np.minimum.reduceat(every[order], begins)[place] < every if len(every) else np.zeros(0, bool)
+        sizes.append(m)
+        wheres.append(np.repeat(begin[mine] - (np.cumsum(m) - m), m) + np.arange(int(m.sum())))
+        ids.append(part.column("doc_id").to_numpy()[doc[mine]])
+    order = sorted(set(suffixes))
+    place = dict(zip(order, range(len(order)), strict=True))
+    rank = np.fromiter(map(place.__getitem__, suffixes), np.int64, len(suffixes))
+    sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+    local = earliest(rank, common_prefixes(order), before, sizes, ids) < np.repeat(ids, sizes)
 
     out, done = [], 0
-    for (part, data, at, _, begin, many, _), (where, bucket, strings), mine in zip(parts, own, wheres, strict=True):
+    for (part, data, at, _, begin, many, _, _), (where, _, pairs), mine in zip(parts, own, wheres, strict=True):
         again = mine[local[done : done + len(mine)]]
         done += len(mine)
         m = many[where]
-        here = np.fromiter((offset[b, s] for b, s in zip(bucket.tolist(), strings, strict=True)), np.int64, len(strings))
+        here = np.fromiter(map(offset.__getitem__, pairs), np.int64, len(pairs))
         ahead = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
         again = np.concatenate([again, (np.repeat(begin[where], m) + ahead)[flags[np.repeat(here, m) + ahead]]])
         cover = np.zeros(len(data) + 1, np.int64)

@@ -178,12 +178,28 @@ def test_byte_strings(docs, monkeypatch, bucket):
 def test_loser_tree_merges_sorted_runs():
     pick = random.Random(5)
     runs = [sorted({bytes(pick.choices(b"ab", k=pick.randint(0, 12))) for _ in range(pick.randint(0, 40))}) for _ in range(7)]
-    coded = [suffix_dedup.front_decode(suffix_dedup.front_code(r)) for r in runs]
-    assert [c[0] for c in coded] == runs
-    out = [(coded[r][0][i], same) for r, i, same in suffix_dedup.merge(coded)]
+    coded = [suffix_dedup.front_decode(suffix_dedup.front_code([(x, x[:3]) for x in r])) for r in runs]
+    assert [c[0] for c in coded] == runs and [c[2] for c in coded] == [[x[:3] for x in r] for r in runs]
+    out = [(coded[r][0][i], share) for r, i, share in suffix_dedup.merge([c[:2] for c in coded])]
     every = sorted(s for r in runs for s in r)
     assert [s for s, _ in out] == every
-    assert [same for _, same in out] == [i > 0 and every[i] == every[i - 1] for i in range(len(every))]
+    assert [share for _, share in out] == suffix_dedup.common_prefixes(every).tolist()
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
+def test_super_suffixes_hold_every_window_once(letters):
+    pick = random.Random(9)
+    texts = [bytes(pick.choices(letters.encode(), k=n)) for n in (0, 49, 50, 51, 300, 20, 200)]
+    at = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    doc, begin, many, ahead, least = suffix_dedup.super_suffixes(data, at)
+    windows = sorted((int(d), int(b) + i) for d, b, m in zip(doc, begin, many, strict=True) for i in range(m))
+    assert windows == [(d, int(at[d]) + i) for d, t in enumerate(texts) for i in range(len(t) - 49)]
+    seen = {}
+    for b, m, a, h in zip(begin, many, ahead, least, strict=True):
+        for i in range(m):
+            assert 0 <= a - i <= suffix_dedup.SIZE - suffix_dedup.GRAM
+            assert seen.setdefault(data[b + i : b + i + 50].tobytes(), (a - i, h)) == (a - i, h)
 
 
 def test_near_duplicates(docs):
