@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions import scalars as S
 from auditlake.functions.paths import basename, expand_path, fnmatch_to_regex, glob_match, glob_to_regex, is_root_target, outside_cwd
+from auditlake.operators.policy import first_match, resolve
+from auditlake.operators.report import cap_rows
 from auditlake.sources.tables import stored
 
 MAX_DEPTH = 6
 MAX_COMMANDS = 256
+RECORDS = 8
 
 # Command families, flags that take a value, and short flags with their long names.
 SHELLS = ["sh", "bash", "zsh", "dash", "ksh", "ash", "busybox"]
@@ -68,7 +72,7 @@ VALUE_FLAGS = {
 }
 LIST_OPERATORS = [";;", "&&", "||", ";", "&", "\n", "(", ")"]
 PIPES = ["|", "|&"]
-UNRESOLVED = ["argv0_from_substitution", "argv0_is_variable", "interpreter_exec", "max_depth_exceeded", "too_many_commands"]
+UNRESOLVED = ["argv0_from_substitution", "argv0_is_variable", "interpreter_exec", "max_depth_exceeded", "too_many_commands", "recursion_limit"]
 
 _ESCAPE, _SINGLE, _DOUBLE = r"\\(?s:.)?", r"'[^']*(?:'|\z)", r'"(?:\\(?s:.)|[^"\\])*+(?:"|\z)'
 _SUB = r"\$\((?:[^()]|\((?:[^()]|\([^()]*\))*+\))*+(?:\)|\z)"
@@ -227,7 +231,9 @@ _CHILD = "array<struct<code: string, depth: int, origin: string>>"
 
 def _parsed(frontier: DataFrame) -> DataFrame:
     """One round: a row for each command of the frontier (id, ord, code, depth, origin) with the code that it holds in turn."""
-    stages = frontier.select("id", "ord", "depth", "origin", F.posexplode(split_pipelines(tokenize(F.col("code")))).alias("at", "stage"), split_pipelines(tokenize(F.col("code"))).alias("stages"))
+    # Cut once: a stage carries the list that it stands in.
+    cut = F.transform(F.array(split_pipelines(tokenize(F.col("code")))), lambda s: F.transform(s, lambda x, i: F.struct(i.alias("at"), x.alias("stage"), s.alias("stages"))))
+    stages = frontier.select("id", "ord", "depth", "origin", F.explode(F.flatten(cut)).alias("x")).select("id", "ord", "depth", "origin", "x.*")
     clean = stages.withColumn("r", strip_redirects(F.col("stage.words"))).withColumn("n", _leading(F.col("r.words"), lambda w: w["text"].rlike(_ASSIGN) & (F.size(w["subs"]) == 0)))
     clean = clean.withColumn("words", _rest(F.col("r.words"), F.col("n"))).where(F.size("words") > 0)
     head = F.get("words", F.lit(0))
@@ -275,17 +281,23 @@ def _parsed(frontier: DataFrame) -> DataFrame:
     )
 
 
-def parse_log(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
-    """One row per simple command of every line, in the order of ord. Bad input gives a warning, never an error."""
+def parse_log(lines: DataFrame, id_col: str, line_col: str, rounds_at_most: int = 64) -> DataFrame:
+    """One row per simple command of every line, in the order of ord. Bad input gives a warning, never an error.
+
+    Rounds end when nothing is left to parse. Wrappers of wrappers stay at one depth; what
+    is still open after `rounds_at_most` rounds gives its command the warning `recursion_limit`.
+    """
     frontier = lines.select(F.col(id_col).alias("id"), F.lit("").alias("ord"), F.coalesce(line_col, F.lit("")).alias("code"), F.lit(0).alias("depth"), F.lit("direct").alias("origin"))
     rounds = []
     # A wrapper's code stays at its depth, so rounds are bounded apart from the depth.
-    for turn in range(2 * MAX_DEPTH):
+    for turn in range(rounds_at_most):
         done = stored(_parsed(frontier), "commands")
         rounds.append(done)
         frontier = done.select("id", F.posexplode("inner").alias("k", "c"), "ord").select("id", F.concat("ord", F.format_string(".%04d", F.col("k"))).alias("ord"), "c.*").where(F.col("depth") <= MAX_DEPTH)
         if frontier.isEmpty():
             break
+    else:
+        rounds[-1] = rounds[-1].withColumn("warnings", F.when(F.size("inner") > 0, F.array_append("warnings", F.lit("recursion_limit"))).otherwise(F.col("warnings")))
     every = rounds[0]
     for more in rounds[1:]:
         every = every.unionByName(more)
@@ -368,3 +380,47 @@ def match_commands(cmds: DataFrame, rules: DataFrame) -> DataFrame:
         where = where & (~F.coalesce(F.col(f"m_{k}"), F.lit(False)) | F.coalesce(t, F.lit(False)))
     target = F.coalesce(F.get(col("operands"), F.lit(0)), F.get(col("redirects"), F.lit(0)), F.col("argv0"))
     return cmds.join(F.broadcast(rules), where).select("id", "ord", "rule_pos", "rule", "class", "severity", target.alias("target"))
+
+
+def escalate(decision: Column, unresolved: Column, level: str) -> Column:
+    """Under a strict policy, what can't be resolved is asked for unless something stronger was decided."""
+    weak = F.coalesce(S.decision_rank(decision), F.lit(0)) < S.decision_rank(F.lit("ask"))
+    return F.when(F.coalesce(unresolved, F.lit(False)) & weak, "ask").otherwise(decision) if level == "strict" else decision
+
+
+def classify_commands(log: DataFrame, rules: DataFrame, raw: list[tuple], levels: DataFrame, exemptions: DataFrame, today: str, protected: list[str], level: str = "warn", ttl_hours: float = 24) -> tuple[DataFrame, DataFrame]:
+    """The verdict on every event of a command log, and its audit records.
+
+    log: event_id, line, cwd, home, branch, session_id, agent_id, ts. raw: (rule, class,
+    severity, pattern) of rules on the line itself. Levels, exemptions and session memory
+    are applied to every match (L02); the most restrictive decides, the first of equals
+    (A08); what can't be resolved is asked for under a strict policy (P14); an event has at
+    most `RECORDS` records (W03). A line is parsed once for each place it is used in.
+
+    Returns verdicts (event_id, decision: null lets pass, rule) and records (event_id, rule, class, severity, level, target, outcome).
+    """
+    place = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("line", "cwd", "home", "branch")))
+    events = log.select("event_id", place.alias("id"), "session_id", "agent_id", "ts")
+    cmds = stored(parse_limits(parse_log(events.select("id").distinct().withColumn("line", F.col("id.line")), "id", "line")), "parsed")
+    branch = F.nullif(F.col("id.branch"), F.lit(""))
+    found = match_commands(command_context(cmds, F.col("id.cwd"), F.col("id.home"), branch, protected), rules)
+    found = first_match(found, ["ord"], ["id", "rule"]).drop("ord")
+    hit = lambda i, r: F.when(F.col("id.line").rlike(r[3]), F.struct(F.lit(1000 + i).alias("rule_pos"), F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("class"), F.lit(r[2]).alias("severity"), F.lit(None).cast("string").alias("target")))
+    if raw:
+        whole = events.select("id").distinct().select("id", F.explode(F.array_compact(F.array(*(hit(i, r) for i, r in enumerate(raw))))).alias("r"))
+        found = found.unionByName(whole.select("id", "r.*"))
+    matches = events.join(found, "id").drop("id")
+    resolved = stored(resolve(matches, levels, exemptions, today, ttl_hours, level), "resolved")
+
+    weight = F.when(F.col("suppressed"), S.decision_rank(F.lit("log"))).otherwise(S.decision_rank(F.col("decision")))
+    best = resolved.groupBy("event_id").agg(F.max_by(F.struct("rule", "decision", (F.col("exempt") | F.col("suppressed")).alias("quiet")), F.struct(weight, -F.col("rule_pos"))).alias("b"))
+    open_ = cmds.where(F.arrays_overlap("warnings", _strings(UNRESOLVED))).select("id").distinct().withColumn("open", F.lit(True))
+    final = events.select("event_id", "id").join(open_, "id", "left").join(best, "event_id", "left")
+    asked = F.coalesce(escalate(F.col("b.decision"), F.col("open"), level) != F.coalesce("b.decision", F.lit("")), F.lit(False))
+    loud = ~F.coalesce("b.quiet", F.lit(False)) & ~F.coalesce(F.col("b.decision") == "log", F.lit(False))
+    final = final.select("event_id", F.when(asked, "ask").when(loud, F.col("b.decision")).alias("decision"), F.when(asked, "PARSER_UNRESOLVED").when(loud, F.col("b.rule")).alias("rule"))
+
+    kept = cap_rows(resolved, RECORDS, ["event_id"], ["rule_pos"]).select("event_id", "rule", "class", "severity", "level", "target", "outcome")
+    text = lambda v, name: F.lit(v).cast("string").alias(name)
+    more = final.where("rule = 'PARSER_UNRESOLVED'").select("event_id", "rule", text("internal", "class"), text("MEDIUM", "severity"), text("strict", "level"), text(None, "target"), text("asked", "outcome"))
+    return final, kept.unionByName(more)

@@ -11,28 +11,28 @@ DEPTH = 8
 RUNNERS = ["sh", "bash", "zsh", "node", "python", "python3", "perl", "ruby", "curl", "wget", "nc", "npx", "eval", "exec"]
 
 
-def _levels(docs: DataFrame, col: str, depth: int = DEPTH) -> DataFrame:
-    """(doc, path, key path, kind, value) of every node up to the depth. VARIANT sorts keys; path keeps that order."""
-    top = docs.select(F.col(col).alias("doc"), F.lit("").alias("path"), F.lit("").alias("keys"), F.try_parse_json(col).alias("v"))
+def nodes(docs: DataFrame, col: str, depth: int = DEPTH) -> DataFrame:
+    """(doc, path, key path, named, kind, value) of every node up to the depth; named: it stands under a key. VARIANT sorts keys; path keeps that order."""
+    top = docs.select(F.col(col).alias("doc"), F.lit("").alias("path"), F.lit("").alias("keys"), F.lit(False).alias("named"), F.try_parse_json(col).alias("v"))
     every, now = None, top
     for _ in range(depth):
         now = now.withColumn("kind", F.schema_of_variant("v"))
         every = now if every is None else every.unionByName(now)
         inner = now.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value")))
-        now = inner.select("doc", F.concat("path", F.format_string("/%06d", F.col("pos"))).alias("path"), F.when(F.col("key").isNull(), F.col("keys")).otherwise(F.concat_ws(".", F.nullif(F.col("keys"), F.lit("")), "key")).alias("keys"), F.col("value").alias("v"))
+        now = inner.select("doc", F.concat("path", F.format_string("/%06d", F.col("pos"))).alias("path"), F.when(F.col("key").isNull(), F.col("keys")).otherwise(F.concat_ws(".", F.nullif(F.col("keys"), F.lit("")), "key")).alias("keys"), F.col("key").isNotNull().alias("named"), F.col("value").alias("v"))
     return every
 
 
 def strings(docs: DataFrame, col: str) -> DataFrame:
     """All strings of a document, depth first, one a line."""
-    leaves = _levels(docs, col).where("kind = 'STRING'").select("doc", "path", F.col("v").cast("string").alias("s"))
+    leaves = nodes(docs, col).where("kind = 'STRING'").select("doc", "path", F.col("v").cast("string").alias("s"))
     joined = leaves.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("path", "s"))).alias("x"))
     return joined.select(F.col("doc").alias(col), F.array_join(F.transform("x", lambda y: y["s"]), "\n").alias("text"))
 
 
 def keys(docs: DataFrame, col: str) -> DataFrame:
     """dotted paths of all keys; array elements add no part."""
-    found = _levels(docs, col).where("keys <> ''").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("keys")), ",").alias("keys"))
+    found = nodes(docs, col).where("keys <> ''").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("keys")), ",").alias("keys"))
     return found.withColumnRenamed("doc", col)
 
 
@@ -47,3 +47,22 @@ def candidate_paths(tool: Column, given: Column) -> Column:
     """the paths that a file tool's input names."""
     get = lambda k: F.get_json_object(given, f"$.{k}")
     return F.array_compact(F.array(get("file_path"), get("path"), get("notebook_path"), F.when(tool == "Glob", get("pattern")), F.when(tool == "Grep", get("glob"))))
+
+
+#: A string value (a string that no colon follows), a key with its colon, or what stands between them.
+_JSON_TOKEN = r'("(?:[^"\\]|\\.)*+"(?:\s*:)?+|[^"]++)'
+
+
+def redact_json(doc: Column, redact) -> Column:
+    """every string value of a JSON text redacted, at any depth; keys, numbers and layout stay. What is no JSON is redacted as text."""
+    plain = lambda t: F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), F.lit(0))
+    again = lambda v: F.regexp_replace(F.to_json(F.array(v)), r"\A\[|\]\z", "")
+    value = lambda t: t.startswith('"') & t.endswith('"')
+
+    def clean(t: Column) -> Column:
+        new = redact(plain(t))
+        # A string without a secret keeps its spelling.
+        return F.when(value(t) & (new != plain(t)), again(new)).otherwise(t)
+
+    tokens = F.regexp_extract_all(doc, F.lit(_JSON_TOKEN), 1)
+    return F.when(F.try_parse_json(doc).isNotNull(), F.array_join(F.transform(tokens, clean), "")).otherwise(redact(doc))

@@ -46,20 +46,22 @@ def apply_exemptions(findings: DataFrame, exemptions: DataFrame, today: str, key
     fits = (F.col("rule") == F.col("_rule")) & (F.col("target_regex").isNull() | F.coalesce(F.rlike("target", F.col("target_regex")), F.lit(False)))
     alive = F.coalesce(F.expr("try_cast(expires AS DATE)") >= F.lit(today).cast("date"), F.lit(False)) | F.col("expires").isNull()
     hits = findings.select(key, "rule", "target").join(e, fits).withColumn("_alive", alive)
-    found = hits.groupBy(key).agg(F.min(F.when(F.col("_alive"), F.col("position"))).alias("exemption"), F.coalesce(F.bool_or(~F.col("_alive")), F.lit(False)).alias("expired_hit"))
-    return findings.join(found, key, "left").withColumn("exempt", F.col("exemption").isNotNull()).withColumn("expired_hit", F.coalesce("expired_hit", F.lit(False)))
+    found = hits.groupBy(key, "rule").agg(F.min(F.when(F.col("_alive"), F.col("position"))).alias("exemption"), F.coalesce(F.bool_or(~F.col("_alive")), F.lit(False)).alias("expired_hit"))
+    return findings.join(found, [key, "rule"], "left").withColumn("exempt", F.col("exemption").isNotNull()).withColumn("expired_hit", F.coalesce("expired_hit", F.lit(False)))
 
 
 def session_memory(df: DataFrame, ttl_hours: float = 24, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Warn and ask of one (session, rule, target, agent) are suppressed for a while after the last one that was not.
 
     The anchor moves only when a row is emitted, so this is a fold over the key's
-    rows in order of time, not a lag. Other decisions pass by.
+    rows in order of time, not a lag. Other decisions pass by. An event may have a
+    row for each of several rules.
     """
     key = S.memory_key(F.col("rule"), F.col("target"), F.col("agent_id"))
     held = F.col("decision").isin("warn", "ask") & ~F.coalesce(F.col("exempt"), F.lit(False)) if "exempt" in df.columns else F.col("decision").isin("warn", "ask")
     ttl = int(ttl_hours * 3_600_000_000) if ttl_hours > 0 else 86_400_000_000
-    rows = df.where(held).select(F.col("session_id"), key.alias("_key"), F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("id")).alias("x"))
+    df = df.withColumn("_key", key)
+    rows = df.where(held).select(F.col("session_id"), "_key", F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("id")).alias("x"))
     # The state keeps the ids that were suppressed.
     start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<bigint>").alias("quiet"))
 
@@ -68,13 +70,13 @@ def session_memory(df: DataFrame, ttl_hours: float = 24, ts: str = "ts", order:
         return F.when(quiet, F.struct(acc["anchor"].alias("anchor"), F.array_append(acc["quiet"], x["id"]).alias("quiet"))).otherwise(F.struct(x["t"].alias("anchor"), acc["quiet"].alias("quiet")))
 
     folded = rows.groupBy("session_id", "_key").agg(F.aggregate(F.array_sort(F.collect_list("x")), start, step, lambda a: a["quiet"]).alias("quiet"))
-    quiet = folded.select(F.explode("quiet").alias(order), F.lit(True).alias("suppressed"))
-    return df.join(quiet, order, "left").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+    quiet = folded.select("_key", F.explode("quiet").alias(order), F.lit(True).alias("suppressed"))
+    return df.join(quiet, [order, "_key"], "left").drop("_key").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
 
 
-def resolve(findings: DataFrame, levels: DataFrame, exemptions: DataFrame, today: str, ttl_hours: float = 24) -> DataFrame:
+def resolve(findings: DataFrame, levels: DataFrame, exemptions: DataFrame, today: str, ttl_hours: float = 24, default: str = "warn") -> DataFrame:
     """Level, decision, exemption (which logs and leaves the memory alone), session memory, audit action."""
-    found = effective_level(findings, levels).withColumn("decision", S.decision_for(F.col("severity"), F.col("level")))
+    found = effective_level(findings, levels, default).withColumn("decision", S.decision_for(F.col("severity"), F.col("level")))
     found = apply_exemptions(found, exemptions, today).withColumn("decision", F.when(F.col("exempt"), "log").otherwise(F.col("decision")))
     found = session_memory(found, ttl_hours)
     return found.withColumn("outcome", S.audit_action(F.col("decision"), F.col("suppressed")))
@@ -93,16 +95,6 @@ def what_if(events: DataFrame, now: DataFrame, then: DataFrame) -> DataFrame:
     return a.join(b, "event_id").groupBy("class", "before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_overrides(overrides: DataFrame, levels: dict[str, str], default: str = "warn") -> DataFrame:
-    """What of each user's override (user_name, key, level) tightens the policy; everything else is a problem row."""
-    current = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]) if levels else F.create_map()
-    base = F.coalesce(F.element_at(current, F.col("key")), F.lit(default))
-    known = S.level_rank(F.col("level")) > 0
-    stricter = known & (S.level_rank(F.col("level")) > S.level_rank(base))
-    problem = F.when(~known, "LOCAL_LEVEL_UNKNOWN").when(~stricter, "LOCAL_OVERRIDE_REJECTED")
-    return overrides.withColumn("effective", F.when(stricter, F.col("level")).otherwise(base)).withColumn("problem", problem)
-
-
 def first_match(df: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
 
 
-def dir_hash(files: DataFrame) -> DataFrame:
-    """A10: one hash of all of a directory's files (dir, rel, content), whatever order they come in."""
-    lines = files.select("dir", F.concat("rel", F.lit(":"), S.content_hash(F.col("content"))).alias("line"))
+def dir_hash(files: DataFrame, cap: int | None = None) -> DataFrame:
+    """A10: one hash of all of a directory's files (dir, rel, content), whatever order they come in.
+
+    With a cap, as a guard against folders meant to be too large, the first files by name and
+    a line that says so; without one every file counts.
+    """
+    lines = files.select("dir", "rel", F.concat("rel", F.lit(":"), S.content_hash(F.col("content"))).alias("line"))
+    if cap:
+        ranked = lines.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("rel"))).where(F.col("n") <= cap)
+        lines = ranked.select("dir", F.explode(F.when(F.col("n") == cap, F.array("line", F.lit("truncated"))).otherwise(F.array("line"))).alias("line"))
     listed = lines.groupBy("dir").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     return listed.select("dir", F.sha2(F.array_join("lines", "\n").cast("binary"), 256).alias("dir_hash"))
 
@@ -61,13 +68,37 @@ def trust_history(events: DataFrame) -> DataFrame:
     return rows.select("repo", F.explode(F.aggregate("e", blank, step, lambda a: a["out"])).alias("o")).select("repo", "o.*")
 
 
-def fingerprint(artifacts: DataFrame, watched: list[str]) -> DataFrame:
-    """Hash of every watched file of each repository, or 'absent'. The watched names are a short constant."""
+def fingerprint(artifacts: DataFrame, watched: list[str], folders: list[str] = (), cap: int | None = None) -> DataFrame:
+    """(repo, rel, hash) of every watched file and folder of each repository, or 'absent'. The watched names are a short constant."""
+    if folders:
+        folder = F.get(F.filter(F.array(*map(F.lit, folders)), lambda d: F.col("rel").startswith(d)), F.lit(0))
+        inside = artifacts.where(F.col("content").isNotNull()).withColumn("folder", folder).where("folder is not null")
+        hashed = dir_hash(inside.select(F.struct("repo", "folder").alias("dir"), F.expr("substring(rel, length(folder) + 1)").alias("rel"), "content"), cap)
+        hashed = hashed.select("dir.repo", F.col("dir.folder").alias("rel"), F.concat(F.lit("sha256:"), "dir_hash").alias("hash"))
+        frame = artifacts.select("repo").distinct().join(F.broadcast(artifacts.sparkSession.createDataFrame([(w,) for w in folders], "rel string")))
+        of_folders = frame.join(hashed, ["repo", "rel"], "left").na.fill("absent", ["hash"])
+        return fingerprint(artifacts, watched).unionByName(of_folders)
     frame = artifacts.select("repo").distinct().join(F.broadcast(artifacts.sparkSession.createDataFrame([(w,) for w in watched], "rel string")))
     hashed = artifacts.where(F.col("rel").isin(watched)).select("repo", "rel", S.content_hash(F.col("content")).alias("hash"))
     return frame.join(hashed, ["repo", "rel"], "left").na.fill("absent", ["hash"])
 
 
+def evaluate_trust(now: DataFrame, findings: DataFrame, baselines: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Repo, changed (names), n_findings, status and clean of every repository.
+
+    now: repo; artifacts: repo, rel, hash as they are; baselines: repo, rel, hash, status as approved;
+    findings: repo. A repository without a baseline changes nothing; one with findings is then pending.
+    """
+    old, known = baselines.select("repo", "rel", "hash"), baselines.groupBy("repo").agg(F.max("status").alias("baseline"))
+    current = artifacts.select("repo", "rel", "hash").join(known.select("repo"), "repo", "left_semi")
+    moved = diff_artifacts(old, current).groupBy("repo").agg(F.array_sort(F.collect_set("rel")).alias("changed"))
+    counted = findings.groupBy("repo").agg(F.count(F.lit(1)).alias("n_findings"))
+    rows = now.select("repo").distinct().join(known, "repo", "left").join(moved, "repo", "left").join(counted, "repo", "left")
+    rows = rows.withColumn("changed", F.coalesce("changed", F.array().cast("array<string>"))).na.fill(0, ["n_findings"])
+    state = status(F.size("changed"), F.col("n_findings"), F.col("baseline"))
+    return rows.select("repo", "changed", "n_findings", state.alias("status"), (state == "trusted").alias("clean"))
+
+
 def make_baseline(rows: DataFrame) -> DataFrame:
     """One row per repository: its artifacts as a map, and the hot keys present, sorted. rows: repo, rel, hash, hot_key."""
     return rows.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("rel", "hash"))).alias("artifacts"), F.array_sort(F.collect_set("hot_key")).alias("hot_keys_present"))

@@ -95,26 +95,6 @@ VERDICTS = [
 HOME, CWD = "/home/dev", "/home/dev/app"
 
 
-def verdicts(spark, d):
-    """J01, W02, F31, A08 and P14 from line to verdict, all classes strict and the branch `topic`."""
-    g = _lines(spark, d, [r[:1] for r in VERDICTS])
-    lines = g.select("line").distinct().withColumn("key", F.col("line"))
-    cmds = C.parse_log(lines, "key", "line")
-    found = C.match_commands(C.command_context(cmds, F.lit(CWD), F.lit(HOME), F.lit("topic"), ["main", "master", "release/*", "prod"]), C.rule_table(spark, rules.COMMANDS))
-    first = L.first_match(found, ["ord"], ["id", "rule"]).select("id", "rule_pos", "rule", "severity")
-    raw = lines.select(F.col("key").alias("id"), F.explode(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(100 + i).alias("rule_pos"), F.lit(k).alias("rule"), F.lit("CRITICAL" if k == "command-fork-bomb" else "MEDIUM").alias("severity"))) for i, (k, p) in enumerate(rules.RAW.items())))).alias("r")).where("r is not null").select("id", "r.*")
-    every = first.unionByName(raw).withColumn("decision", S.decision_for(F.col("severity"), F.lit("strict"))).withColumn("suppressed", F.lit(False))
-    best = L.decide(every, "id")
-    unresolved = cmds.where(F.arrays_overlap("warnings", F.array(*map(F.lit, C.UNRESOLVED)))).select("id").distinct().withColumn("open", F.lit(True))
-    final = lines.select(F.col("key").alias("id")).join(best, "id", "left").join(unresolved, "id", "left")
-    ask = F.coalesce("open", F.lit(False)) & (S.decision_rank(F.col("decision")) < S.decision_rank(F.lit("ask")))
-    final = final.select(F.col("id").alias("line"), F.when(ask, "ask").otherwise(F.col("decision")).alias("decision"), F.when(ask, "PARSER_UNRESOLVED").otherwise(F.col("rule")).alias("rule"))
-    return g.join(final, "line").drop("line")
-
-
-QUERIES["c15_verdicts"] = verdicts
-SQL["c15_verdicts"] = expected(["decision", "rule"], [r[1:] for r in VERDICTS])
-
 #: glob, path, fits.
 GLOBS = [
     ("**/.env", ".env", True),

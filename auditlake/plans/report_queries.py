@@ -275,25 +275,6 @@ def _(spark, d):
     return a.where("class = 'injection'").join(a.where("class = 'privilege'").select("session_id").distinct(), "session_id", "left_anti").select("event_id")
 
 
-@query("j15_seal_status", WITH + "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'tampered' ELSE 'unsealed' END AS seal FROM audit WHERE kind = 'heartbeat'")
-def _(spark, d):
-    locks = spark.createDataFrame([("1.0", "aa"), ("1.1", "bb")], "version string, sealed string")
-    beats = R.split_kind(audit(spark, d))[1].select("event_id", F.get(F.array(F.lit("1.0"), F.lit("1.1"), F.lit("2.0")), (F.col("event_id") % 3).cast("int")).alias("version"), F.lit("aa").alias("sha"))
-    return beats.join(F.broadcast(locks), "version", "left").select("event_id", F.when(F.col("sealed").isNull(), "unsealed").when(F.col("sealed") == F.col("sha"), "ok").otherwise("tampered").alias("seal"))
-
-
-@query("j16_with_repo", WITH + "SELECT event_id, 'git.example.com/team/' || host AS repo FROM audit WHERE host <> 'h6' UNION ALL SELECT event_id, NULL FROM audit WHERE host = 'h6'")
-def _(spark, d):
-    repos = spark.createDataFrame([(f"h{i}", f"git@git.example.com:team/h{i}.git") for i in range(6)], "host string, remote string")
-    return audit(spark, d).join(F.broadcast(repos), "host", "left").select("event_id", S.normalize_remote(F.col("remote")).alias("repo"))
-
-
-@query("j17_rule_or_stub", WITH + "SELECT event_id, coalesce(rule, '-') AS rule, CASE WHEN rule = 'command-sudo' THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM audit")
-def _(spark, d):
-    rules = spark.createDataFrame([("command-sudo", "CRITICAL")], "rule string, s string")
-    return audit(spark, d).select("event_id", F.coalesce("rule", F.lit("-")).alias("rule")).join(F.broadcast(rules), "rule", "left").select("event_id", "rule", F.coalesce("s", F.lit("LOW")).alias("severity"))
-
-
 @query("w03_cap_rows", WITH + "SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS rn FROM audit) WHERE rn <= 8")
 def _(spark, d):
     return R.cap_rows(audit(spark, d), 8, ["session_id"], ["event_id"]).select("session_id", "event_id")

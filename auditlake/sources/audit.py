@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,28 +78,80 @@ def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return checked.where("problem IS NULL").drop("problem"), checked.where("problem IS NOT NULL")
 
 
+def bad_patterns(rules: DataFrame) -> DataFrame:
+    """Rules (set, rule) whose regular expressions don't compile, with problem RULE_REGEX_INVALID.
+
+    The rule table is small and comes to the driver, where each pattern is tried once.
+    """
+    spark, bad = rules.sparkSession, []
+    fields = ("pattern", "args_regex_any", "charset")
+    for row in rules.select("set", "rule").collect():
+        match = json.loads(row["rule"]).get("match", {})
+        given = [x for f in fields for x in (match.get(f) if isinstance(match.get(f), list) else [match.get(f)]) if isinstance(x, str)]
+        try:
+            for pattern in given:
+                re.compile(pattern)
+        except re.error:
+            bad.append((row["set"], row["rule"], "RULE_REGEX_INVALID"))
+    return spark.createDataFrame(bad, "set string, rule string, problem string")
+
+
 def policy_problems(policy: Column) -> Column:
     """The names of the parts that are wrong."""
     get = lambda k: F.get_json_object(policy, f"$.{k}")
     levels = F.map_values(F.from_json(get("rule_levels"), "map<string, string>"))
-    exempt = F.from_json(get("exemptions"), "array<struct<rule: string, expires: string>>")
+    exempt = F.from_json(get("exemptions"), "array<struct<rule: string, reason: string, expires: string, approved_by: string>>")
+    kind = F.coalesce(get("audit.export.type"), F.lit("none"))
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
     known = ["audit", "warn", "strict"]
     return F.array_compact(
         F.array(
-            F.when(get("schema_version").isNull(), "schema_version"),
+            F.when(~F.coalesce(get("schema_version") == "1", F.lit(False)), "schema_version"),
             F.when(~F.coalesce(get("level").isin(known), F.lit(False)), "level"),
             F.when(F.exists(levels, lambda x: ~x.isin(known)), "rule_levels"),
-            F.when(F.exists(exempt, lambda e: e["rule"].isNull() | F.try_to_date(e["expires"], "yyyy-MM-dd").isNull()), "exemptions"),
+            F.when(~kind.isin("none", "file", "http"), "audit.export.type"),
+            F.when((kind == "file") & empty(get("audit.export.path")), "audit.export.path"),
+            F.when((kind == "http") & empty(get("audit.export.url")), "audit.export.url"),
+            F.when(F.exists(exempt, lambda e: empty(e["rule"]) | empty(e["reason"]) | empty(e["approved_by"])), "exemptions"),
+            F.when(F.exists(exempt, lambda e: F.try_to_date(e["expires"], "yyyy-MM-dd").isNull()), "exemptions.expires"),
         )
     )
 
 
+# The policy where its file says nothing.
+POLICY = {
+    "schema_version": "1",
+    "policy_version": "unknown",
+    "level": "audit",
+    "rule_levels": {},
+    "protected_branches": '["main","master"]',
+    "exclusions": "[]",
+    "exemptions": "[]",
+    "session_memory": {"enabled": "true", "ttl_hours": "24"},
+    "llm": {"enabled": "false", "model": "haiku", "max_calls_per_session": "20"},
+    "audit": {"retention_days": "30", "export": '{"type":"none","path":null,"url":null,"token_env":null}'},
+    "ui": {"banner": "true", "verbosity": "normal"},
+}
+
+
 def load_policy(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
-    """One row (level, rule_levels): the file over the defaults, one level deep."""
-    base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
-    got = F.coalesce(F.from_json(F.get_json_object("value", "$.rule_levels"), "map<string, string>"), F.create_map().cast("map<string, string>"))
-    merged = F.map_from_entries(F.concat(F.map_entries(F.map_filter(base, lambda k, v: ~F.map_contains_key(got, k))), F.map_entries(F.map_filter(got, lambda k, v: ~k.startswith("$")))))
-    return spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", "$.level"), F.lit("warn")).alias("level"), merged.alias("rule_levels"))
+    """One row with every section: the file over the defaults, one level deep; keys that begin with $ are comments.
+
+    Plain sections are text (lists as JSON), the others maps. `defaults` are the rule levels of the rules at hand.
+    A file that is no object gives the defaults.
+    """
+    none = F.create_map().cast("map<string, string>")
+    file = F.coalesce(F.from_json("value", "map<string, string>"), none)
+
+    def section(name: str, base) -> Column:
+        if not isinstance(base, dict):
+            return F.coalesce(F.element_at(file, name), F.lit(base)).alias(name)
+        base = base | defaults if name == "rule_levels" else base
+        known = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]).cast("map<string, string>") if base else none
+        given = F.coalesce(F.from_json(F.element_at(file, name), "map<string, string>"), none)
+        return F.map_zip_with(known, F.map_filter(given, lambda k, v: ~k.startswith("$")), lambda k, a, b: F.coalesce(b, a)).alias(name)
+
+    return spark.read.text(path, wholetext=True).select(*(section(k, v) for k, v in POLICY.items()))
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -106,14 +161,20 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", F.when(bad, "LOCAL_FILE_INVALID"))
 
 
-def read_artifacts(spark: SparkSession, path: str, watched: list[str]) -> DataFrame:
-    """Repo, rel, content of the watched files of `path/<repo>/...`; a missing one is a row without content."""
+def read_artifacts(spark: SparkSession, path: str, watched: list[str], folders: list[str] = ()) -> DataFrame:
+    """Repo, rel, content of the watched files of `path/<repo>/...` and of all files in its watched folders.
+
+    A missing file is a row without content. A content is cut at 2 MiB, a guard of this source against files meant to be too large.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = path.rstrip("/")
     tail = F.substring_index("path", f"{base}/", -1)
     found = files.select(F.substring_index(tail, "/", 1).alias("repo"), F.regexp_replace(tail, "^[^/]+/", "").alias("rel"), F.substring("content", 1, 2 << 20).alias("content"))
     frame = found.select("repo").distinct().join(F.broadcast(spark.createDataFrame([(w,) for w in watched], "rel string")))
-    return frame.join(found, ["repo", "rel"], "left")
+    rows = frame.join(found, ["repo", "rel"], "left")
+    for folder in folders:
+        rows = rows.unionByName(found.where(F.col("rel").startswith(folder)))
+    return rows
 
 
 def read_tool_events(spark: SparkSession, path: str) -> DataFrame:

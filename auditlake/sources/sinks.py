@@ -8,8 +8,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -29,15 +30,16 @@ def export_files(df: DataFrame, path: str) -> DataFrame:
     """User, host, day folders, each replaced as a whole; a path that can't be written is a reported failure."""
     spark = df.sparkSession
     try:
-        rows = df.withColumn("day", F.left("ts", F.lit(10)))
+        seen = Observation()
+        rows = df.withColumn("day", F.left("ts", F.lit(10))).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("user", "host", "day").json(path)
-        return result(spark, True, rows.count())
+        return result(spark, True, seen.get["n"])
     except Exception as error:
         return result(spark, False, reason=type(error).__name__)
 
 
 class HttpSink(DataSource):
-    """Posts each partition as {"records": [...]}; the token's variable is named, never given."""
+    """Posts the rows of each partition, some hundreds at once, as {"records": [...]}; the token's variable is named, never given."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,10 +53,11 @@ class _HttpWriter(DataSourceWriter):
     def __init__(self, options):
         self.url, self.token_env = options["url"], options.get("token_env", "")
         self.timeout, self.retries = float(options.get("timeout", "10")), int(options.get("retries", "2"))
+        self.batch = int(options.get("batch", "500"))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        records = [r.asDict(True) for r in rows]
-        if records:
+        rows = iter(rows)
+        while records := [r.asDict(True) for r in islice(rows, self.batch)]:
             headers = {"Content-Type": "application/json"}
             if self.token_env and os.environ.get(self.token_env):
                 headers["Authorization"] = f"Bearer {os.environ[self.token_env]}"
@@ -75,8 +78,9 @@ def export_http(df: DataFrame, url: str, token_env: str = "") -> DataFrame:
     spark = df.sparkSession
     spark.dataSource.register(HttpSink)
     try:
-        df.write.format("audit_http").option("url", url).option("token_env", token_env).mode("append").save()
-        return result(spark, True, df.count())
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("audit_http").option("url", url).option("token_env", token_env).mode("append").save()
+        return result(spark, True, seen.get["n"])
     except Exception as error:
         return result(spark, False, reason=type(error).__name__)
 
@@ -93,6 +97,32 @@ def export(df: DataFrame, cfg: dict) -> DataFrame:
     return result(df.sparkSession, False, reason=f"unknown type {kind}")
 
 
+def export_pending(spark: SparkSession, source: str, cfg: dict, checkpoint: str) -> DataFrame:
+    """Exports what the checkpoint hasn't seen; a failed batch stays unseen, and the next run repeats it. One result row."""
+    from auditlake.sources.audit import stream_audit
+
+    if cfg.get("type", "none") == "none":
+        return result(spark, True, reason="disabled")
+    done: list[tuple] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        if cfg["type"] == "file":
+            # A batch's folder is replaced as a whole when it is repeated.
+            out = export_files(batch, f"{cfg['path'].rstrip('/')}/batch={number}")
+        else:
+            out = export(batch, cfg)
+        row = out.first()
+        done.append(tuple(row))
+        if not row.ok:
+            raise RuntimeError(row.reason)
+
+    try:
+        stream_audit(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    except Exception:
+        return result(spark, False, reason=done[-1][3] if done else "stream failed")
+    return result(spark, True, sum(d[1] or 0 for d in done), sum(d[2] or 0 for d in done))
+
+
 def save_baseline(rows: DataFrame, path: str) -> None:
     """A new version of each repository's baseline (repo_id, status, trusted_at, ...)."""
     rows.write.mode("append").parquet(path)

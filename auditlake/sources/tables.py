@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="auditlake-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Once per application, give the executors this package, whose stateful processors they load by name."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='auditlake-')}/auditlake", "zip", root, "auditlake"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written and read again: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)

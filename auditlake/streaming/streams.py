@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from auditlake.functions import scalars as S
 from auditlake.sources.audit import stream_audit
+from auditlake.sources.tables import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,6 +59,7 @@ def session_memory(df: DataFrame) -> DataFrame:
     """
     key = S.memory_key(F.col("rule"), F.col("target"), F.col("agent_id"))
     rows = df.where(F.col("decision").isin("warn", "ask")).select("session_id", key.alias("key"), "event_id", F.unix_micros("event_time").alias("t"))
+    ship(df.sparkSession)
     return rows.groupBy("session_id", "key").transformWithStateInPandas(_Memory(), "event_id bigint, suppressed boolean", "Append", "ProcessingTime")
 
 
@@ -87,6 +89,7 @@ class _Trust(StatefulProcessor):
 
 def trust(df: DataFrame) -> DataFrame:
     """The status of a repository after each of its events (repo, seq, kind, fingerprint, findings)."""
+    ship(df.sparkSession)
     return df.groupBy("repo").transformWithStateInPandas(_Trust(), "repo string, seq bigint, status string", "Append", "None")
 
 
@@ -106,9 +109,9 @@ class _Silence(StatefulProcessor):
                 self.handle.deleteTimer(before + self.wait)
             self.last.update((seen,))
             self.handle.registerTimer(seen + self.wait)
-        yield pd.DataFrame({"user": [], "silent_since": []})
+        return iter(())
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         since = self.last.get()[0]
         self.last.clear()
         yield pd.DataFrame({"user": [key[0]], "silent_since": [since]})
@@ -120,6 +123,7 @@ class _Silence(StatefulProcessor):
 def heartbeat_gap(df: DataFrame, days: int = 3) -> DataFrame:
     """Users without a heartbeat for some days of event time."""
     beats = df.where("kind = 'heartbeat'").withWatermark("event_time", "1 hour").select("user", "event_time", F.unix_millis("event_time").alias("t"))
+    ship(df.sparkSession)
     return beats.groupBy("user").transformWithStateInPandas(_Silence(days), "user string, silent_since bigint", "Append", "EventTime")
 
 

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import commands as C
+from auditlake.functions import rules
+from auditlake.operators import config as G
 from auditlake.operators import policy as L
 from auditlake.operators import trust as T
 from auditlake.sources import audit as A
@@ -91,6 +93,9 @@ def test_rules_policy_overrides(spark, tmp_path):
     (tmp_path / "policy.json").write_text('{"level":"strict","rule_levels":{"injection":"strict","$comment":"x"}}')
     row = A.load_policy(spark, str(tmp_path / "policy.json"), L.CLASS_LEVELS).first()
     assert row.level == "strict" and row.rule_levels["injection"] == "strict" and row.rule_levels["platform"] == "warn" and "$comment" not in row.rule_levels
+    assert row.audit["retention_days"] == "30" and row.protected_branches == '["main","master"]' and row.ui["banner"] == "true"
+    odd = spark.createDataFrame([("s", json.dumps(good | {"match": {"kind": "regex", "pattern": p}})) for p in ("a+", "a(")], "set string, rule string")
+    assert [r.problem for r in A.bad_patterns(odd).collect()] == ["RULE_REGEX_INVALID"]
     for user, text in (("u1", "{}"), ("u2", "[1]"), ("u3", "{")):
         (tmp_path / "users" / user).mkdir(parents=True)
         (tmp_path / "users" / user / "local.json").write_text(text)
@@ -103,6 +108,9 @@ def test_artifacts_and_tool_events(spark, tmp_path):
     (tmp_path / "repos" / "a" / "conf" / "x.json").write_text("{}")
     rows = {r.rel: r.content for r in A.read_artifacts(spark, str(tmp_path / "repos"), ["conf/x.json", "y.md"]).collect()}
     assert bytes(rows["conf/x.json"]) == b"{}" and rows["y.md"] is None
+    (tmp_path / "repos" / "a" / "run").mkdir()
+    (tmp_path / "repos" / "a" / "run" / "b.sh").write_text("echo")
+    assert {r.rel for r in A.read_artifacts(spark, str(tmp_path / "repos"), ["y.md"], ["run/"]).collect()} == {"y.md", "run/b.sh"}
     (tmp_path / "calls.jsonl").write_text('{"session_id":"s","tool_name":"Bash","tool_input":{"command":"ls"}}\n\n[1]\n')
     assert [r.tool_name for r in A.read_tool_events(spark, str(tmp_path / "calls.jsonl")).collect()] == ["Bash"]
 
@@ -123,7 +131,7 @@ def test_directory_hash_order_and_cap(spark):
 def test_random_lines_never_fail(spark):
     pick = random.Random(7)
     parts = ["rm", "-rf", "'", '"', "`", "$(", ")", "|", "&&", ";", "\\", ">", "x=1", "$A", "sudo", "bash -c", "\n", " ", "é", "#", "2>&1"]
-    rows = [(i, " ".join(pick.choices(parts, k=pick.randint(0, 30)))) for i in range(300)]
+    rows = [(i, " ".join(pick.choices(parts, k=pick.randint(0, 30)))) for i in range(10_000)]
     cmds = C.parse_log(spark.createDataFrame(rows, "id long, line string"), "id", "line")
     assert cmds.where("argv0 IS NULL OR argv0 = ''").count() == 0
 
@@ -208,3 +216,101 @@ def test_directory_hash_covers_every_file(spark):
     lines = sorted(f"{rel}:sha256:{hashlib.sha256(text.encode()).hexdigest()}" for _, rel, text in rows)
     found = T.dir_hash(spark.createDataFrame(rows, "dir string, rel string, content string")).first().dir_hash
     assert found == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def _log(spark, lines, **more):
+    row = {"cwd": "/home/dev/app", "home": "/home/dev", "branch": "topic", "session_id": "s", "agent_id": None} | more
+    rows = [(i, text, *row.values(), 1704067200 + i * 3600) for i, text in enumerate(lines)]
+    return spark.createDataFrame(rows, "event_id long, line string, cwd string, home string, branch string, session_id string, agent_id string, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+
+
+def _classified(spark, lines, exempt=(), rules_=None, levels=None, level="strict", **more):
+    exemptions = spark.createDataFrame(list(exempt), "position int, rule string, target_regex string, expires string")
+    table = C.rule_table(spark, rules_ or rules.COMMANDS)
+    verdicts, records = C.classify_commands(_log(spark, lines, **more), table, [], levels or L.rule_levels(spark), exemptions, "2024-06-01", ["main"], level=level)
+    return {r.event_id: (r.decision, r.rule) for r in verdicts.collect()}, records.collect()
+
+
+def test_verdicts_with_exemptions_memory_and_limits(spark):
+    lines = ["sudo ls", "rm -rf /", "rm -r $(cat x)", "rm -r $(cat x)", "rm -r $(cat y)", "ls", "", None, "; ".join(["echo a"] * 300), "chmod 777 a; git reset --hard; sudo a; mount b; rm -rf /; crontab x; mkfs /dev/x; dd if=a of=/dev/sda; git clean -f; git filter-branch; git restore f"]
+    exempt = [(0, "command-sudo", None, "2030-01-01"), (1, "command-rm-root", None, "2020-01-01")]
+    found, records = _classified(spark, lines, exempt)
+    # Privilege is at audit level, so sudo is logged; the expired exemption doesn't count; the second ask is remembered.
+    assert found[0] == (None, None) and found[1] == ("deny", "command-rm-root")
+    assert found[2] == ("ask", "command-rm-dynamic-target") and found[3] == (None, None)
+    assert found[5] == found[6] == found[7] == (None, None)
+    assert found[8] == ("ask", "PARSER_UNRESOLVED")
+    assert sum(r.event_id == 9 for r in records) == C.RECORDS
+    assert {(r.event_id, r.rule, r.outcome) for r in records if r.event_id in (0, 3, 8)} == {(0, "command-sudo", "logged"), (3, "command-rm-dynamic-target", "logged"), (8, "PARSER_UNRESOLVED", "asked")}
+
+
+def test_users_rules_join_the_table(spark):
+    own = rules._rule("own-terraform", "privilege", "CRITICAL", "applies a plan", argv0=["terraform"], args_contain_any=["apply"])
+    body = json.dumps({"extra_rules": [own | {"match": own["match"] | {"kind": "command"}}, {"id": "x"}]})
+    overrides = spark.createDataFrame([("u1", body)], "user_name string, body string")
+    taken = [json.loads(r.rule) for r in G.extra_rules(overrides).collect()]
+    assert [r["id"] for r in taken] == ["own-terraform"]
+    levels = spark.createDataFrame([("own-terraform", "strict")], "key string, level string")
+    lines = ["terraform apply", "terraform plan"]
+    assert _classified(spark, lines, levels=levels, level="warn")[0] == {0: (None, None), 1: (None, None)}
+    assert _classified(spark, lines, rules_=rules.COMMANDS + taken, levels=levels, level="warn")[0] == {0: ("deny", "own-terraform"), 1: (None, None)}
+
+
+def test_wrappers_of_wrappers_end_with_a_warning(spark):
+    line = "nohup " * 20 + "sudo ls"
+    rows = spark.createDataFrame([(1, line)], "id long, line string")
+    cmds = C.parse_log(rows, "id", "line")
+    assert cmds.where("argv0 = 'ls'").count() == 1 and cmds.where("array_contains(warnings, 'recursion_limit')").count() == 0
+    cut = C.parse_log(rows, "id", "line", rounds_at_most=3)
+    assert cut.where("array_contains(warnings, 'recursion_limit')").count() == 1
+
+
+def test_overrides_only_tighten(spark):
+    body = json.dumps({"level": "strict", "rule_levels": {"injection": "strict", "privilege": "loud"}, "ui": {"banner": False, "x": 1}, "llm": {}})
+    effective, problems = G.merge_overrides(spark.createDataFrame([("u", body), ("v", "7")], "user_name string, body string"), L.CLASS_LEVELS, "warn")
+    rows = {r.user_name: r for r in effective.collect()}
+    assert rows["u"].floor == "strict" and rows["u"].rule_levels["injection"] == "strict" and rows["u"].rule_levels["privilege"] == "audit" and rows["u"].ui == {"banner": "false"}
+    assert rows["v"].floor is None and rows["v"].rule_levels == L.CLASS_LEVELS
+    assert sorted((r.user_name, r.problem, r.target) for r in problems.collect()) == [("u", "LOCAL_OVERRIDE_REJECTED", "llm"), ("u", "LOCAL_OVERRIDE_UNKNOWN", "rule_levels.privilege"), ("u", "LOCAL_OVERRIDE_UNKNOWN", "ui.x"), ("v", "LOCAL_FILE_INVALID", None)]
+
+
+def test_directory_hash_with_a_cap(spark):
+    rows = [("d", f"f{i}", "x") for i in range(9)]
+    frame = lambda r: spark.createDataFrame(r, "dir string, rel string, content string")
+    assert T.dir_hash(frame(rows), 5).first() == T.dir_hash(frame(rows[:5] + [("d", "f9", "y")]), 5).first() != T.dir_hash(frame(rows[:5])).first()
+
+
+def test_silence_alarm(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    rows = [("heartbeat", "u1", 0), ("heartbeat", "u2", 1), ("heartbeat", "u2", 100)]
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], "kind string, user string, hour long").coalesce(1).write.mode("append").parquet(str(tmp_path / "beats"))
+    live = spark.readStream.schema("kind string, user string, hour long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "beats")).withColumn("event_time", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600))
+    assert {(r.user, r.silent_since) for r in _run(spark, tmp_path, X.heartbeat_gap(live)) if r.user} >= {("u1", 1704067200000)}
+
+
+def test_injections_without_a_secret(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    schema = "session_id string, tool_use_id string, hour long"
+    hour = lambda df: df.withColumn("event_time", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600))
+    late = ("z", "z", 500)
+    injections = hour(_stream(spark, tmp_path, "i", [("s", "t1", 0), ("s", "t2", 0), late], schema))
+    secrets = hour(_stream(spark, tmp_path, "j", [("s", "t1", 0), late], schema))
+    assert [(r.session_id, r.tool_use_id) for r in _run(spark, tmp_path, X.conflict(injections, secrets))] == [("s", "t2")]
+
+
+def test_activity_windows_of_a_stream(spark, tmp_path):
+    rows = [("s", 0), ("s", 1), ("s", 20), ("t", 500)]
+    live = _stream(spark, tmp_path, "a", rows, "session_id string, hour long").withColumn("event_time", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600))
+    assert sorted((r.session_id, r.n) for r in _run(spark, tmp_path, X.activity(live)) if r.session_id == "s") == [("s", 1), ("s", 2)]
+
+
+def test_pending_export_repeats_what_failed(spark, log, tmp_path):
+    (tmp_path / "blocked").write_text("a file")
+    mark = str(tmp_path / "mark")
+    assert not K.export_pending(spark, log, {"type": "file", "path": str(tmp_path / "blocked")}, mark).first().ok
+    done = K.export_pending(spark, log, {"type": "file", "path": str(tmp_path / "out")}, mark).first()
+    assert done.ok and done.sent == 2
+    assert K.export_pending(spark, log, {"type": "file", "path": str(tmp_path / "out")}, mark).first().sent == 0
+    assert K.export_pending(spark, log, {}, mark).first().reason == "disabled"
