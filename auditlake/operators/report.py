@@ -72,9 +72,9 @@ def never_fired(rules: DataFrame, events: DataFrame, classes: list[str]) -> Data
     return rules.where(F.col("class").isin(classes)).join(events.select("rule").distinct(), "rule", "left_anti")
 
 
-def fleet_rollup(df: DataFrame) -> DataFrame:
-    """A19."""
-    return df.rollup("user_name", "host", "class").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level_id"))
+def fleet_rollup(df: DataFrame, *dims: str) -> DataFrame:
+    """Counts by user, host, day, class and action, or other dimensions, with subtotals."""
+    return df.rollup(*(dims or ("user_name", "host", "day", "class", "action"))).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level_id"))
 
 
 def cap_rows(df: DataFrame, n: int, by_: list[str], order: list[Column | str]) -> DataFrame:
@@ -82,9 +82,49 @@ def cap_rows(df: DataFrame, n: int, by_: list[str], order: list[Column | str]) -
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by_).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+# What a record says where its caller doesn't.
+RECORD = {"kind": "event", "session_id": None, "agent_id": None, "user_name": None, "host": None, "cwd": None, "repo": None, "git_branch": None, "event": None, "tool": None, "rule": "-", "class": "internal", "severity": "LOW", "level": None, "action": "logged", "target": None}
+
+
 def to_audit_record(df: DataFrame, evidence: Column, hook: str) -> DataFrame:
-    """A full record: defaults, then the given fields, evidence cut."""
-    return df.select("event_id", F.lit(1).alias("v"), F.lit(hook).alias("hook"), F.coalesce("rule", F.lit("-")).alias("rule"), F.coalesce("severity", F.lit("LOW")).alias("severity"), F.coalesce("action", F.lit("logged")).alias("action"), F.left(evidence, F.lit(S.EVIDENCE)).alias("evidence"))
+    """A full record: defaults, then the given fields, evidence cut and redacted."""
+    from auditlake.operators.injection import sanitize_evidence
+
+    field = lambda k, v: F.coalesce(F.col(k), F.lit(v)).alias(k) if k in df.columns else F.lit(v).cast("string").alias(k)
+    return df.select("event_id", F.lit(1).alias("v"), F.lit(hook).alias("hook"), *(field(k, v) for k, v in RECORD.items()), sanitize_evidence(evidence).alias("evidence"))
+
+
+def applicable(df: DataFrame, control: str, controls: dict[str, tuple[str, list[str], str | None]]) -> DataFrame:
+    """The rows that a control looks at: its event, one of its tools, and a field that isn't blank. Others get no decision."""
+    event, tools, field = controls[control]
+    rows = df.where((F.col("event") == event) & F.col("tool").isin(tools))
+    return rows.where(F.coalesce(F.trim(field), F.lit("")) != "") if field else rows
+
+
+def injection_action(confidence: Column, level: Column) -> Column:
+    """(action, emitted) of an injection finding: low confidence is only logged, and an audit level says nothing in the context."""
+    sure = confidence != "low"
+    return F.struct(F.when(sure, "warned").otherwise("logged").alias("action"), (sure & (level != "audit")).alias("emitted"))
+
+
+def normalise_unless_secret(injections: DataFrame, secrets: DataFrame) -> DataFrame:
+    """Injection findings of tool calls (session_id, tool_use_id) without a secret finding."""
+    return injections.join(secrets.select("session_id", "tool_use_id").distinct(), ["session_id", "tool_use_id"], "left_anti")
+
+
+def secret_leaks(raw: DataFrame, column: str, secrets: list[tuple]) -> DataFrame:
+    """For every secret rule the number of raw lines that hold one; all rules in one pass over the lines."""
+    found = raw.agg(*(F.count_if(F.col(column).rlike(pattern)).alias(kind) for kind, _, pattern in secrets))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("rule"), F.col(kind).alias("n")) for kind, _, _ in secrets))).alias("x")).select("x.*")
+
+
+def weekly_review(audit: DataFrame, labels: DataFrame, most: int = 20) -> DataFrame:
+    """(list, name, n): users by days without a heartbeat, and rules by reviewed findings that were false; the first of each."""
+    beats, days = split_kind(audit)[1], audit.select("day")
+    gaps = heartbeat_gaps(beats, audit.select("user_name").distinct(), days).groupBy(F.col("user_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    false = audit.join(labels.where("false_positive").select("event_id"), "event_id", "left_semi").where("rule is not null").groupBy(F.col("rule").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    first = lambda df, kind: df.orderBy(F.desc("n"), "name").limit(most).select(F.lit(kind).alias("list"), "name", "n")
+    return first(gaps, "silent users").unionByName(first(false, "false rules"))
 
 
 def retention(days: DataFrame, keep: int, today: str) -> DataFrame:

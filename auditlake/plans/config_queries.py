@@ -12,6 +12,7 @@ from auditlake.operators import commands as C
 from auditlake.operators import config as G
 from auditlake.operators import injection as I
 from auditlake.operators import policy as L
+from auditlake.operators import report as R
 from auditlake.operators import trust as T
 from auditlake.operators.json import redact_json
 from auditlake.plans.command_queries import CWD, HOME, VERDICTS
@@ -291,3 +292,43 @@ def classify(spark, d):
 
 QUERIES["c15_verdicts"] = lambda spark, d: classify(spark, d)[0]
 SQL["c15_verdicts"] = expected(["decision", "rule"], [r[1:] for r in VERDICTS])
+
+
+@query("a19_fleet_rollup", WITH + "SELECT user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, class, action, count(*) AS n, CAST(grouping(user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR), class, action) AS BIGINT) AS level_id FROM audit GROUP BY ROLLUP (user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR), class, action)")
+def _(spark, d):
+    return R.fleet_rollup(audit(spark, d).withColumn("day", F.col("ts").cast("date").cast("string")))
+
+
+@query("p01_audit_record", WITH + "SELECT event_id, 1 AS v, 'report' AS hook, kind, session_id, agent_id, user_name, host, NULL::VARCHAR AS cwd, NULL::VARCHAR AS repo, NULL::VARCHAR AS git_branch, event, NULL::VARCHAR AS tool, coalesce(rule, '-') AS rule, coalesce(class, 'internal') AS class, coalesce(severity, 'LOW') AS severity, NULL::VARCHAR AS level, coalesce(action, 'logged') AS action, target, session_id || ' TOKEN=[REDACTED:ENV_SECRET] ' || target AS evidence FROM audit")
+def _(spark, d):
+    return R.to_audit_record(audit(spark, d), F.concat_ws(" ", "session_id", F.lit("TOKEN=sesame1"), "target"), "report")
+
+
+@query("p11_secret_leaks", r"""SELECT unnest(['GITHUB_TOKEN', 'AWS_ACCESS_KEY_ID', 'PRIVATE_KEY', 'ENV_SECRET', 'HEX_TOKEN']) AS rule, unnest([count(*) FILTER (regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{36}\b')), count(*) FILTER (regexp_matches(text, '\b(AKIA|ASIA)[A-Z0-9]{16}\b')), count(*) FILTER (regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')), count(*) FILTER (regexp_matches(text, '(API_KEY|SECRET_ACCESS_KEY|PASSWORD|TOKEN)=[^\s''"]{6,}')), count(*) FILTER (regexp_matches(text, '\b[0-9a-f]{40}\b'))]) AS n FROM documents""")
+def _(spark, d):
+    return R.secret_leaks(table(spark, d, "documents"), "text", rules.SECRETS)
+
+
+@query("p15_applicable", WITH + "SELECT event_id FROM audit WHERE event = 'PreToolUse' AND host IN ('h1', 'h2') AND action IS NOT NULL")
+def _(spark, d):
+    controls = {"command": ("PreToolUse", ["h1", "h2"], "action"), "path": ("PreToolUse", ["h3"], None)}
+    return R.applicable(audit(spark, d).withColumnRenamed("host", "tool"), "command", controls).select("event_id")
+
+
+@query("p16_injection_action", WITH + "SELECT event_id, CASE WHEN event_id % 6 < 2 THEN 'logged' ELSE 'warned' END AS action, event_id % 6 >= 2 AND event_id % 5 <> 0 AS emitted FROM audit")
+def _(spark, d):
+    level = F.when(F.col("event_id") % 5 == 0, "audit").otherwise("warn")
+    return audit(spark, d).select("event_id", R.injection_action(S.confidence(F.col("event_id") % 6, F.lit(1)), level).alias("x")).select("event_id", "x.*")
+
+
+@query("j13_normalise_unless_secret", WITH + ", k AS (SELECT *, event_id // 3 AS tool_use_id FROM audit) SELECT event_id FROM k a WHERE class = 'injection' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.class = 'privilege' AND b.session_id = a.session_id AND b.tool_use_id = a.tool_use_id)")
+def _(spark, d):
+    a = audit(spark, d).withColumn("tool_use_id", F.expr("event_id div 3"))
+    return R.normalise_unless_secret(a.where("class = 'injection'"), a.where("class = 'privilege'")).select("event_id")
+
+
+@query("t04_weekly_review", WITH + ", b AS (SELECT DISTINCT user_name, CAST(ts AS DATE) AS day FROM audit WHERE kind = 'heartbeat'), u AS (SELECT DISTINCT user_name FROM audit), dd AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM audit), g AS (SELECT user_name AS name, count(*) AS n FROM (SELECT user_name, day FROM u, dd EXCEPT SELECT user_name, day FROM b) GROUP BY 1 ORDER BY n DESC, name LIMIT 20), f AS (SELECT rule AS name, count(*) AS n FROM audit WHERE rule IS NOT NULL AND event_id % 9 = 0 GROUP BY 1 ORDER BY n DESC, name LIMIT 20) SELECT 'silent users' AS list, * FROM g UNION ALL SELECT 'false rules', * FROM f")
+def _(spark, d):
+    a = audit(spark, d).withColumn("day", S.day_key(F.col("ts")))
+    labels = a.where("event_id % 3 = 0").select("event_id", (F.col("event_id") % 9 == 0).alias("false_positive"))
+    return R.weekly_review(a, labels)

@@ -122,11 +122,6 @@ def _(spark, d):
     return R.never_fired(a.select("rule", "class").distinct(), a.where("user_name = 'u1' AND ts < TIMESTAMP_NTZ '2024-01-03 00:00:00'"), ["git-destructive", "injection"]).select("rule")
 
 
-@query("a19_fleet_rollup", WITH + "SELECT user_name, host, class, count(*) AS n, CAST(grouping(user_name, host, class) AS BIGINT) AS level_id FROM audit GROUP BY ROLLUP (user_name, host, class)")
-def _(spark, d):
-    return R.fleet_rollup(audit(spark, d))
-
-
 @query("a20_escalation_share", WITH + "SELECT event, round(avg(CASE WHEN severity = 'MEDIUM' THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(CASE WHEN severity = 'MEDIUM' THEN 1.0 ELSE 0.0 END), 6) > 0.02 AS alarm FROM audit GROUP BY event")
 def _(spark, d):
     share = F.round(F.avg(F.when(F.col("severity") == "MEDIUM", 1.0).otherwise(0.0)), 6)
@@ -140,11 +135,6 @@ def _(spark, d):
     return audit(spark, d).agg(exact.alias("sessions"), F.count_distinct("user_name").alias("users"), (F.abs(near - exact) <= exact * 0.1).alias("close"))
 
 
-@query("p01_audit_record", WITH + "SELECT event_id, 1 AS v, 'report' AS hook, coalesce(rule, '-') AS rule, coalesce(severity, 'LOW') AS severity, coalesce(action, 'logged') AS action, left(session_id || ' ' || target, 512) AS evidence FROM audit")
-def _(spark, d):
-    return R.to_audit_record(audit(spark, d), F.concat_ws(" ", "session_id", "target"), "report")
-
-
 @query("p02_split_kind", WITH + "SELECT kind, count(*) AS n, min(event_id) AS first_id FROM audit GROUP BY kind")
 def _(spark, d):
     e, h = R.split_kind(audit(spark, d))
@@ -166,11 +156,6 @@ def _(spark, d):
     return table(spark, d, "events").where(F.col("props").rlike('"(prompt_text|messages|transcript)"')).agg(F.count(F.lit(1)).alias("leaks"))
 
 
-@query("p11_secret_leaks", "SELECT 'HEX_TOKEN' AS rule, count(*) AS n FROM documents WHERE regexp_matches(text, '\\b[0-9a-f]{40}\\b')")
-def _(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"\b[0-9a-f]{40}\b")).agg(F.lit("HEX_TOKEN").alias("rule"), F.count(F.lit(1)).alias("n")).select("rule", "n")
-
-
 @query("p12_by_agent", WITH + "SELECT rule, target, count(DISTINCT severity) = 1 AS same FROM audit WHERE rule IS NOT NULL GROUP BY rule, target")
 def _(spark, d):
     return audit(spark, d).where("rule is not null").groupBy("rule", "target").agg((F.count_distinct("severity") == 1).alias("same"))
@@ -183,17 +168,6 @@ def _(spark, d):
     return level.select("event_id", "user_name", "rule", "severity", F.when(F.col("level") == "audit", "logged").otherwise("warned").alias("action"))
 
 
-@query("p15_applicable", WITH + "SELECT event_id FROM audit WHERE event = 'PreToolUse' AND target <> 't0' AND rule IS NOT NULL")
-def _(spark, d):
-    return audit(spark, d).where("event = 'PreToolUse' AND target <> 't0' AND rule IS NOT NULL").select("event_id")
-
-
-@query("p16_injection_action", WITH + "SELECT event_id, CASE WHEN event_id % 6 < 2 THEN 'logged' ELSE 'warned' END AS action, event_id % 6 >= 2 AS emitted FROM audit")
-def _(spark, d):
-    conf = S.confidence(F.col("event_id") % 6, F.lit(1))
-    return audit(spark, d).select("event_id", F.when(conf != "low", "warned").otherwise("logged").alias("action"), (conf != "low").alias("emitted"))
-
-
 @query("p18_heartbeats", WITH + "SELECT ts, user_name, wsl, policy_tampered FROM audit WHERE kind = 'heartbeat'")
 def _(spark, d):
     return R.split_kind(audit(spark, d))[1].select("ts", "user_name", "wsl", "policy_tampered")
@@ -269,12 +243,6 @@ def _(spark, d):
     return R.heartbeat_gaps(R.split_kind(a)[1], a.select("user_name").distinct(), a.select("day"))
 
 
-@query("j13_normalise_unless_secret", WITH + "SELECT event_id FROM audit a WHERE class = 'injection' AND NOT EXISTS (SELECT 1 FROM audit b WHERE b.class = 'privilege' AND b.session_id = a.session_id)")
-def _(spark, d):
-    a = audit(spark, d)
-    return a.where("class = 'injection'").join(a.where("class = 'privilege'").select("session_id").distinct(), "session_id", "left_anti").select("event_id")
-
-
 @query("w03_cap_rows", WITH + "SELECT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS rn FROM audit) WHERE rn <= 8")
 def _(spark, d):
     return R.cap_rows(audit(spark, d), 8, ["session_id"], ["event_id"]).select("session_id", "event_id")
@@ -285,13 +253,6 @@ def _(spark, d):
     return audit(spark, d).select("event_id", F.lag("action").over(Window.partitionBy("user_name").orderBy("ts", "event_id")).alias("before"))
 
 
-@query("t04_weekly_review", WITH + ", b AS (SELECT DISTINCT user_name, CAST(ts AS DATE) AS day FROM audit WHERE kind = 'heartbeat'), u AS (SELECT DISTINCT user_name FROM audit), dd AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM audit) SELECT user_name, count(*) AS days FROM (SELECT user_name, day FROM u, dd EXCEPT SELECT user_name, day FROM b) GROUP BY 1 ORDER BY days DESC, user_name LIMIT 20")
-def _(spark, d):
-    a = audit(spark, d).withColumn("day", S.day_key(F.col("ts")))
-    gaps = R.heartbeat_gaps(R.split_kind(a)[1], a.select("user_name").distinct(), a.select("day"))
-    return gaps.groupBy("user_name").agg(F.count(F.lit(1)).alias("days")).orderBy(F.desc("days"), "user_name").limit(20)
-
-
 _HAVE = "WITH have AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS have FROM events GROUP BY 1)"
 
 
