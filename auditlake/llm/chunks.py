@@ -3,12 +3,13 @@
 Documents are cut by id into consecutive ranges (chunks), so an earlier chunk
 holds smaller ids. A chunk sorts the distinct hashes of its windows and sends
 them, as differences, to hash buckets; a bucket answers every chunk with one bit
-for each hash: did an earlier chunk send it? A value shared by a third of all
+for each hash: did a chunk of smaller ids send it? A value shared by a third of all
 rows thus costs a bucket one hash for each chunk, however often it occurs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -25,20 +26,42 @@ SENT = "bucket int, chunk int, hashes binary"
 ANSWER = "chunk int, bucket int, bits binary"
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk) dealt by chunk, and the bytes of all texts. A null id counts as the smallest."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+class Cut:
+    """The rows (doc_id, known, text, chunk) dealt by chunk, the bytes of all texts, and which chunks hold the same ids."""
+
+    def __init__(self, rows: DataFrame, size: int, bases: list[int]):
+        self.rows, self.size, self.bases = rows, size, np.array(bases)
+
+    def rank(self, chunk: np.ndarray) -> np.ndarray:
+        """Chunks in order of their ids: chunks of the rows of one id have the same rank."""
+        return np.searchsorted(self.bases, chunk, side="right")
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Cut:
+    """Chunks of about as many rows each. A null id (known is false) counts as the smallest.
+
+    An id that fills more than a chunk has chunks of its own, dealt by the text's hash.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-size // chunk_bytes))
-    at = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    bounds = sorted(set(at))
+    at = Counter(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])
+    hot = {v for v, k in at.items() if k > 1}
+    bounds = sorted(set(at) | {v - 1 for v in hot if v > LEAST_ID})
     if not bounds:
-        return rows.withColumn("chunk", F.lit(0)).repartition(1, "chunk"), size
+        return Cut(rows.withColumn("chunk", F.lit(0)).repartition(1, "chunk"), size, [0])
     # The number of bounds below an id, by bisection.
     steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
     below = lambda n: F.get(F.lit(bounds), F.least(n, F.lit(len(bounds))) - 1) < F.col("doc_id")
-    chunk = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & below(a + s), a + s).otherwise(a))
-    return rows.withColumn("chunk", chunk).repartition(len(bounds) + 1, "chunk"), size
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & below(a + s), a + s).otherwise(a))
+    many = [at[v] if v in hot else 1 for v in bounds] + [1]
+    bases = [sum(many[:i]) for i in range(len(many))] if hot else list(range(len(many)))
+    if hot:
+        own = F.pmod(F.xxhash64("text"), F.get(F.lit(many), F.col("chunk"))).cast("int")
+        rows = rows.withColumn("chunk", place).withColumn("chunk", (F.get(F.lit(bases), F.col("chunk")) + own).cast("int"))
+    else:
+        rows = rows.withColumn("chunk", place)
+    return Cut(rows.repartition(sum(many), "chunk"), size, bases)
 
 
 def buckets_for(hashes: int) -> int:
@@ -74,27 +97,33 @@ def send(chunk: int, hashes: np.ndarray, buckets: int) -> pa.Table:
     return pa.table(list(map(list, zip(*rows, strict=True))) or [[], [], []], schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())]))
 
 
-def answer(sent: pa.Table) -> pa.Table:
-    """For each chunk's hashes in this bucket: a bit, set if an earlier chunk sent the hash too."""
+def answer(sent: pa.Table, cut: Cut) -> pa.Table:
+    """For each chunk's hashes in this bucket: a bit, set if a chunk of smaller ids sent the hash too."""
     sent = sent.sort_by("chunk")
     runs = [decode(b) for b in sent.column("hashes").to_pylist()]
     every = np.concatenate(runs)
     order = np.argsort(every, kind="stable")
-    again = np.zeros(len(every), bool)
     ranked = every[order]
-    again[order[1:][ranked[1:] == ranked[:-1]]] = True
+    new = np.ones(len(every), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    # Stable: the first of equal hashes is of the chunk with the smallest ids.
+    rank = np.repeat(cut.rank(sent.column("chunk").to_numpy()), [len(r) for r in runs])
+    first = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.zeros(len(every), bool)
+    again[order] = first < rank[order]
     ends = np.cumsum([0, *map(len, runs)])
     bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return pa.table([sent.column("chunk"), sent.column("bucket"), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
 
 
-def answers(docs: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
+def answers(cut: Cut, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
     """What every chunk is told about the sorted distinct hashes that `hashes` finds in it."""
 
     def sender(table: pa.Table) -> pa.Table:
         return send(table.column("chunk")[0].as_py(), hashes(table), buckets)
 
-    return docs.groupBy("chunk").applyInArrow(sender, SENT).groupBy("bucket").applyInArrow(answer, ANSWER)
+    ranks = Cut(None, cut.size, cut.bases.tolist())
+    return cut.rows.groupBy("chunk").applyInArrow(sender, SENT).groupBy("bucket").applyInArrow(lambda t: answer(t, ranks), ANSWER)
 
 
 def told(hashes: np.ndarray, bits: pa.Table, buckets: int) -> np.ndarray:

@@ -6,9 +6,10 @@ with a smaller id. Windows are judged on the input, so overlapping repeated
 windows merge into maximal removal intervals.
 
 Defined results: null text has no words; texts shorter than a window lose
-nothing; repeated rows with one id don't remove each other's words, as neither
-id is smaller; a null id counts as the smallest; an empty table gives an empty
-result; further columns are ignored. Two windows are taken as equal if their
+nothing; a text of any length lies in one chunk, which is as large as that; repeated
+rows with one id don't remove each other's words, as neither id is smaller; null ids
+count as one that is the smallest; an empty table gives an empty result; further
+columns are ignored. Two windows are taken as equal if their
 64-bit hashes are.
 """
 
@@ -60,21 +61,21 @@ def _remove(table: pa.Table, bits: pa.Table, size: int, buckets: int) -> pa.Tabl
         np.add.at(cover, again + size, -1)
         gone = np.cumsum(cover[:-1]) > 0
         at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+        for i, (doc_id, known, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "known", "text")), strict=True)):
             own, raw = gone[at[i] : at[i + 1]], text.encode().split()
             n = int(own.sum())
             edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).tolist() if n else []
             kept = b" ".join(compress(raw, (~own).tolist()) if n else raw)
-            out.append((doc_id if doc_id != chunks.LEAST_ID else None, len(own), n, [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)], kept.decode()))
+            out.append((doc_id if known else None, len(own), n, [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)], kept.decode()))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, n_words, n_removed, removed (maximal intervals of word numbers), kept_text."""
-    cut, total = chunks.cut(docs)
-    buckets = chunks.buckets_for(total // 6)
+    cut = chunks.cut(docs)
+    buckets = chunks.buckets_for(cut.size // 6)
     bits = chunks.answers(cut, lambda t: _distinct(t, size), buckets)
-    return cut.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lambda t, b: _remove(t, b, size, buckets), _RESULT)
+    return cut.rows.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lambda t, b: _remove(t, b, size, buckets), _RESULT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ anchor on, and what stands before it.
 
 Defined results: null text is empty; texts shorter than SIZE lose nothing; a text
 of any length lies in one chunk, which is as large as that; repeated rows with one
-id don't remove each other's bytes; a null id counts as the smallest; an empty
+id don't remove each other's bytes; null ids count as one that is the smallest; an empty
 table gives an empty result; further columns are ignored. Bytes are compared, not
 hashes; hashes only choose anchors and ranges.
 """
@@ -299,10 +299,10 @@ def _windows(pairs: list[tuple[bytes, bytes]]) -> int:
     return sum(len(a) + len(b) - SIZE + 1 for a, b in pairs)
 
 
-def _merge_runs(sent: pa.Table) -> pa.Table:
-    """For every window of every chunk's super-suffixes in this bucket: a bit, set if an earlier chunk holds it."""
+def _merge_runs(sent: pa.Table, cut: chunks.Cut) -> pa.Table:
+    """For every window of every chunk's super-suffixes in this bucket: a bit, set if a chunk of smaller ids holds it."""
     sent = sent.sort_by("chunk")
-    number = sent.column("chunk").to_pylist()
+    number = cut.rank(sent.column("chunk").to_numpy())
     runs = [front_decode(r) for r in sent.column("run").to_pylist()]
     base = np.cumsum([0, *(len(r[0]) for r in runs)])
     rank, common = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.int64)
@@ -312,7 +312,7 @@ def _merge_runs(sent: pa.Table) -> pa.Table:
         common[n] = share
     before = list(chain.from_iterable(r[2] for r in runs))
     many = np.fromiter((len(a) + len(b) - SIZE + 1 for r in runs for a, b in zip(r[0], r[2], strict=True)), np.int64, len(before))
-    first = np.repeat(np.array(number, np.int64), np.diff(base))
+    first = np.repeat(number, np.diff(base))
     again = earliest(rank, common, before, many, first) < np.repeat(first, many)
     ends = np.concatenate([[0], np.cumsum(many)])[base]
     bits = [np.packbits(again[a:b]).tobytes() for a, b in pairwise(ends.tolist())]
@@ -367,27 +367,27 @@ def _remove(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         np.add.at(cover, again, 1)
         np.add.at(cover, again + SIZE, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+        for i, (doc_id, known) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("known").to_pylist(), strict=True)):
             mask = gone[at[i] : at[i + 1]]
             n = int(mask.sum())
             edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist() if n else []
             text = data[at[i] : at[i + 1]]
-            out.append((doc_id if doc_id != chunks.LEAST_ID else None, len(mask), n, [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)], (text[~mask] if n else text).tobytes()))
+            out.append((doc_id if known else None, len(mask), n, [{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)], (text[~mask] if n else text).tobytes()))
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (maximal runs of byte positions), kept (the bytes that stay)."""
-    cut, size = chunks.cut(docs, chunk_bytes=CHUNK_BYTES)
-    buckets = chunks.buckets_for(size // 3)
-    by = cut.groupBy("chunk")
+    cut = chunks.cut(docs, chunk_bytes=CHUNK_BYTES)
+    buckets = chunks.buckets_for(cut.size // 3)
+    by, ranks = cut.rows.groupBy("chunk"), chunks.Cut(None, cut.size, cut.bases.tolist())
 
     def sender(table: pa.Table) -> pa.Table:
         return chunks.send(table.column("chunk")[0].as_py(), _minimisers(table), buckets)
 
     shared = by.applyInArrow(sender, chunks.SENT).groupBy("bucket").applyInArrow(_shared, _ANSWER)
     runs = by.cogroup(shared.groupBy("chunk")).applyInArrow(lambda t, a: _send_runs(t, a, buckets), _RUNS)
-    merged = runs.groupBy("bucket").applyInArrow(_merge_runs, _ANSWER)
+    merged = runs.groupBy("bucket").applyInArrow(lambda t: _merge_runs(t, ranks), _ANSWER)
     return by.cogroup(shared.unionByName(merged).groupBy("chunk")).applyInArrow(lambda t, a: _remove(t, a, buckets), _RESULT)
 
 

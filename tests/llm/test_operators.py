@@ -362,6 +362,29 @@ def test_empty_tables(spark, empty):
     assert decontamination.contaminated(empty, spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).count() == 0
 
 
+def test_one_id_for_most_rows(spark):
+    """Rows of an id that fills many chunks don't remove each other's text, and no chunk holds them all."""
+    from auditlake.llm import chunks
+
+    pick = random.Random(2)
+    say = lambda: " ".join("".join(pick.choices("abcdefghij", k=4)) for _ in range(20))
+    shared = say()
+    for hot in (None, 7, chunks.LEAST_ID):
+        rows = [(hot, f"{say()} {shared}") for _ in range(200)] + [(i, f"{say()} {shared}") for i in (1, 9, 10)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        sizes = [r["count"] for r in chunks.cut(docs).rows.groupBy("chunk").count().collect()]
+        assert sum(sizes) == 203 and max(sizes) < 100
+        code = lambda i: -(1 << 63) if i is None else i
+        real = lambda i: None if hot is None and i == -(1 << 63) else i
+        want = removed(tuple, 13, [(code(i), t.encode().split()) for i, t in rows])
+        got = Counter((r.doc_id, tuple(r.kept_text.encode().split()), r.n_removed, r.n_words) for r in substring_dedup.remove_repeats(docs).collect())
+        assert got == Counter({(real(k[0]), *k[1:]): n for k, n in want.items()})
+        want = removed(bytes, 50, [(code(i), t.encode()) for i, t in rows])
+        got = Counter((r.doc_id, tuple(r.kept), r.n_removed, r.n_bytes) for r in suffix_dedup.remove_repeats(docs).collect())
+        assert got == Counter({(real(k[0]), *k[1:]): n for k, n in want.items()})
+        assert Counter(r.doc_id for r in scoring.scores(docs).collect()) == Counter(i for i, _ in rows)
+
+
 def test_null_ids(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f")], "doc_id bigint, text string")
     assert {r.doc_id for r in substring_dedup.remove_repeats(rows).collect()} == {None, 1}
@@ -369,6 +392,12 @@ def test_null_ids(spark):
     assert exact_dedup.exact_dedup(rows).where("kept").count() == 2
     assert near_dedup.near_duplicates(rows).count() == 3
     assert packing.tokenised(rows).count() == 3
+    assert suffix_dedup.remove_repeats(rows).count() == 3
+    assert pii.personal_data(rows).where("doc_id is null").count() == 2
+    assert decontamination.contaminated(rows, spark.createDataFrame([(5, "a b c d e f")], "item_id bigint, text string")).where("doc_id is null").count() == 1
+    assert language.identify(rows, {"x": b" a b "}, ["doc_id"]).where("doc_id is null").count() == 2
+    named = spark.createDataFrame([(None, "Released under the MIT License."), (None, None)], "doc_id bigint, text string")
+    assert [(r.doc_id, r.family) for r in licences.licence_scan(named).collect()] == [(None, "MIT")]
 
 
 def test_pipeline(spark, tmp_path):
