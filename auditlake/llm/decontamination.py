@@ -11,7 +11,8 @@ blocks of constant size, one pass over the documents each.
 
 Defined results: null texts and texts without words match nothing, nor do items
 of fewer than `SHORTEST` words; repeated rows give one row for each document id and
-item, the best; a null id is kept as one; an empty table gives an empty result;
+item, the best; a text of any length is searched as a whole, and what is aligned is as
+long as the regions that hold enough pairs; a null id is kept as one; an empty table gives an empty result;
 further columns are ignored.
 """
 

@@ -19,8 +19,9 @@ A pair at the threshold is missed with a probability of about 3e-6 (fewer than
 36 of 64 coordinates agreeing at a similarity of 0.8), and less above it.
 
 Defined results: null text and text without words give an empty set, linked with
-nothing; a null id is kept as one and counts as the smallest; repeated rows get one
-component; an empty table gives an empty result; further columns are ignored.
+nothing; a text of any length is one set, held whole where two are compared; a null id is
+kept as one and counts as the smallest; rows with one id may lie in several components;
+repeated rows get one component; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ Pattern counts are rounded down, the few pieces left over are packed first-fit.
 Then Spark ranks the pieces of each class (in salted buckets, so that no class is
 ranked by one task) and rank alone decides sequence and place.
 
-Defined results: null text is empty text and packs as the end token alone;
-repeated rows are packed each; an empty table gives an empty result; a class
+Defined results: null text is empty text and packs as the end token alone; a text of
+any length is tokenised as a whole and cut into pieces; repeated rows, and rows with
+one id or none, are packed each; equal lengths are ranked by id and place; an empty table gives an empty result; a class
 without pieces has no pattern; further columns are passed by.
 """
 

@@ -111,7 +111,12 @@ def test_trees_add_loose_spans(spark):
     assert added <= 3
 
 
-def test_katz_scores(docs):
+@pytest.mark.parametrize("hot, bucket", [(100_000, 2_000_000), (3, 40)])
+def test_katz_scores(docs, monkeypatch, hot, bucket):
+    from auditlake.llm import chunks
+
+    monkeypatch.setattr(chunks, "BUCKET_HASHES", bucket)
+    monkeypatch.setattr(scoring, "HOT", hot)
     got = sorted((r.doc_id, r.n_tokens, r.n_known, r.held_out, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in scoring.scores(docs).collect())
     words, pairs, lines = Counter(), Counter(), []
     for r in ROWS:
@@ -121,7 +126,16 @@ def test_katz_scores(docs):
             words.update(tokens)
             pairs.update(zip([b"\0end", *tokens[:-1]], tokens, strict=True))
     total = sum(words.values())
-    cut = lambda counts: scoring._discounts(np.array([0] + [Counter(counts.values())[k] for k in range(1, 7)]))
+
+    def cut(counts):
+        """Good-Turing by the book: counts of one to five are discounted, with half a count where the estimate is none."""
+        n, d = Counter(counts.values()), [1.0] * 7
+        rest = 6 * n[6] / n[1] if n[1] else 1.0
+        for r in range(1, 6):
+            good = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) if n[r] and rest != 1 else 0.0
+            d[r] = good if 0 < good < 1 else (r - 0.5) / r
+        return d
+
     d1, d2 = cut(words), cut(pairs)
     p1 = {w: d1[min(c, 6)] * c / total for w, c in words.items()}
     unseen = 1 - sum(p1.values())
