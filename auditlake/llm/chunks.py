@@ -23,6 +23,7 @@ BUCKET_HASHES = 2_000_000
 LEAST_ID = -(1 << 63)
 
 SENT = "bucket int, chunk int, hashes binary"
+WIDE = "bucket int, chunk int, hashes binary, more binary"
 ANSWER = "chunk int, bucket int, bits binary"
 
 
@@ -97,33 +98,48 @@ def send(chunk: int, hashes: np.ndarray, buckets: int) -> pa.Table:
     return pa.table(list(map(list, zip(*rows, strict=True))) or [[], [], []], schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())]))
 
 
+def group(hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For values of 96 bits, a hash and four bytes more: an order by hash and these, which leaves equal values as they come, where each
+    distinct value begins in it, and each value's place among the distinct ones."""
+    order = np.argsort(hashes, kind="stable")
+    h, x = hashes[order], more[order]
+    same = h[1:] == h[:-1]
+    if (same & (x[1:] != x[:-1])).any():
+        # Two values with one hash: hardly ever.
+        order = np.lexsort((more, hashes))
+        h, x = hashes[order], more[order]
+        same = h[1:] == h[:-1]
+    new = np.ones(len(h), bool)
+    new[1:] = ~(same & (x[1:] == x[:-1]))
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
 def answer(sent: pa.Table, cut: Cut) -> pa.Table:
-    """For each chunk's hashes in this bucket: a bit, set if a chunk of smaller ids sent the hash too."""
+    """For each chunk's values in this bucket: a bit, set if a chunk of smaller ids sent the value too."""
     sent = sent.sort_by("chunk")
     runs = [decode(b) for b in sent.column("hashes").to_pylist()]
-    every = np.concatenate(runs)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    new = np.ones(len(every), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    # Stable: the first of equal hashes is of the chunk with the smallest ids.
+    order, begins, place = group(np.concatenate(runs), np.frombuffer(b"".join(sent.column("more").to_pylist()), np.uint32))
+    # Equal values come in order of their chunks, so the first is of the chunk with the smallest ids.
     rank = np.repeat(cut.rank(sent.column("chunk").to_numpy()), [len(r) for r in runs])
-    first = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    again = np.zeros(len(every), bool)
-    again[order] = first < rank[order]
+    again = rank[order[begins]][place] < rank
     ends = np.cumsum([0, *map(len, runs)])
     bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return pa.table([sent.column("chunk"), sent.column("bucket"), pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
 
 
-def answers(cut: Cut, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
-    """What every chunk is told about the sorted distinct hashes that `hashes` finds in it."""
+def answers(cut: Cut, values: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
+    """What every chunk is told about the distinct values (hashes, sorted, and four bytes more each) that `values` finds in it."""
 
     def sender(table: pa.Table) -> pa.Table:
-        return send(table.column("chunk")[0].as_py(), hashes(table), buckets)
+        hashes, more = values(table)
+        at = split(hashes, buckets)
+        parts = [more[at[b] : at[b + 1]].tobytes() for b in range(buckets) if at[b] < at[b + 1]]
+        return send(table.column("chunk")[0].as_py(), hashes, buckets).append_column("more", pa.array(parts, pa.binary()))
 
     ranks = Cut(None, cut.size, cut.bases.tolist())
-    return cut.rows.groupBy("chunk").applyInArrow(sender, SENT).groupBy("bucket").applyInArrow(lambda t: answer(t, ranks), ANSWER)
+    return cut.rows.groupBy("chunk").applyInArrow(sender, WIDE).groupBy("bucket").applyInArrow(lambda t: answer(t, ranks), ANSWER)
 
 
 def told(hashes: np.ndarray, bits: pa.Table, buckets: int) -> np.ndarray:

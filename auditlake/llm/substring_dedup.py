@@ -9,8 +9,8 @@ Defined results: null text has no words; texts shorter than a window lose
 nothing; a text of any length lies in one chunk, which is as large as that; repeated
 rows with one id don't remove each other's words, as neither id is smaller; null ids
 count as one that is the smallest; an empty table gives an empty result; further
-columns are ignored. Two windows are taken as equal if their
-64-bit hashes are.
+columns are ignored. Two windows are taken as equal if 96 bits of two hashes are; even
+among 10^13 windows no false match is likely (6 in 10,000).
 """
 
 from __future__ import annotations
@@ -23,22 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import chunks
-from auditlake.llm.common import distinct, documents, grouped, slices, windows, words
+from auditlake.llm.common import documents, mix, rolling, slices, windows, words
 
 SIZE = 13
+_SECOND = np.uint64(0xA24BAED4963EE407)
 _RESULT = "doc_id bigint, n_words bigint, n_removed bigint, removed array<struct<start: bigint, stop: bigint>>, kept_text string"
 
 
 def _windows(table: pa.Table, size: int):
-    """For parts of the chunk's documents: rows, words' documents, window hashes, first words."""
+    """For parts of the chunk's documents: rows, words' documents, window hashes, four bytes of a second hash, first words."""
     for part in slices(table, "text", 1 << 20):
         h, doc, _, _ = words(part.column("text"))
-        yield (part, doc, *windows(h, doc, size))
+        first_hash, first = windows(h, doc, size)
+        second = rolling(mix(h ^ _SECOND), first, first + size) if len(first) else first_hash
+        yield part, doc, first_hash, (second >> np.uint64(32)).astype(np.uint32), first
 
 
-def _distinct(table: pa.Table, size: int) -> np.ndarray:
-    found = [h for _, _, h, _ in _windows(table, size)]
-    return distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def _distinct(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    found = [(h, x) for _, _, h, x, _ in _windows(table, size)]
+    h, x = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order, begins, _ = chunks.group(h, x)
+    return h[order[begins]], x[order[begins]]
 
 
 def _remove(table: pa.Table, bits: pa.Table, size: int, buckets: int) -> pa.Table:
@@ -46,14 +51,15 @@ def _remove(table: pa.Table, bits: pa.Table, size: int, buckets: int) -> pa.Tabl
     if not table.num_rows:
         return schema.empty_table()
     parts = list(_windows(table, size))
-    ids = np.concatenate([part.column("doc_id").to_numpy()[doc[first]] for part, doc, _, first in parts])
-    hashes, place, order, begins = grouped(np.concatenate([h for _, _, h, _ in parts]))
-    repeated = chunks.told(hashes, bits, buckets)[place]
+    ids = np.concatenate([part.column("doc_id").to_numpy()[doc[first]] for part, doc, _, _, first in parts])
+    hashes = np.concatenate([p[2] for p in parts])
+    order, begins, place = chunks.group(hashes, np.concatenate([p[3] for p in parts]))
+    repeated = chunks.told(hashes[order[begins]], bits, buckets)[place]
     if len(ids):
         # An id of this chunk that is smaller than the window's own.
         repeated |= np.minimum.reduceat(ids[order], begins)[place] < ids
     out, done = [], 0
-    for part, doc, _, first in parts:
+    for part, doc, _, _, first in parts:
         again = first[repeated[done : done + len(first)]]
         done += len(first)
         cover = np.zeros(len(doc) + 1, np.int64)

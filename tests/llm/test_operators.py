@@ -180,6 +180,14 @@ def test_word_windows(docs, monkeypatch, bucket):
     assert got == removed(tuple, 13, [(r[0], (r[1] or "").encode().split()) for r in ROWS])
 
 
+def test_values_with_one_hash_stay_apart():
+    from auditlake.llm import chunks
+
+    h, x = np.array([5, 3, 5, 5, 3, 5], np.uint64), np.array([1, 7, 2, 1, 7, 2], np.uint32)
+    order, begins, place = chunks.group(h, x)
+    assert place.tolist() == [1, 0, 2, 1, 0, 2] and order.tolist() == [1, 4, 0, 3, 2, 5] and begins.tolist() == [0, 2, 4]
+
+
 @pytest.mark.parametrize("bucket", [50, 2_000_000])
 def test_byte_strings(docs, monkeypatch, bucket):
     from auditlake.llm import chunks
