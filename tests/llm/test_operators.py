@@ -358,6 +358,22 @@ def test_licences(docs):
     assert found == [(15, 1, "MIT")]
 
 
+def test_whatever_can_be_confirmed_has_a_clue(spark):
+    """Every share of a notice that is large enough, with the marks of its family, has a clue."""
+    import re
+
+    texts = set()
+    for family, notices in licences.NOTICES.items():
+        for notice in notices:
+            w = [x for x in re.split("[^a-z0-9]+", notice.lower()) if x]
+            for a in range(len(w)):
+                for b in range(a + 2, len(w) + 1):
+                    if (b - a - 1) / max(len(w) - 1, 1) >= licences.CONFIRM and re.search(licences.MARKS[family], " ".join(w[a:b])):
+                        texts |= {" ".join(w[a:b]), "_".join(w[a:b])}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.count() > 300 and rows.where(~licences._clue(F.col("t"))).count() == 0
+
+
 def test_licence_headers_outside_the_test_tables(spark, docs):
     gpl3 = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
     texts = {
@@ -370,6 +386,10 @@ def test_licence_headers_outside_the_test_tables(spark, docs):
         106: ("Apache-2.0", '/*\n * Licensed under the Apache License, Version\n * 2.0 (the "License"); you may not use this file\n * except in compliance with the License.\n */'),
         107: ("MIT", "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software"),
         108: ("GPL-3.0", gpl3.replace("\n#", "").removeprefix("# ")),
+        110: ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+        111: ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone may copy"),
+        112: ("MIT", "This project is MIT licensed."),
+        113: (None, "Wir kamen mit dem Zug.\nThe terms of the deal were free of charge."),
         109: (None, "The general public has a license to be wrong.\nThe gnu is free"),
     }
     rows = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id bigint, text string")
