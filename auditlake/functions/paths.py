@@ -15,7 +15,7 @@ def glob_to_regex(pattern: str) -> str:
     """`**/` any directories, `**` anything, `*` and `?` within a name, `[...]` a class."""
     parts = re.split(r"(\*\*/|\*\*|\*|\?|\[[^\]]*\])", pattern)
     known = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    return r"(?s)\A" + "".join(known.get(p) or (p if p[:1] == "[" and len(p) > 1 else re.escape(p).replace("/", "/")) for p in parts if p) + r"\z"
+    return r"(?s)\A" + "".join(known.get(p) or (p if p[:1] == "[" and len(p) > 1 else re.escape(p)) for p in parts if p) + r"\z"
 
 
 def fnmatch_to_regex(pattern: str) -> str:

@@ -92,11 +92,16 @@ def line_number(text: Column, position: Column) -> Column:
 
 
 def shannon_entropy(col: Column) -> Column:
-    """F16: bits per character; 0 for empty text."""
-    chars = F.split(col, "")
+    """F16: bits per character; 0 for empty text. Sorted characters are walked once, a run at a time."""
     n = F.length(col)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
+    share = lambda run: F.when(run > 0, -(run / n) * F.log2(run / n)).otherwise(0.0)
+
+    def step(a: Column, c: Column) -> Column:
+        same = c == a["last"]
+        return F.struct(c.alias("last"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), F.when(same, a["bits"]).otherwise(a["bits"] + share(a["run"])).alias("bits"))
+
+    total = F.aggregate(F.array_sort(F.split(col, "")), start, step, lambda a: a["bits"] + share(a["run"]))
     return F.when(n > 0, total + F.lit(0.0)).otherwise(0.0)
 
 
@@ -137,8 +142,8 @@ def repo_id(remote: Column, root: Column) -> Column:
 
 
 def iso_ts(col: Column) -> Column:
-    """F29."""
-    return F.concat(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
+    """with the offset of the session's time zone."""
+    return F.date_format(col.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx")
 
 
 def day_key(col: Column) -> Column:
@@ -166,3 +171,7 @@ def register(spark: SparkSession) -> None:
     """The functions most used from SQL, as temporary SQL functions."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION audit_decision(severity STRING, level STRING) RETURNS STRING RETURN CASE WHEN level = 'strict' THEN CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'deny' WHEN severity = 'MEDIUM' THEN 'ask' ELSE 'warn' END WHEN level = 'warn' THEN 'warn' ELSE 'log' END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION audit_mask(v STRING) RETURNS STRING RETURN CASE WHEN length(v) <= 8 THEN repeat('*', length(v)) ELSE concat(left(regexp_replace(v, r'\\s', ' '), 4), '…', right(regexp_replace(v, r'\\s', ' '), 2)) END")
+    scheme, bare = "^(?:ssh|git\\\\+ssh|https|http|git)://", "regexp_replace(regexp_replace(trim(v), '^[^@]*@', ''), '^([^:]*):', '$1/')"
+    form = f"CASE WHEN trim(v) RLIKE '{scheme}' THEN regexp_replace(trim(v), '{scheme}', '') WHEN trim(v) RLIKE '@' AND trim(v) RLIKE ':' THEN {bare} ELSE trim(v) END"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION audit_remote(v STRING) RETURNS STRING RETURN nullif(regexp_replace(regexp_replace(regexp_replace({form}, '^[^/@]*@', ''), '\\\\.git$', ''), '/+$', ''), '')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION audit_entropy(v STRING) RETURNS DOUBLE RETURN aggregate(array_distinct(split(v, '')), 0D, (a, c) -> a - (length(v) - length(replace(v, c, ''))) / length(v) * log2((length(v) - length(replace(v, c, ''))) / length(v)))")

@@ -293,25 +293,28 @@ def _(spark, d):
     return audit(spark, d).groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d03_sql_functions", WITH + f"SELECT event_id, {_DECISION.replace('level', chr(39) + 'strict' + chr(39))} AS decision, CASE WHEN length(session_id) <= 8 THEN repeat('*', length(session_id)) ELSE left(session_id, 4) || '…' || right(session_id, 2) END AS masked FROM audit")
+@query("d03_sql_functions", WITH + f", e AS (SELECT event_id, c, count(*) / 6.0 AS p FROM (SELECT event_id, unnest(string_split(left(session_id || 'aabbcc', 6), '')) AS c FROM audit) GROUP BY ALL), h AS (SELECT event_id, round(-sum(p * log2(p)), 6) AS entropy FROM e GROUP BY 1) SELECT event_id, {_DECISION.replace('level', chr(39) + 'strict' + chr(39))} AS decision, CASE WHEN length(session_id) <= 8 THEN repeat('*', length(session_id)) ELSE left(session_id, 4) || '…' || right(session_id, 2) END AS masked, 'git.example.com/' || host AS remote, entropy FROM audit JOIN h USING (event_id)")
 def _(spark, d):
     S.register(spark)
-    return audit(spark, d).select("event_id", F.expr("audit_decision(severity, 'strict')").alias("decision"), F.expr("audit_mask(session_id)").alias("masked"))
+    return audit(spark, d).select("event_id", F.expr("audit_decision(severity, 'strict')").alias("decision"), F.expr("audit_mask(session_id)").alias("masked"), F.expr("audit_remote(concat('git@git.example.com:', host, '.git'))").alias("remote"), F.expr("round(audit_entropy(left(concat(session_id, 'aabbcc'), 6)), 6)").alias("entropy"))
 
 
-@query("f04_mask", r"SELECT doc_id, CASE WHEN length(left(text, 30)) <= 8 THEN repeat('*', length(left(text, 30))) ELSE left(regexp_replace(left(text, 30), '\s', ' ', 'g'), 4) || '…' || right(regexp_replace(left(text, 30), '\s', ' ', 'g'), 2) END AS masked FROM documents")
+@query("f04_mask", r"SELECT doc_id, CASE WHEN length(text) <= 8 THEN repeat('*', length(text)) ELSE left(regexp_replace(text, '\s', ' ', 'g'), 4) || '…' || right(regexp_replace(text, '\s', ' ', 'g'), 2) END AS masked FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.mask(F.left("text", F.lit(30))).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", S.mask(F.col("text")).alias("masked"))
 
 
-@query("f08_f09_normalise", "SELECT doc_id, length(text) AS n, length(text) AS m FROM documents WHERE NOT regexp_matches(text, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{180e}]')")
+@query("f08_f09_normalise", "WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN chr(8203) || text || chr(65279) || chr(1072) WHEN 1 THEN text || chr(1077) ELSE text END AS text FROM documents) SELECT doc_id, CAST(length(regexp_replace(text, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{180e}]', '', 'g')) AS INT) AS n, md5(translate(regexp_replace(text, '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{180e}]', '', 'g'), '" + S.CYRILLIC + "', '" + S.LATIN + "')) AS plain FROM t")
 def _(spark, d):
-    return table(spark, d, "documents").where(F.col("text") == S.strip_zero_width(F.col("text"))).select("doc_id", F.length(S.strip_zero_width(F.col("text"))).alias("n"), F.length(S.normalize_text(F.col("text"))).alias("m"))
+    # Some texts get characters of zero width or look-alikes.
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\u200b"), "text", F.lit("\ufeff\u0430"))).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\u0435"))).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.length(S.strip_zero_width(F.col("text"))).alias("n"), F.md5(S.normalize_text(F.col("text")).cast("binary")).alias("plain"))
 
 
-@query("f13_line_number", "SELECT doc_id, CAST(length(left(text, 500)) - length(replace(left(text, 500), chr(10), '')) + 1 AS INT) AS line FROM documents WHERE text IS NOT NULL")
+@query("f13_line_number", "SELECT doc_id, CAST(length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), chr(10), '')) + 1 AS INT) AS middle, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS last FROM documents WHERE text IS NOT NULL")
 def _(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", S.line_number(F.col("text"), F.lit(500)).alias("line"))
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", S.line_number(F.col("text"), F.expr("CAST(length(text) div 2 AS INT)")).alias("middle"), S.line_number(F.col("text"), F.length("text")).alias("last"))
 
 
 @query("f16_entropy", "WITH c AS (SELECT event_id, unnest(string_split(event_type || props, '')) AS c, length(event_type || props) AS n FROM events), p AS (SELECT event_id, c, count(*) / any_value(n) AS p FROM c GROUP BY event_id, c) SELECT event_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY event_id")
@@ -329,10 +332,11 @@ def _(spark, d):
     return audit(spark, d).select("event_id", S.session_key(F.concat("session_id", F.lit("!/"), "host")).alias("skey"), S.memory_key(F.col("rule"), F.col("target"), F.col("agent_id")).alias("mkey"))
 
 
-@query("f27_f28_ids", "SELECT page_id, left(sha256(rtrim(regexp_replace(url, '^https?://', ''), '/')), 16) AS repo, 'sha256:' || sha256(html) AS hash FROM pages WHERE url NOT LIKE '%@%' AND url NOT LIKE '%.git'")
+@query("f27_f28_ids", r"WITH u AS (SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN url || '.git' WHEN 1 THEN replace(url, '://', '://user@') ELSE url END AS url FROM pages) SELECT page_id, left(sha256(rtrim(regexp_replace(regexp_replace(regexp_replace(trim(url), '^https?://', ''), '^[^/@]*@', ''), '\.git$', ''), '/')), 16) AS repo, 'sha256:' || sha256(html) AS hash FROM u")
 def _(spark, d):
-    pages = table(spark, d, "pages").where("url not like '%@%' and url not like '%.git'")
-    return pages.select("page_id", S.repo_id(F.col("url"), F.lit("/")).alias("repo"), S.content_hash(F.col("html")).alias("hash"))
+    # Some addresses get a user or the ending of a repository.
+    url = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".git"))).when(F.col("page_id") % 3 == 1, F.replace("url", F.lit("://"), F.lit("://user@"))).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", S.repo_id(url, F.lit("/")).alias("repo"), S.content_hash(F.col("html")).alias("hash"))
 
 
 @query("f29_f30_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS iso, CAST(ts AS DATE) AS day, ts < TIMESTAMP '2024-01-16' AND epoch_us(TIMESTAMP '2024-01-16') - epoch_us(ts) < 86400000000 OR ts >= TIMESTAMP '2024-01-16' AS fresh FROM events")
