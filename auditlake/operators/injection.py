@@ -62,6 +62,16 @@ def decoded_payload(text: Column) -> Column:
     return F.get(F.filter(texts, hit), F.lit(0))
 
 
+def _has(text: Column, words: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
+
+
+def _clue(text: Column) -> Column:
+    """Whether a text has a word of which every match has one; it is lowered once for all of them."""
+    low = F.lower(F.translate(text, "ſİ", "si"))
+    return F.exists(F.array(low), lambda x: _has(x, rules.INJECTION_CLUES))
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Findings of every text: id, rule, class, severity, weight, line, quoted, evidence.
 
@@ -70,7 +80,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     raw = F.col(text_col)
     hay = docs.select(F.col(id_col).alias("id"), F.posexplode(F.array_distinct(F.array(raw, S.normalize_text(raw)))).alias("hay", "text"))
-    hay = hay.where(F.col("text").rlike(_FLAGS + "|".join(f"(?:{r[4]})" for r in rules.INJECTIONS)))
+    hay = hay.where(_clue(F.col("text"))).where(F.col("text").rlike(_FLAGS + "|".join(f"(?:{r[4]})" for r in rules.INJECTIONS)))
     def hits_of(place: int, r: tuple) -> Column:
         fixed = [F.lit(v).alias(n) for n, v in zip(("rule_pos", "rule", "class", "severity", "weight"), (place, *r[:4]), strict=True)]
         return F.transform(regex_spans(F.col("text"), r[4]), lambda s: F.struct(*fixed, s.alias("s")))
@@ -104,7 +114,8 @@ def format_context(tool: Column, target: Column, classes: Column, lines: Column,
 def score(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, score, classes and confidence of every text."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    extra = base.select("id", F.when(S.homoglyph_word(F.col("text")).isNotNull(), 1).otherwise(0).alias("glyph"), F.when(decoded_payload(F.col("text")).isNotNull(), 2).otherwise(0).alias("coded"))
+    mixed = F.col("text").rlike("[а-яёА-ЯЁ]") & S.homoglyph_word(F.col("text")).isNotNull()
+    extra = base.select("id", F.when(mixed, 1).otherwise(0).alias("glyph"), F.when(decoded_payload(F.col("text")).isNotNull(), 2).otherwise(0).alias("coded"))
     found = scan(docs, id_col, text_col).where(~F.col("quoted")).groupBy("id").agg(F.sum("weight").alias("weight"), F.collect_set("class").alias("classes"))
     both = extra.join(found, "id", "left").withColumn("score", (F.coalesce("weight", F.lit(0)) + F.col("glyph") + F.col("coded")).cast("long"))
     odd = F.when(F.col("glyph") + F.col("coded") > 0, F.array(F.lit("obfuscation"))).otherwise(F.array().cast("array<string>"))
@@ -123,7 +134,7 @@ def secret_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct (type, preview) of each text, every rule on the text as earlier rules left it."""
     text, found = F.col(text_col), []
     # Without a match of any rule on the text as it is, no rule changes it, so none finds anything.
-    docs = docs.where(text.rlike("|".join(f"(?:{pattern})" for _, _, pattern in rules.SECRETS)))
+    docs = docs.where(_has(text, rules.SECRET_CLUES) | text.rlike(rules.HEX))
 
     def masked(kind: str, severity: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), S.mask(v).alias("preview")))
