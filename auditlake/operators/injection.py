@@ -66,10 +66,10 @@ def _has(text: Column, words: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
 
 
-def _clue(text: Column) -> Column:
-    """Whether a text has a word of which every match has one; it is lowered once for all of them."""
+def _clues(text: Column) -> Column:
+    """For each rule whether a text has a word of which every match has one; it is lowered once for all of them."""
     low = F.lower(F.translate(text, "ſİ", "si"))
-    return F.exists(F.array(low), lambda x: _has(x, rules.INJECTION_CLUES))
+    return F.transform(F.array(low), lambda x: F.array(*(_has(x, rules.INJECTION_CLUES[r[0]]) for r in rules.INJECTIONS)))[0]
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,10 +80,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     raw = F.col(text_col)
     hay = docs.select(F.col(id_col).alias("id"), F.posexplode(F.array_distinct(F.array(raw, S.normalize_text(raw)))).alias("hay", "text"))
-    hay = hay.where(_clue(F.col("text"))).where(F.col("text").rlike(_FLAGS + "|".join(f"(?:{r[4]})" for r in rules.INJECTIONS)))
+    hay = hay.withColumn("clues", _clues(F.col("text"))).where(F.array_contains("clues", True)).where(F.col("text").rlike(_FLAGS + "|".join(f"(?:{r[4]})" for r in rules.INJECTIONS)))
     def hits_of(place: int, r: tuple) -> Column:
         fixed = [F.lit(v).alias(n) for n, v in zip(("rule_pos", "rule", "class", "severity", "weight"), (place, *r[:4]), strict=True)]
-        return F.transform(regex_spans(F.col("text"), r[4]), lambda s: F.struct(*fixed, s.alias("s")))
+        found = F.when(F.col("clues")[place] & F.col("text").rlike(_FLAGS + r[4]), regex_spans(F.col("text"), r[4])).otherwise(F.array().cast(_SPAN))
+        return F.transform(found, lambda s: F.struct(*fixed, s.alias("s")))
 
     hits = F.flatten(F.array(*(hits_of(i, r) for i, r in enumerate(rules.INJECTIONS))))
     rows = hay.select("id", "hay", "text", F.explode(hits).alias("h")).select("id", "hay", "text", "h.*")
