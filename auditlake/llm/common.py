@@ -156,14 +156,14 @@ def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of every text: (64-bit hash, document index, first byte, past the last byte)."""
+def words(column: pa.Array, lower: bool = False, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of every text: (64-bit hash, document index, first byte, past the last byte). ends: bytes that end words as well."""
     data, at = text_bytes(column)
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    solid = ~_SPACE[data]
+    solid = ~(_SPACE if ends is None else _SPACE | ends)[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     starts = solid.copy()
