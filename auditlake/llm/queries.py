@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import collocations, decontamination, exact_dedup, language, licences, near_dedup, packing, pii, scoring, substring_dedup, suffix_dedup
+from auditlake.llm import chat, collocations, decontamination, exact_dedup, language, licences, manifest, near_dedup, packing, pii, scoring, substring_dedup, suffix_dedup
 
 
 def pipeline(spark, sf_dir):
@@ -25,9 +25,17 @@ def queries() -> dict:
         "op9_licence_scan": licences.op9_licence_scan,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
         "op11_phrase_collocations": collocations.op11_phrase_collocations,
+        "op12_merkle_manifest": manifest.op12_merkle_manifest,
+        "op13_chat_format": chat.op13_chat_format,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE_OP7, "op9_licence_scan": licences.ORACLE_OP9, "op11_phrase_collocations": collocations.ORACLE_OP11}
+    return {
+        "op7_exact_dedup": exact_dedup.ORACLE_OP7,
+        "op9_licence_scan": licences.ORACLE_OP9,
+        "op11_phrase_collocations": collocations.ORACLE_OP11,
+        "op12_merkle_manifest": manifest.ORACLE_OP12,
+        "op13_chat_format": chat.ORACLE_OP13,
+    }
