@@ -8,6 +8,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.sources.tables import ship
+from auditlake.sources.tail import RANGE, AppendLog
+
 #: An audit record; keys beyond these stay in the raw line.
 AUDIT = "v int, kind string, ts string, session_id string, prompt_id string, agent_id string, agent_type string, user string, host string, cwd string, repo string, git_branch string, hook string, event string, tool string, rule string, class string, severity string, level string, action string, target string, evidence string, masked array<struct<type: string, preview: string>>, latency_ms int, plugin_version string"
 
@@ -28,9 +31,11 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark.read.text(path), "_metadata.file_name")
 
 
-def stream_audit(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """The log as a stream of files."""
-    return _records(spark.readStream.option("maxFilesPerTrigger", files).text(path))
+def stream_audit(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """The log as a stream. Day files grow while they are read; each line comes once, when it is whole."""
+    ship(spark)
+    spark.dataSource.register(AppendLog)
+    return _records(spark.readStream.format("append_log").option("rangeBytes", range_bytes).load(path))
 
 
 def legacy_fields(line: Column) -> Column:

@@ -100,6 +100,7 @@ def export(df: DataFrame, cfg: dict) -> DataFrame:
 def export_pending(spark: SparkSession, source: str, cfg: dict, checkpoint: str) -> DataFrame:
     """Exports what the checkpoint hasn't seen; a failed batch stays unseen, and the next run repeats it. One result row."""
     from auditlake.sources.audit import stream_audit
+    from auditlake.sources.tail import drain
 
     if cfg.get("type", "none") == "none":
         return result(spark, True, reason="disabled")
@@ -117,7 +118,7 @@ def export_pending(spark: SparkSession, source: str, cfg: dict, checkpoint: str)
             raise RuntimeError(row.reason)
 
     try:
-        stream_audit(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        drain(stream_audit(spark, source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(put))
     except Exception:
         return result(spark, False, reason=done[-1][3] if done else "stream failed")
     return result(spark, True, sum(d[1] or 0 for d in done), sum(d[2] or 0 for d in done))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from auditlake.functions import scalars as S
 from auditlake.sources.audit import stream_audit
 from auditlake.sources.tables import ship
+from auditlake.sources.tail import drain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,7 +20,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def start_ingest(spark: SparkSession, source: str, lake: str, checkpoint: str):
     """The log into a lake of days, as far as it is there."""
     rows = stream_audit(spark, source).withColumn("day", F.left("ts", F.lit(10)))
-    return rows.writeStream.format("parquet").option("path", lake).option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).start()
+    return drain(rows.writeStream.format("parquet").option("path", lake).option("checkpointLocation", checkpoint).partitionBy("day"))
 
 
 def rule_counts(df: DataFrame, late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -147,7 +148,7 @@ def export_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").json(f"{target}/batch={number}")
 
-    return stream_audit(spark, source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+    return drain(stream_audit(spark, source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(put))
 
 
 def read_state(spark: SparkSession, checkpoint: str, variable: str = "anchor") -> DataFrame:
