@@ -9,14 +9,20 @@ frontier is written after each round, and an empty one ends the loop.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions import scalars as S
 from auditlake.functions.paths import basename, expand_path, fnmatch_to_regex, glob_match, glob_to_regex, is_root_target, outside_cwd
-from auditlake.operators.policy import first_match, resolve
+from auditlake.operators.config import with_fail_mode
+from auditlake.operators.policy import first_match, resolve, with_overlay
 from auditlake.operators.report import cap_rows
-from auditlake.sources.tables import stored
+from auditlake.sources.tables import ship, stored
 
 MAX_DEPTH = 6
 MAX_COMMANDS = 256
@@ -334,18 +340,51 @@ _SWITCHES = ["branch_protected", "branch_unprotected", "target_outside_cwd", "ta
 _COMPILE = {"argv0": fnmatch_to_regex, "argv0_not": fnmatch_to_regex, "piped_to_any": fnmatch_to_regex, "piped_from_any": fnmatch_to_regex, "target_glob": glob_to_regex, "redirect_glob": glob_to_regex}
 
 
+def _rule_row(pos: int, r: dict) -> tuple:
+    m = r["match"]
+    return (pos, r["id"], r["class"], r["severity"], *([_COMPILE.get(k, str)(x) for x in m[k]] if k in m else None for k in _LISTS), *(m.get(k) for k in _SWITCHES))
+
+
+_RULE = ", ".join(["rule_pos int", "rule string", "class string", "severity string", *(f"m_{k} array<string>" for k in _LISTS), *(f"m_{k} boolean" for k in _SWITCHES)])
+
+
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Command rules as a small wide table; names and globs become regular expressions."""
-    rows = []
-    for i, r in enumerate(rules):
-        m = r["match"]
-        rows.append((i, r["id"], r["class"], r["severity"], *([_COMPILE.get(k, str)(x) for x in m[k]] if k in m else None for k in _LISTS), *(m.get(k) for k in _SWITCHES)))
-    fields = ["rule_pos int", "rule string", "class string", "severity string", *(f"m_{k} array<string>" for k in _LISTS), *(f"m_{k} boolean" for k in _SWITCHES)]
-    return spark.createDataFrame(rows, ", ".join(fields))
+    return spark.createDataFrame([_rule_row(i, r) for i, r in enumerate(rules)], _RULE)
+
+
+def user_rule_table(extra: DataFrame) -> DataFrame:
+    """What users add (user_name, kind, rule: JSON) as rules of their own: user_name, the columns of rule_table and `pattern` of a regex rule.
+
+    They come after the rules of all.
+    """
+    fields = [f.name for f in T.StructType.fromDDL(_RULE).fields]
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(user, *_rule_row(2000, r), r["match"].get("pattern") if kind == "regex" else None) for user, kind, r in zip(batch["user_name"], batch["kind"], map(json.loads, batch["rule"]), strict=True)]
+            yield pd.DataFrame(rows, columns=["user_name", *fields, "pattern"])
+
+    ship(extra.sparkSession)
+    return extra.select("user_name", "kind", "rule").mapInPandas(compiled, f"user_name string, {_RULE}, pattern string")
 
 
-def match_commands(cmds: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every (command, rule) whose predicates all hold; a missing predicate holds. The rule table is a constant of a few dozen rows, so it is broadcast."""
+_REGEXES = ["argv0", "argv0_not", "args_regex_any", "piped_to_any", "piped_from_any", "target_glob", "redirect_glob"]
+
+
+def rule_error(rules: DataFrame) -> DataFrame:
+    """The rules with `error`: the pattern that doesn't compile, or null. Each is tried once, where the rules are."""
+    given = F.concat(*(F.coalesce(F.col(f"m_{k}"), _strings([])) for k in _REGEXES), F.array(F.col("pattern")) if "pattern" in rules.columns else _strings([]))
+    tried = F.filter(F.array_compact(given), lambda p: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), p, F.lit("")).isNull())
+    return rules.withColumn("error", F.concat(F.lit("pattern doesn't compile: "), F.get(tried, F.lit(0))))
+
+
+def match_commands(cmds: DataFrame, rules: DataFrame, user: bool = False) -> DataFrame:
+    """Every (command, rule) whose predicates all hold; a missing predicate holds.
+
+    The rule table is a constant of a few dozen rows, so it is broadcast. With `user`, both sides have user_name, by which the
+    rules of many users are joined.
+    """
     none = F.array().cast("array<string>")
     col = lambda c: F.coalesce(F.col(c), none)
     rx = lambda v, k: F.exists(F.col(f"m_{k}"), lambda p: F.rlike(v, p))
@@ -379,48 +418,101 @@ def match_commands(cmds: DataFrame, rules: DataFrame) -> DataFrame:
     for k, t in switches.items():
         where = where & (~F.coalesce(F.col(f"m_{k}"), F.lit(False)) | F.coalesce(t, F.lit(False)))
     target = F.coalesce(F.get(col("operands"), F.lit(0)), F.get(col("redirects"), F.lit(0)), F.col("argv0"))
-    return cmds.join(F.broadcast(rules), where).select("id", "ord", "rule_pos", "rule", "class", "severity", target.alias("target"))
+    found = ["id", "ord", "rule_pos", "rule", "class", "severity", target.alias("target")]
+    if user:
+        own = rules.withColumnRenamed("user_name", "_user")
+        return cmds.join(own, (F.col("user_name") == F.col("_user")) & where).select("user_name", *found)
+    return cmds.join(F.broadcast(rules), where).select(*found)
 
 
-def escalate(decision: Column, unresolved: Column, level: str) -> Column:
+def escalate(decision: Column, unresolved: Column, level: Column | str) -> Column:
     """Under a strict policy, what can't be resolved is asked for unless something stronger was decided."""
     weak = F.coalesce(S.decision_rank(decision), F.lit(0)) < S.decision_rank(F.lit("ask"))
-    return F.when(F.coalesce(unresolved, F.lit(False)) & weak, "ask").otherwise(decision) if level == "strict" else decision
-
-
-def classify_commands(log: DataFrame, rules: DataFrame, raw: list[tuple], levels: DataFrame, exemptions: DataFrame, today: str, protected: list[str], level: str = "warn", ttl_hours: float = 24) -> tuple[DataFrame, DataFrame]:
+    strict = (F.lit(level) if isinstance(level, str) else level) == "strict"
+    return F.when(F.coalesce(unresolved, F.lit(False)) & weak & strict, "ask").otherwise(decision)
+
+
+def classify_commands(
+    log: DataFrame,
+    rules: DataFrame,
+    raw: list[tuple],
+    levels: DataFrame,
+    exemptions: DataFrame,
+    today: str,
+    protected: list[str],
+    level: str = "warn",
+    ttl_hours: float = 24,
+    overlay: DataFrame | None = None,
+    extra: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The verdict on every event of a command log, and its audit records.
 
-    log: event_id, line, cwd, home, branch, session_id, agent_id, ts. raw: (rule, class,
-    severity, pattern) of rules on the line itself. Levels, exemptions and session memory
-    are applied to every match (L02); the most restrictive decides, the first of equals
-    (A08); what can't be resolved is asked for under a strict policy (P14); an event has at
-    most `RECORDS` records (W03). A line is parsed once for each place it is used in.
+    log: event_id, line, cwd, home, branch, session_id, agent_id, ts, and with overlay or extra user_name. raw: (rule, class,
+    severity, pattern) of rules on the line itself. overlay: what users tighten (overlays); extra: rules that users add
+    (extra_rules), each for its own user's lines. Levels, exemptions and session memory are applied to every match (L02); the
+    most restrictive decides, the first of equals (A08); what can't be resolved is asked for under a strict policy, a user's
+    floor included (P14); an event has at most `RECORDS` records (W03). A line is parsed once for each place it is used in.
 
-    Returns verdicts (event_id, decision: null lets pass, rule) and records (event_id, rule, class, severity, level, target, outcome).
+    A rule that can't be evaluated, as its pattern doesn't compile, stops nothing: the others are applied, and each event that
+    it should have judged is asked for, as this control blocks, with a record PARSER_ERROR whose evidence says why (L04).
+
+    Returns verdicts (event_id, decision: null lets pass, rule) and records (event_id, rule, class, severity, level, target, outcome, error).
     """
-    place = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("line", "cwd", "home", "branch")))
-    events = log.select("event_id", place.alias("id"), "session_id", "agent_id", "ts")
-    cmds = stored(parse_limits(parse_log(events.select("id").distinct().withColumn("line", F.col("id.line")), "id", "line")), "parsed")
-    branch = F.nullif(F.col("id.branch"), F.lit(""))
-    found = match_commands(command_context(cmds, F.col("id.cwd"), F.col("id.home"), branch, protected), rules)
-    found = first_match(found, ["ord"], ["id", "rule"]).drop("ord")
-    hit = lambda i, r: F.when(F.col("id.line").rlike(r[3]), F.struct(F.lit(1000 + i).alias("rule_pos"), F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("class"), F.lit(r[2]).alias("severity"), F.lit(None).cast("string").alias("target")))
+    users = overlay is not None or extra is not None
+    place = {c: F.coalesce(c, F.lit("")) for c in ("line", "cwd", "home", "branch")}
+    # A line and its place are joined by a digest, not as texts.
+    key = F.unhex(F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in place.items()))).cast("binary"), 256))
+    events = log.select("event_id", key.alias("id"), *(c.alias(n) for n, c in place.items()), "session_id", "agent_id", "ts", *(["user_name"] if users else []))
+    places = events.select("id", *place).dropDuplicates(["id"])
+    events = events.drop(*place)
+    cmds = stored(parse_limits(parse_log(places.select("id", "line"), "id", "line")), "parsed")
+    known = command_context(cmds.join(places.drop("line"), "id"), F.col("cwd"), F.col("home"), F.nullif(F.col("branch"), F.lit("")), protected)
+    checked = rule_error(rules)
+    found = first_match(match_commands(known, checked.where("error IS NULL").drop("error")), ["ord"], ["id", "rule"]).drop("ord")
+    hit = lambda i, r: F.when(F.col("line").rlike(r[3]), F.struct(F.lit(1000 + i).alias("rule_pos"), F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("class"), F.lit(r[2]).alias("severity"), F.lit(None).cast("string").alias("target")))
     if raw:
-        whole = events.select("id").distinct().select("id", F.explode(F.array_compact(F.array(*(hit(i, r) for i, r in enumerate(raw))))).alias("r"))
+        whole = places.select("id", F.explode(F.array_compact(F.array(*(hit(i, r) for i, r in enumerate(raw))))).alias("r"))
         found = found.unionByName(whole.select("id", "r.*"))
     matches = events.join(found, "id").drop("id")
-    resolved = stored(resolve(matches, levels, exemptions, today, ttl_hours, level), "resolved")
+    # The rules of all are a constant, and so is what is wrong with them.
+    wrong = [r["error"] for r in checked.where("error IS NOT NULL").select("error").collect()]
+    errors = events.select("event_id", F.lit(wrong[0]).alias("error")) if wrong else None
+    if extra is not None:
+        own = stored(rule_error(user_rule_table(extra)), "user-rules")
+        good = own.where("error IS NULL").drop("error")
+        used = events.select("id", "user_name").join(own.select("user_name").distinct(), "user_name", "left_semi").distinct()
+        by_command = match_commands(known.join(used, "id"), good.where("pattern IS NULL"), user=True)
+        lines = places.select("id", "line").join(used, "id").join(good.where("pattern IS NOT NULL"), "user_name").where(F.rlike("line", F.col("pattern")))
+        by_line = lines.select("user_name", "id", F.lit("").alias("ord"), "rule_pos", "rule", "class", "severity", F.lit(None).cast("string").alias("target"))
+        more = first_match(by_command.unionByName(by_line), ["ord"], ["user_name", "id", "rule"]).drop("ord")
+        matches = matches.unionByName(events.join(more, ["user_name", "id"]).drop("id"))
+        broken = events.join(own.where("error IS NOT NULL").groupBy("user_name").agg(F.min("error").alias("error")), "user_name").select("event_id", "error")
+        errors = broken if errors is None else errors.unionByName(broken)
+    resolved = stored(resolve(matches, levels, exemptions, today, ttl_hours, level, overlay), "resolved")
 
     weight = F.when(F.col("suppressed"), S.decision_rank(F.lit("log"))).otherwise(S.decision_rank(F.col("decision")))
     best = resolved.groupBy("event_id").agg(F.max_by(F.struct("rule", "decision", (F.col("exempt") | F.col("suppressed")).alias("quiet")), F.struct(weight, -F.col("rule_pos"))).alias("b"))
     open_ = cmds.where(F.arrays_overlap("warnings", _strings(UNRESOLVED))).select("id").distinct().withColumn("open", F.lit(True))
-    final = events.select("event_id", "id").join(open_, "id", "left").join(best, "event_id", "left")
-    asked = F.coalesce(escalate(F.col("b.decision"), F.col("open"), level) != F.coalesce("b.decision", F.lit("")), F.lit(False))
+    # The policy's level for an event: that of all, or its user's floor.
+    policy = with_overlay(events, overlay).withColumn("policy", F.coalesce(S.harder(F.lit(level), F.col("floor")), F.lit(level))).drop("floor", "own") if overlay is not None else events.withColumn("policy", F.lit(level))
+    final = policy.select("event_id", "id", "policy").join(open_, "id", "left").join(best, "event_id", "left")
+    failed = errors.groupBy("event_id").agg(F.min("error").alias("error")) if errors is not None else None
+    final = final.join(failed, "event_id", "left") if failed is not None else final.withColumn("error", F.lit(None).cast("string"))
+    asked = F.coalesce(escalate(F.col("b.decision"), F.col("open"), F.col("policy")) != F.coalesce("b.decision", F.lit("")), F.lit(False))
     loud = ~F.coalesce("b.quiet", F.lit(False)) & ~F.coalesce(F.col("b.decision") == "log", F.lit(False))
-    final = final.select("event_id", F.when(asked, "ask").when(loud, F.col("b.decision")).alias("decision"), F.when(asked, "PARSER_UNRESOLVED").when(loud, F.col("b.rule")).alias("rule"))
+    decision = F.when(asked, "ask").when(loud, F.col("b.decision"))
+    failing = F.col("error").isNotNull() & (F.coalesce(S.decision_rank(decision), F.lit(0)) < S.decision_rank(F.lit("ask")))
+    final = final.select(
+        "event_id",
+        F.when(failing, with_fail_mode(F.lit(None).cast("string"), F.lit("command"), ["command"])).otherwise(decision).alias("decision"),
+        F.when(failing, "PARSER_ERROR").when(asked, "PARSER_UNRESOLVED").when(loud, F.col("b.rule")).alias("rule"),
+        F.col("policy"),
+        asked.alias("asked"),
+        "error",
+    )
 
-    kept = cap_rows(resolved, RECORDS, ["event_id"], ["rule_pos"]).select("event_id", "rule", "class", "severity", "level", "target", "outcome")
     text = lambda v, name: F.lit(v).cast("string").alias(name)
-    more = final.where("rule = 'PARSER_UNRESOLVED'").select("event_id", "rule", text("internal", "class"), text("MEDIUM", "severity"), text("strict", "level"), text(None, "target"), text("asked", "outcome"))
-    return final, kept.unionByName(more)
+    kept = cap_rows(resolved, RECORDS, ["event_id"], ["rule_pos"]).select("event_id", "rule", "class", "severity", "level", "target", "outcome", text(None, "error"))
+    more = final.where("asked").select("event_id", text("PARSER_UNRESOLVED", "rule"), text("internal", "class"), text("MEDIUM", "severity"), text("strict", "level"), text(None, "target"), text("asked", "outcome"), text(None, "error"))
+    bad = final.where("error IS NOT NULL").select("event_id", text("PARSER_ERROR", "rule"), text("internal", "class"), text("LOW", "severity"), F.col("policy").alias("level"), text(None, "target"), text("error", "outcome"), "error")
+    return final.select("event_id", "decision", "rule"), kept.unionByName(more).unionByName(bad)

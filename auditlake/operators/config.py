@@ -56,8 +56,8 @@ def hot_findings(artifacts: DataFrame, patterns: list[str] = HOT_KEYS) -> DataFr
     below = hot.join(leaves, "doc", "left").where(F.col("s").isNull() | (F.col("leaf") == F.col("at")) | F.col("leaf").startswith(F.concat("at", F.lit("/"))))
     texts = below.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("leaf", "s")))).alias("x"))
     hot = hot.select("doc", "key").join(texts, ["doc", "key"], "left")
-    found = hot.select(F.col("doc").alias("content"), "key", J.executables(F.transform(F.coalesce("x", F.array().cast("array<struct<leaf: string, s: string>>")), lambda y: y["s"])).alias("detail"))
-    of_files = files.join(found, "content").select("repo", "file", "key", "detail")
+    found = hot.select("doc", "key", J.executables(F.transform(F.coalesce("x", F.array().cast("array<struct<leaf: string, s: string>>")), lambda y: y["s"])).alias("detail"))
+    of_files = files.withColumn("doc", J.document_key(F.col("content"))).join(found, "doc").select("repo", "file", "key", "detail")
 
     folder = F.get(F.filter(F.array(*map(F.lit, RUN_FOLDERS)), lambda d: F.col("rel").startswith(d)), F.lit(0))
     inside = artifacts.where(F.col("content").isNotNull()).withColumn("file", folder).where("file is not null")

@@ -5,35 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
+from auditlake.sources.tables import stored
 
 # Words that run something.
 RUNNERS = ["sh", "bash", "zsh", "node", "python", "python3", "perl", "ruby", "curl", "wget", "nc", "npx", "eval", "exec"]
 
 
-def nodes(docs: DataFrame, col: str, depth: int = DEPTH) -> DataFrame:
-    """(doc, path, key path, named, kind, value) of every node up to the depth; named: it stands under a key. VARIANT sorts keys; path keeps that order."""
-    top = docs.select(F.col(col).alias("doc"), F.lit("").alias("path"), F.lit("").alias("keys"), F.lit(False).alias("named"), F.try_parse_json(col).alias("v"))
-    every, now = None, top
-    for _ in range(depth):
-        now = now.withColumn("kind", F.schema_of_variant("v"))
-        every = now if every is None else every.unionByName(now)
-        inner = now.where(F.col("kind").rlike("^(OBJECT|ARRAY)")).lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value")))
-        now = inner.select("doc", F.concat("path", F.format_string("/%06d", F.col("pos"))).alias("path"), F.when(F.col("key").isNull(), F.col("keys")).otherwise(F.concat_ws(".", F.nullif(F.col("keys"), F.lit("")), "key")).alias("keys"), F.col("key").isNotNull().alias("named"), F.col("value").alias("v"))
+def document_key(col: Column) -> Column:
+    """What stands for a document in the rows of its nodes, which would each carry its text otherwise."""
+    return F.unhex(F.sha2(col.cast("binary"), 256))
+
+
+def nodes(docs: DataFrame, col: str) -> DataFrame:
+    """(doc, path, keys, named, kind, v) of every node at any depth. doc: the document_key; keys: the dotted key path; named: it stands under a key.
+
+    A level is opened once: it is written, and the next one comes from its objects and arrays, until a level is empty. VARIANT
+    sorts keys; path keeps that order. Equal documents are walked as often as they are given.
+    """
+    now = docs.select(document_key(F.col(col)).alias("doc"), F.lit("").alias("path"), F.lit("").alias("keys"), F.lit(False).alias("named"), F.try_parse_json(col).alias("v"))
+    levels = []
+    while True:
+        now = stored(now.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)), "json-level")
+        if levels and now.isEmpty():
+            break
+        levels.append(now)
+        inner = now.where(F.col("kind").isin("OBJECT", "ARRAY")).lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key"), F.col("value")))
+        keys = F.when(F.col("key").isNull(), F.col("keys")).otherwise(F.concat_ws(".", F.nullif(F.col("keys"), F.lit("")), "key"))
+        now = inner.where("pos IS NOT NULL").select("doc", F.concat("path", F.format_string("/%09d", F.col("pos"))).alias("path"), keys.alias("keys"), F.col("key").isNotNull().alias("named"), F.col("value").alias("v"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
     return every
 
 
+def _with_text(docs: DataFrame, col: str, found: DataFrame) -> DataFrame:
+    return docs.select(col, document_key(F.col(col)).alias("_doc")).join(found.withColumnRenamed("doc", "_doc"), "_doc").drop("_doc")
+
+
 def strings(docs: DataFrame, col: str) -> DataFrame:
-    """All strings of a document, depth first, one a line."""
+    """All strings of a document (distinct ones are given), depth first, one a line."""
     leaves = nodes(docs, col).where("kind = 'STRING'").select("doc", "path", F.col("v").cast("string").alias("s"))
     joined = leaves.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("path", "s"))).alias("x"))
-    return joined.select(F.col("doc").alias(col), F.array_join(F.transform("x", lambda y: y["s"]), "\n").alias("text"))
+    return _with_text(docs, col, joined.select("doc", F.array_join(F.transform("x", lambda y: y["s"]), "\n").alias("text")))
 
 
 def keys(docs: DataFrame, col: str) -> DataFrame:
-    """dotted paths of all keys; array elements add no part."""
+    """dotted paths of all keys of a document (distinct ones are given); array elements add no part."""
     found = nodes(docs, col).where("keys <> ''").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("keys")), ",").alias("keys"))
-    return found.withColumnRenamed("doc", col)
+    return _with_text(docs, col, found)
 
 
 def executables(items: Column) -> Column:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions import scalars as S
+from auditlake.functions.paths import glob_to_regex, is_excluded
+from auditlake.sources.tables import ship
 
 # The default level of each class of rules.
 CLASS_LEVELS = {
@@ -28,13 +36,53 @@ def rule_levels(spark: SparkSession, more: dict[str, str] | None = None) -> Data
     return spark.createDataFrame(list((CLASS_LEVELS | (more or {})).items()), "key string, level string")
 
 
-def effective_level(findings: DataFrame, levels: DataFrame, default: str = "warn", floor: Column | None = None) -> DataFrame:
-    """The rule's level, else its class's, else the global one; raised to a local floor."""
+def overlays(effective: DataFrame) -> DataFrame:
+    """What users tighten, by time: (user_name, floor, own, since, until) of merge_overrides' effective rows.
+
+    own: rule or class to level. A row with `since` holds until the user's next one; without the column it always holds.
+    """
+    if "since" not in effective.columns:
+        effective = effective.withColumn("since", F.lit(None).cast("timestamp"))
+    until = F.lead("since").over(Window.partitionBy("user_name").orderBy(F.asc_nulls_first("since")))
+    return effective.select("user_name", "floor", F.col("rule_levels").alias("own"), F.col("since").cast("timestamp").alias("since"), until.cast("timestamp").alias("until"))
+
+
+def with_overlay(rows: DataFrame, overlay: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows with their user's `floor` and `own` levels at their time; null where the user tightens nothing.
+
+    A user has one row of the overlay for any time, so no row is lost or doubled.
+    """
+    o = overlay.select(F.col("user_name").alias("_user"), "floor", "own", "since", "until")
+    at = F.col(ts).cast("timestamp")
+    holds = (F.col("since").isNull() | (at >= F.col("since"))) & (F.col("until").isNull() | (at < F.col("until")))
+    return rows.join(o, (F.col("user_name") == F.col("_user")) & holds, "left").drop("_user", "since", "until")
+
+
+def effective_level(findings: DataFrame, levels: DataFrame, default: str = "warn", floor: Column | None = None, overlay: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """The rule's level, else its class's, else the global one; raised to a local floor.
+
+    With an overlay (findings then have user_name and ts) each user's own levels come before those of all, and the user's floor
+    holds for every rule.
+    """
     of_rule = levels.select(F.col("key").alias("rule"), F.col("level").alias("_rule_level"))
     of_class = levels.select(F.col("key").alias("class"), F.col("level").alias("_class_level"))
     found = findings.join(of_rule, "rule", "left").join(of_class, "class", "left")
     level = F.coalesce("_rule_level", "_class_level", F.lit(default))
-    return found.withColumn("level", S.harder(level, floor) if floor is not None else level).drop("_rule_level", "_class_level")
+    if overlay is not None:
+        found = with_overlay(found, overlay, ts)
+        own = lambda k: F.try_element_at(F.col("own"), F.coalesce(F.col(k), F.lit("")))
+        level = F.coalesce(own("rule"), F.col("_rule_level"), own("class"), F.col("_class_level"), F.lit(default))
+        level = F.coalesce(S.harder(level, F.col("floor")), level)
+    found = found.withColumn("level", S.harder(level, floor) if floor is not None else level)
+    return found.drop("_rule_level", "_class_level", *(["floor", "own"] if overlay is not None else []))
+
+
+def without_excluded(rows: DataFrame, patterns: list[str], path: str = "target", cwd: str = "cwd") -> DataFrame:
+    """Rows but those whose path lies below the working directory where an exclusion of the policy fits; a null path stays."""
+    if not patterns:
+        return rows
+    fits = is_excluded(F.col(path), F.col(cwd), F.array(*(F.lit(glob_to_regex(p)) for p in patterns)))
+    return rows.where(~F.coalesce(fits, F.lit(False)))
 
 
 def apply_exemptions(findings: DataFrame, exemptions: DataFrame, today: str, key: str = "event_id") -> DataFrame:
@@ -50,33 +98,68 @@ def apply_exemptions(findings: DataFrame, exemptions: DataFrame, today: str, key
     return findings.join(found, [key, "rule"], "left").withColumn("exempt", F.col("exemption").isNotNull()).withColumn("expired_hit", F.coalesce("expired_hit", F.lit(False)))
 
 
+def _quiet(ttl: int):
+    """Adds `suppressed` to rows that come by key and time. The last key and its anchor go from batch to batch, and nothing else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor = None, 0
+        for batch in batches:
+            held = np.flatnonzero(batch.column("_held").to_numpy(zero_copy_only=False))
+            quiet = np.zeros(batch.num_rows, bool)
+            if len(held):
+                keys = batch.column("_group").take(pa.array(held))
+                t = batch.column("_t").take(pa.array(held)).to_numpy()
+                new = np.append(True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False))
+                begins = np.flatnonzero(new)
+                for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(t)], strict=True):
+                    at = a
+                    if a or keys[0].as_py() != last:
+                        anchor, at = t[a], a + 1
+                    # From anchor to anchor: the next one is the first row that is late enough.
+                    while at < b:
+                        late = a + int(np.searchsorted(t[a:b], anchor + ttl))
+                        quiet[held[at:late]] = True
+                        if late == b:
+                            break
+                        anchor, at = t[late], late + 1
+                last = keys[len(keys) - 1].as_py()
+            names = [n for n in batch.schema.names if n not in _FOLD]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(quiet)], names=[*names, "suppressed"])
+
+    return run
+
+
+_FOLD = ["_group", "_t", "_held", "_deal"]
+
+
 def session_memory(df: DataFrame, ttl_hours: float = 24, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Warn and ask of one (session, rule, target, agent) are suppressed for a while after the last one that was not.
 
-    The anchor moves only when a row is emitted, so this is a fold over the key's
-    rows in order of time, not a lag. Other decisions pass by. An event may have a
-    row for each of several rules.
+    The anchor moves only when a row is emitted, so this is a fold over the key's rows in order of time, not a lag. Rows are
+    sorted within partitions and streamed: a key may have any number of rows, and no row is joined back. Other decisions and
+    rows without a session pass by, dealt out evenly. An event may have a row for each of several rules.
     """
     key = S.memory_key(F.col("rule"), F.col("target"), F.col("agent_id"))
-    held = F.col("decision").isin("warn", "ask") & ~F.coalesce(F.col("exempt"), F.lit(False)) if "exempt" in df.columns else F.col("decision").isin("warn", "ask")
+    held = F.col("decision").isin("warn", "ask") & (F.coalesce("session_id", F.lit("")) != "")
+    if "exempt" in df.columns:
+        held = held & ~F.coalesce(F.col("exempt"), F.lit(False))
     ttl = int(ttl_hours * 3_600_000_000) if ttl_hours > 0 else 86_400_000_000
-    df = df.withColumn("_key", key)
-    rows = df.where(held).select(F.col("session_id"), "_key", F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("id")).alias("x"))
-    # The state keeps the ids that were suppressed.
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<bigint>").alias("quiet"))
+    ship(df.sparkSession)
+    rows = df.withColumn("_group", F.concat(F.coalesce("session_id", F.lit("")), F.lit("\x1f"), F.coalesce(key, F.lit(""))))
+    rows = rows.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_held", F.coalesce(held, F.lit(False)) & F.col("_t").isNotNull())
+    rows = rows.withColumn("_deal", F.when(F.col("_held"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(order), F.lit(64))))
+    dealt = rows.repartition("_group", "_deal").sortWithinPartitions("_group", "_deal", "_t", order)
+    return dealt.mapInArrow(_quiet(ttl), T.StructType([*df.schema.fields, T.StructField("suppressed", T.BooleanType())]))
 
-    def step(acc: Column, x: Column) -> Column:
-        quiet = acc["anchor"].isNotNull() & (x["t"] - acc["anchor"] < ttl)
-        return F.when(quiet, F.struct(acc["anchor"].alias("anchor"), F.array_append(acc["quiet"], x["id"]).alias("quiet"))).otherwise(F.struct(x["t"].alias("anchor"), acc["quiet"].alias("quiet")))
 
-    folded = rows.groupBy("session_id", "_key").agg(F.aggregate(F.array_sort(F.collect_list("x")), start, step, lambda a: a["quiet"]).alias("quiet"))
-    quiet = folded.select("_key", F.explode("quiet").alias(order), F.lit(True).alias("suppressed"))
-    return df.join(quiet, [order, "_key"], "left").drop("_key").withColumn("suppressed", F.coalesce("suppressed", F.lit(False)))
+def resolve(findings: DataFrame, levels: DataFrame, exemptions: DataFrame, today: str, ttl_hours: float = 24, default: str = "warn", overlay: DataFrame | None = None, exclusions: list[str] | None = None) -> DataFrame:
+    """Level, decision, exemption (which logs and leaves the memory alone), session memory, audit action.
 
-
-def resolve(findings: DataFrame, levels: DataFrame, exemptions: DataFrame, today: str, ttl_hours: float = 24, default: str = "warn") -> DataFrame:
-    """Level, decision, exemption (which logs and leaves the memory alone), session memory, audit action."""
-    found = effective_level(findings, levels, default).withColumn("decision", S.decision_for(F.col("severity"), F.col("level")))
+    overlay: what users tighten (overlays); findings then have user_name. exclusions: globs of paths that aren't looked at;
+    findings then have target, a path, and cwd.
+    """
+    found = without_excluded(findings, exclusions or [])
+    found = effective_level(found, levels, default, overlay=overlay).withColumn("decision", S.decision_for(F.col("severity"), F.col("level")))
     found = apply_exemptions(found, exemptions, today).withColumn("decision", F.when(F.col("exempt"), "log").otherwise(F.col("decision")))
     found = session_memory(found, ttl_hours)
     return found.withColumn("outcome", S.audit_action(F.col("decision"), F.col("suppressed")))

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from auditlake.functions import scalars as S
+from auditlake.operators.folds import in_order
+from auditlake.sources.tables import stored
 
 
 def dir_hash(files: DataFrame, cap: int | None = None) -> DataFrame:
@@ -18,8 +27,32 @@ def dir_hash(files: DataFrame, cap: int | None = None) -> DataFrame:
     if cap:
         ranked = lines.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("rel"))).where(F.col("n") <= cap)
         lines = ranked.select("dir", F.explode(F.when(F.col("n") == cap, F.array("line", F.lit("truncated"))).otherwise(F.array("line"))).alias("line"))
-    listed = lines.groupBy("dir").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return listed.select("dir", F.sha2(F.array_join("lines", "\n").cast("binary"), 256).alias("dir_hash"))
+    hashed = in_order(lines.select("dir", "line"), ["dir"], ["line"], _hash_lines(lines.schema["dir"].dataType), T.StructType([lines.schema["dir"], T.StructField("dir_hash", T.StringType())]))
+    return hashed
+
+
+def _hash_lines(kind: T.DataType):
+    """The digest of each directory's lines, joined by line ends; a directory's lines go by and aren't kept."""
+    schema = pa.schema([("dir", to_arrow_type(kind)), ("dir_hash", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+        for batch in batches:
+            done = []
+            for name, line in zip(batch.column("dir").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if digest is None or name != at:
+                    if digest is not None:
+                        done.append({"dir": at, "dir_hash": digest.hexdigest()})
+                    at, digest = name, hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(line.encode())
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=schema)
+        if digest is not None:
+            yield pa.RecordBatch.from_pylist([{"dir": at, "dir_hash": digest.hexdigest()}], schema=schema)
+
+    return run
 
 
 def diff_artifacts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,22 +83,83 @@ def config_change(changed: Column, hot: Column, before: Column, level: Column) -
     return F.struct(after.alias("status"), action.alias("action"))
 
 
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """status() event by event; between them a repository has a status and a fingerprint, and nothing more."""
+    repo, state, known = None, None, None
+    first = True
+    for batch in batches:
+        after = []
+        for name, kind, print_, findings in zip(*(batch.column(c).to_pylist() for c in ("repo", "kind", "fingerprint", "findings")), strict=True):
+            if first or name != repo:
+                first, repo, state, known = False, name, None, None
+            if kind == "approve":
+                state, known = "trusted", known if known is not None else print_
+            else:
+                changed = known is not None and print_ is not None and known != print_
+                if state is None:
+                    state = "pending" if (findings or 0) > 0 else "trusted"
+                elif state == "quarantined" or changed:
+                    state = "quarantined"
+                known = print_
+            after.append(state)
+        yield pa.RecordBatch.from_arrays([batch.column("repo"), batch.column("seq"), pa.array(after, pa.string())], names=["repo", "seq", "status"])
+
+
 def trust_history(events: DataFrame) -> DataFrame:
     """R05, R07 over time: events (repo, seq, kind in snapshot | approve, fingerprint, findings) to the status after each.
 
-    A fold over a repository's events in order, as the baseline moves with every
-    one of them; a repository's history is a bounded list of changes.
+    A fold over a repository's events in order, as the baseline moves with every one of them.
     """
-    blank = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("print"), F.array().cast("array<struct<seq: bigint, status: string>>").alias("out"))
+    rows = events.select("repo", F.col("seq").cast("long").alias("seq"), "kind", "fingerprint", F.col("findings").cast("int").alias("findings"))
+    return in_order(rows, ["repo"], ["seq", "kind", "fingerprint"], _transitions, "repo string, seq bigint, status string")
 
-    def step(acc: Column, e: Column) -> Column:
-        changed = F.when(acc["print"].isNotNull() & (acc["print"] != e["fingerprint"]), 1).otherwise(0)
-        after = F.when(e["kind"] == "approve", "trusted").otherwise(status(changed, e["findings"], acc["status"]))
-        print_ = F.when(e["kind"] == "approve", F.coalesce(acc["print"], e["fingerprint"])).otherwise(e["fingerprint"])
-        return F.struct(after.alias("status"), print_.alias("print"), F.array_append(acc["out"], F.struct(e["seq"].alias("seq"), after.alias("status"))).alias("out"))
 
-    rows = events.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "fingerprint", F.col("findings").cast("int").alias("findings")))).alias("e"))
-    return rows.select("repo", F.explode(F.aggregate("e", blank, step, lambda a: a["out"])).alias("o")).select("repo", "o.*")
+def start_sessions(artifacts: DataFrame, findings: DataFrame, path: str, at: str) -> DataFrame:
+    """A session start in every repository: (repo, status, changed, rule, action), and the baselines that it leaves.
+
+    artifacts: repo, rel, hash as they are; findings: repo, key. Each repository is judged by the version of its baseline in
+    `path` that held at `at`. A clean repository without one is remembered in silence; what isn't trusted is remembered as it
+    is now, with its new status, and so is reported again until it is approved. A trusted repository that hasn't changed is
+    silent and leaves nothing. Versions are only ever added; repeating a call adds the same ones, which count once.
+    """
+    spark = artifacts.sparkSession
+    known = baselines_at(spark, path, at)
+    old = known.select("repo", "status", F.explode("artifacts").alias("rel", "hash"))
+    # A baseline without artifacts still has a status.
+    bare = known.where(F.size("artifacts") == 0).select("repo", "status", F.lit("").alias("rel"), F.lit("absent").alias("hash"))
+    judged = evaluate_trust(artifacts, findings, old.unionByName(bare), artifacts)
+    before = known.select("repo", F.col("status").alias("baseline"))
+    judged = judged.join(before, "repo", "left")
+    judged = stored(judged.select("repo", "status", "changed", "baseline", session_start(F.col("status"), F.col("baseline")).alias("x")).select("repo", "status", "changed", "baseline", "x.*"), "session-starts")
+    new = judged.where("status <> 'trusted' OR baseline IS NULL").select("repo", "status")
+    keys = findings.groupBy("repo").agg(F.array_sort(F.collect_set("key")).alias("hot_keys_present"))
+    now = artifacts.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("rel", "hash"))).alias("artifacts"))
+    rows = new.join(now, "repo").join(keys, "repo", "left").withColumn("hot_keys_present", F.coalesce("hot_keys_present", F.array().cast("array<string>")))
+    rows.select("repo", F.lit(at).cast("timestamp").alias("trusted_at"), "status", "artifacts", "hot_keys_present").write.mode("append").parquet(path)
+    return judged.select("repo", "status", "changed", "rule", "action")
+
+
+_BASELINE = "repo string, trusted_at timestamp, status string, artifacts map<string, string>, hot_keys_present array<string>"
+
+
+def baselines_at(spark: SparkSession, path: str, at: str | None = None) -> DataFrame:
+    """Each repository's latest baseline, or the one that held at a time; of versions of one time an approval stands."""
+    try:
+        rows = spark.read.schema(_BASELINE).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], _BASELINE)
+    if at is not None:
+        rows = rows.where(F.col("trusted_at") <= F.lit(at).cast("timestamp"))
+    rest = F.struct("trusted_at", "status", "artifacts", "hot_keys_present")
+    return rows.groupBy("repo").agg(F.max_by(rest, F.struct("trusted_at", (F.col("status") == "trusted").alias("approved"))).alias("x")).select("repo", "x.*")
+
+
+def approve(artifacts: DataFrame, findings: DataFrame, repos: list[str], path: str, at: str) -> None:
+    """A person trusts repositories as they are now: a new version of each one's baseline."""
+    chosen = artifacts.where(F.col("repo").isin(repos))
+    keys = findings.groupBy("repo").agg(F.array_sort(F.collect_set("key")).alias("hot_keys_present"))
+    rows = chosen.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("rel", "hash"))).alias("artifacts")).join(keys, "repo", "left")
+    rows.select("repo", F.lit(at).cast("timestamp").alias("trusted_at"), F.lit("trusted").alias("status"), "artifacts", F.coalesce("hot_keys_present", F.array().cast("array<string>")).alias("hot_keys_present")).write.mode("append").parquet(path)
 
 
 def fingerprint(artifacts: DataFrame, watched: list[str], folders: list[str] = (), cap: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as S
+from auditlake.operators import config as G
 from auditlake.operators import policy as P
 from auditlake.operators import report as R
 from auditlake.plans.fixtures import WITH, audit, literal, table
@@ -204,6 +205,28 @@ def _(spark, d):
     return found.select("event_id", "level", "decision", "exempt")
 
 
+_TURN = "2024-01-15 00:00:00"
+_OWN = "CASE WHEN user_id % 4 = 0 AND ts >= TIMESTAMP '" + _TURN + "' THEN 'strict' WHEN rule = 'git-reset-hard' THEN 'audit' WHEN class = 'privilege' AND user_id % 4 = 1 THEN 'strict' ELSE level END"
+
+
+@query("l02_user_policy", _LEVEL + _EXEMPT_SQL + f", own AS (SELECT lv.* REPLACE ({_OWN} AS level) FROM lv JOIN (SELECT event_id, user_id FROM events) USING (event_id) WHERE target <> 't3')" + _EX.format(src="own") + f", dd AS (SELECT own.*, exemption IS NOT NULL AS exempt, CASE WHEN exemption IS NOT NULL THEN 'log' ELSE {_DECISION} END AS decision FROM own LEFT JOIN e2 ON own.event_id = e2.event_id) SELECT event_id, level, decision, exempt FROM dd")
+def _(spark, d):
+    """Every user's file as it was at the time: one in four tightens everything from a day on, another one a class; t3 is excluded."""
+    users = table(spark, d, "events").select("user_id").distinct()
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_name")
+    before = users.where("user_id % 4 = 0").select(user, F.lit("{}").alias("body"), F.lit(None).cast("timestamp").alias("since"))
+    after = users.where("user_id % 4 = 0").select(user, F.lit('{"level": "strict"}').alias("body"), F.lit(_TURN).cast("timestamp").alias("since"))
+    one = users.where("user_id % 4 = 1").select(user, F.lit('{"rule_levels": {"privilege": "strict", "git-destructive": "audit"}}').alias("body"), F.lit(None).cast("timestamp").alias("since"))
+    files = before.unionByName(after).unionByName(one)
+    levels = P.CLASS_LEVELS | {"git-reset-hard": "audit"}
+    effective = G.merge_overrides(files.select("user_name", "body").distinct(), levels, "warn")[0]
+    # A file's content stands for what it makes of the policy.
+    versions = effective.join(files.where("since IS NOT NULL").select("user_name", F.lit("strict").alias("floor"), "since"), ["user_name", "floor"], "left")
+    rows = audit(spark, d).withColumn("cwd", F.lit("/w"))
+    found = P.resolve(rows, P.rule_levels(spark, {"git-reset-hard": "audit"}), exemptions(spark), "2024-01-20", overlay=P.overlays(versions), exclusions=["t3"])
+    return found.select("event_id", "level", "decision", "exempt")
+
+
 @query("l03_what_if", _LEVEL + f", b AS (SELECT class, {_DECISION} AS before, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'deny' WHEN severity = 'MEDIUM' THEN 'ask' ELSE 'warn' END AS after FROM lv) SELECT class, before, after, count(*) AS n FROM b GROUP BY ALL")
 def _(spark, d):
     levels = P.rule_levels(spark, {"git-reset-hard": "audit"})
