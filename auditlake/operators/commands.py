@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from auditlake.functions import scalars as S
 from auditlake.functions.paths import basename, expand_path, fnmatch_to_regex, glob_match, glob_to_regex, is_root_target, outside_cwd
 from auditlake.operators.config import with_fail_mode
+from auditlake.operators.index import candidates, name_key
 from auditlake.operators.policy import first_match, resolve, with_overlay
 from auditlake.operators.report import cap_rows
 from auditlake.sources.tables import ship, stored
@@ -342,10 +343,11 @@ _COMPILE = {"argv0": fnmatch_to_regex, "argv0_not": fnmatch_to_regex, "piped_to_
 
 def _rule_row(pos: int, r: dict) -> tuple:
     m = r["match"]
-    return (pos, r["id"], r["class"], r["severity"], *([_COMPILE.get(k, str)(x) for x in m[k]] if k in m else None for k in _LISTS), *(m.get(k) for k in _SWITCHES))
+    index = sorted({name_key(x) for x in m["argv0"]}) if m.get("argv0") else ["*"]
+    return (pos, r["id"], r["class"], r["severity"], index, *([_COMPILE.get(k, str)(x) for x in m[k]] if k in m else None for k in _LISTS), *(m.get(k) for k in _SWITCHES))
 
 
-_RULE = ", ".join(["rule_pos int", "rule string", "class string", "severity string", *(f"m_{k} array<string>" for k in _LISTS), *(f"m_{k} boolean" for k in _SWITCHES)])
+_RULE = ", ".join(["rule_pos int", "rule string", "class string", "severity string", "index array<string>", *(f"m_{k} array<string>" for k in _LISTS), *(f"m_{k} boolean" for k in _SWITCHES)])
 
 
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
@@ -382,8 +384,8 @@ def rule_error(rules: DataFrame) -> DataFrame:
 def match_commands(cmds: DataFrame, rules: DataFrame, user: bool = False) -> DataFrame:
     """Every (command, rule) whose predicates all hold; a missing predicate holds.
 
-    The rule table is a constant of a few dozen rows, so it is broadcast. With `user`, both sides have user_name, by which the
-    rules of many users are joined.
+    Rules meet commands by an index on names, so that predicates are tested on candidates alone. With `user`, both sides have
+    user_name, and a rule holds for its user.
     """
     none = F.array().cast("array<string>")
     col = lambda c: F.coalesce(F.col(c), none)
@@ -419,10 +421,8 @@ def match_commands(cmds: DataFrame, rules: DataFrame, user: bool = False) -> Dat
         where = where & (~F.coalesce(F.col(f"m_{k}"), F.lit(False)) | F.coalesce(t, F.lit(False)))
     target = F.coalesce(F.get(col("operands"), F.lit(0)), F.get(col("redirects"), F.lit(0)), F.col("argv0"))
     found = ["id", "ord", "rule_pos", "rule", "class", "severity", target.alias("target")]
-    if user:
-        own = rules.withColumnRenamed("user_name", "_user")
-        return cmds.join(own, (F.col("user_name") == F.col("_user")) & where).select("user_name", *found)
-    return cmds.join(F.broadcast(rules), where).select(*found)
+    names = F.array_compact(F.array("argv0"))
+    return candidates(cmds, names, rules, ["user_name"] if user else None).where(where).select(*(["user_name"] if user else []), *found)
 
 
 def escalate(decision: Column, unresolved: Column, level: Column | str) -> Column:

@@ -8,7 +8,7 @@ from auditlake.functions import paths as P
 from auditlake.functions import rules
 from auditlake.functions import scalars as S
 from auditlake.operators import commands as C
-from auditlake.operators import policy as L
+from auditlake.operators import paths as PC
 from auditlake.plans.fixtures import expected, golden
 
 QUERIES: dict = {}
@@ -161,36 +161,34 @@ PATHS = [
     ("src/main.py", "Read", None),
     ("/home/dev/.netrc", "Bash", "path-netrc-pgpass"),
     ("/home/dev/.netrc", "Write", None),
+    ("infra/terraform.tfstate", "Read", "path-cloud-credentials"),
+    ("~/.terraformrc", "Grep", "path-cloud-credentials"),
+    ("config/app.secrets.json", "Bash", "path-dotenv-via-bash"),
 ]
 
 
 def path_rules(spark, d):
     """The first rule that fits a path, as written or expanded."""
     g = golden(spark, d, "path string, tool string", [r[:2] for r in PATHS])
-    table = spark.createDataFrame([(i, r, [P.glob_to_regex(x) for x in a], [P.glob_to_regex(x) for x in b], t) for i, (r, _, a, b, t) in enumerate(rules.PATHS)], "rule_pos int, rule string, globs array<string>, fine array<string>, tools array<string>")
-    keys = g.select("path", "tool").distinct()
-    both = keys.withColumn("v", F.explode(F.array_distinct(F.array("path", P.expand_path(F.col("path"), F.lit(CWD), F.lit(HOME))))))
-    hit = F.array_contains("tools", F.col("tool")) & P.glob_match(F.col("globs"), F.col("v")) & ~P.glob_match(F.col("fine"), F.col("v"))
-    found = L.first_match(both.join(F.broadcast(table), hit), ["rule_pos", "v"], ["path", "tool"]).select("path", "tool", "rule")
-    return g.join(found, ["path", "tool"], "left").select("event_id", "rule")
+    # No two relative paths are equal: each is below a folder of its event's number.
+    own = g.select("event_id", "tool", F.regexp_replace("path", F.lit("^(?=[^/~])"), F.concat(F.lit("d"), F.col("event_id").cast("string"), F.lit("/"))).alias("path"))
+    found = PC.match_paths(own.withColumnRenamed("event_id", "id"), F.lit(CWD), F.lit(HOME)).select(F.col("id").alias("event_id"), "rule")
+    return g.select("event_id").join(found, "event_id", "left")
 
 
 QUERIES["j02_path_rules"] = path_rules
 SQL["j02_path_rules"] = expected(["rule"], [r[2:] for r in PATHS])
 
 #: line, rule.
-READS = [("cat ~/.ssh/id_rsa", "path-ssh-key"), ("cat README.md", None), ("grep x .env", "path-dotenv-via-bash"), ("rm ~/.ssh/id_rsa", None), ("sh -c 'tail .env'", "path-dotenv-via-bash"), ("cp key.pem /tmp", "path-private-key-file")]
+READS = [("cat ~/.ssh/id_rsa", "path-ssh-key"), ("cat README.md", None), ("grep x .env", "path-dotenv-via-bash"), ("rm ~/.ssh/id_rsa", None), ("sh -c 'tail .env'", "path-dotenv-via-bash"), ("cp key.pem /tmp", "path-private-key-file"), ("vi ~/.ssh/id_rsa", "path-ssh-key"), ("od -c id_dsa", "path-ssh-key"), ("zip k.zip ~/.ssh/config", "path-ssh-key"), ("openssl rsa key.pem", "path-private-key-file"), ("nano .npmrc", None), ("jq . terraform.tfstate", "path-cloud-credentials"), ("nc -l .env", None)]
 
 
 def reads(spark, d):
-    """Readers of sensitive files in the command log; an equi join on the reader's name comes first."""
+    """Readers of sensitive files in the command log; each line ends with its event's number, so no two are equal."""
     g = golden(spark, d, "line string", [r[:1] for r in READS])
-    cmds = C.parse_log(g.select("line").distinct().withColumn("key", F.col("line")), "key", "line")
-    table = spark.createDataFrame([(reader, i, r, [P.glob_to_regex(x) for x in a], [P.glob_to_regex(x) for x in b]) for i, (r, _, a, b, t) in enumerate(rules.PATHS) if "Bash" in t for reader in rules.READERS], "argv0 string, rule_pos int, rule string, globs array<string>, fine array<string>")
-    ops = cmds.join(F.broadcast(table), "argv0").withColumn("v", F.explode("operands"))
-    ops = ops.withColumn("v", F.explode(F.array_distinct(F.array("v", P.expand_path(F.col("v"), F.lit(CWD), F.lit(HOME)))))).where(P.glob_match(F.col("globs"), F.col("v")) & ~P.glob_match(F.col("fine"), F.col("v")))
-    found = L.first_match(ops, ["rule_pos"], ["id"]).select(F.col("id").alias("line"), "rule")
-    return g.join(found, "line", "left").select("event_id", "rule")
+    cmds = C.parse_log(g.select(F.col("event_id").alias("id"), F.concat("line", F.lit("; true "), F.col("event_id").cast("string")).alias("line")), "id", "line")
+    found = PC.match_reads(cmds, F.lit(CWD), F.lit(HOME)).select(F.col("id").alias("event_id"), "rule")
+    return g.select("event_id").join(found, "event_id", "left")
 
 
 QUERIES["j03_reads"] = reads

@@ -35,7 +35,7 @@ def stream_audit(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Da
     """The log as a stream. Day files grow while they are read; each line comes once, when it is whole."""
     ship(spark)
     spark.dataSource.register(AppendLog)
-    return _records(spark.readStream.format("append_log").option("rangeBytes", range_bytes).load(path))
+    return _records(spark.readStream.format("append_log").option("rangeBytes", range_bytes).option("json", "true").load(path))
 
 
 def legacy_fields(line: Column) -> Column:

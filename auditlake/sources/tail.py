@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,8 @@ class AppendLog(DataSource):
     are read alone; a line that isn't ended yet waits. The checkpoint keeps the marks, so a restart repeats nothing, and a
     batch that failed is read again from the same marks. Files are append-only: what is cut from one isn't noticed.
 
-    Options: `path`, a folder in a file system that pyarrow opens (local, HDFS, S3, GCS); `rangeBytes`, the most for a task.
+    Options: `path`, a folder in a file system that pyarrow opens (local, HDFS, S3, GCS); `rangeBytes`, the most for a task;
+    `json`: a last line that is a whole JSON object needs no end, as no part of one is an object.
     Hidden files and those that begin with an underscore are left out, as in Spark's own file sources.
     """
 
@@ -46,12 +48,12 @@ class AppendLog(DataSource):
         return "value string, file_name string"
 
     def streamReader(self, schema) -> _AppendReader:
-        return _AppendReader(self.options["path"], int(self.options.get("rangeBytes", RANGE)))
+        return _AppendReader(self.options["path"], int(self.options.get("rangeBytes", RANGE)), self.options.get("json", "false") == "true")
 
 
 class _AppendReader(DataSourceStreamReader):
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def __init__(self, path: str, most: int, objects: bool = False):
+        self.path, self.most, self.objects = path, most, objects
         self.marks: dict[str, tuple[int, int]] = {}
 
     def _open(self) -> tuple[fs.FileSystem, str]:
@@ -69,7 +71,7 @@ class _AppendReader(DataSourceStreamReader):
             if info.type != fs.FileType.File or any(p[:1] in "._" for p in name.split("/")):
                 continue
             if self.marks.get(name, (-1, 0))[0] != info.size:
-                self.marks[name] = info.size, _last_end(system, info.path, info.size)
+                self.marks[name] = info.size, _last_end(system, info.path, info.size, self.objects)
             found[name] = self.marks[name][1]
         return found
 
@@ -101,17 +103,27 @@ def _batch(lines: list[str], name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([name.rsplit("/", 1)[-1]] * len(lines), pa.string())], names=["value", "file_name"])
 
 
-def _last_end(system: fs.FileSystem, path: str, size: int) -> int:
-    """Past the last line end before `size`, found from behind."""
+def _last_end(system: fs.FileSystem, path: str, size: int, objects: bool) -> int:
+    """Past the last whole line before `size`, found from behind."""
+    end, at = 0, size
     with system.open_input_file(path) as f:
-        while size > 0:
-            begin = max(0, size - _BLOCK)
+        while at > 0 and not end:
+            begin = max(0, at - _BLOCK)
             f.seek(begin)
-            at = f.read(size - begin).rfind(b"\n")
-            if at >= 0:
-                return begin + at + 1
-            size = begin
-    return 0
+            last = f.read(at - begin).rfind(b"\n")
+            end, at = begin + last + 1 if last >= 0 else 0, begin
+        if objects and end < size:
+            f.seek(end)
+            if _is_object(f.read(size - end)):
+                return size
+    return end
+
+
+def _is_object(line: bytes) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
 
 
 def drain(writer: DataStreamWriter) -> StreamingQuery:
