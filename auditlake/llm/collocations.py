@@ -6,12 +6,13 @@ its word hashes.
 
 1. Every task counts its fingerprints in hashed buckets; the counts add up to one
    bit a bucket, "may be frequent". The bit tables have a fixed largest size.
-2. A fingerprint whose own bit and the bits of all its parts are set is grouped
-   within a slice of text, word by word, and sent with its count and the place of
-   one occurrence; Spark adds up the counts of each fingerprint.
-3. For the frequent ones, each place is read back from the text, and counts are
-   added up by phrase. So unequal phrases that share a fingerprint come apart, and
-   only what may be frequent ever becomes text.
+2. A fingerprint whose own bit and the bits of all its parts are set is compared word
+   by word within a slice of text. It goes out with a second fingerprint of other
+   word hashes, its count and the place of one occurrence; Spark adds up the counts.
+3. The places of the frequent ones are read back from the text, and counts are added
+   up by phrase: unequal phrases that share a fingerprint come apart by their words
+   in a slice and by the second fingerprint over slices, and only what is frequent
+   ever becomes text.
 
 A bucket's count is no less than that of any phrase in it, so bits lose nothing; if
 the corpus outgrows the tables, more passes them and the result stays the same.
@@ -41,17 +42,36 @@ TOP = 2000
 #: Bytes of text for each bucket, and buckets of an order, at most: 8 MB of bits.
 BUCKET_BYTES = 128
 MOST_BUCKETS = 1 << 26
-#: Buckets in a row, bytes of text handled at once, and shares of a hot language.
+#: Places, of about 40 bytes, that are broadcast to the texts; more are joined by a shuffle.
+BROADCAST = 400_000
+#: Buckets in a row, n-grams that a task holds before it sends them, rows in a batch that it sends, bytes of text
+#: at once, and shares of a hot language.
 _ROW = 1 << 14
-_SLICE = 12 << 20
+_HELD = 1 << 19
+_SENT = 1 << 16
+_SLICE = 2 << 20
 _SALT = 64
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 
 _COUNTS = "k int, part int, counts binary"
-_SPOT = "lang string, k int, print bigint, n bigint, file string, row bigint, start int, length int"
-_SPOT_ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("print", pa.int64()), ("n", pa.int64()), ("file", pa.string()), ("row", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
+_SPOT = "lang string, k int, print bigint, other bigint, n bigint, file string, row bigint, start int, length int"
+_KEY = ["lang", "k", "print", "other"]
+_SPOT_ARROW = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("print", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("file", pa.string()), ("row", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
+#: The same within a task, which numbers languages and files; nulls are -1.
+_HELD_ARROW = pa.schema([("lang", pa.int32()), ("k", pa.int8()), ("print", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("file", pa.int32()), ("row", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
+
+
+class _Names(dict):
+    """Numbers for strings, as they come."""
+
+    def of(self, names: pa.Array) -> np.ndarray:
+        return np.array([self.setdefault(x, len(self)) for x in names.to_pylist()], np.int32)
+
+    def strings(self, numbers: pa.Array) -> pa.Array:
+        at = numbers.to_numpy()
+        return pa.array([*self], pa.string()).take(pa.array(np.where(at < 0, 0, at), mask=at < 0))
 
 
 class _Slice:
@@ -67,7 +87,7 @@ class _Slice:
         salt = np.array([_name_hash(x) for x in self.langs.to_pylist()], np.uint64)
         self.salt = salt[self.lang][self.doc] if len(self.doc) else np.zeros(0, np.uint64)
         # Pieces: what ends one lies between two words, or a text does.
-        ended = np.cumsum(_ENDS[self.data])
+        ended = np.cumsum(_ENDS[self.data], dtype=np.int32 if len(self.data) < 1 << 31 else np.int64)
         self.piece = ended[self.first] + self.doc if len(self.doc) else self.doc
 
     def grams(self, k: int) -> np.ndarray:
@@ -79,28 +99,42 @@ class _Slice:
         found = mix(rolling(self.hash, first, first + k) ^ self.salt[first])
         return found >> np.uint64(64 - self.bits) if self.bits < 64 else found
 
-    def same(self) -> np.ndarray:
-        """A number for each word; equal numbers are equal words, byte for byte."""
+    def same(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, equal for words that are equal byte for byte; and a hash of each word that owes nothing to self.hash."""
         _, place, order, begins = grouped(self.hash)
-        other = order[begins][place]
+        lead = order[begins]
         raw = np.zeros(len(self.data) + 8, np.uint8)
         raw[: len(self.data)] = _lowered(self.data)
         eight = np.ndarray(len(self.data) + 1, np.uint64, raw, 0, (1,))
         size = self.last - self.first
-        odd = size != size[other]
+        odd = size != size[lead[place]]
         rest, step = np.arange(len(size)), 0
         while len(rest):
-            a, b, left = self.first[rest] + step, self.first[other[rest]] + step, size[rest] - step
-            there = np.minimum(b, len(self.data))  # an odd word may be longer than the other
-            odd[rest] |= (eight[a] ^ eight[there]) & _MASK[np.clip(left, 0, 8)] != 0
+            a, b, left = self.first[rest] + step, self.first[lead[place[rest]]] + step, size[rest] - step
+            # A word that is longer than its lead is odd already.
+            odd[rest] |= (eight[a] ^ eight[np.minimum(b, len(self.data))]) & _MASK[np.minimum(left, 8)] != 0
             step += 8
             rest = rest[(size[rest] > step) & ~odd[rest]]
         own: dict[bytes, int] = {}
+        extra = []
         for i in np.flatnonzero(odd):
-            place[i] = len(begins) + own.setdefault(raw[self.first[i] : self.last[i]].tobytes(), len(own))
-        return place
+            key = raw[self.first[i] : self.last[i]].tobytes()
+            if key not in own:
+                own[key] = len(lead) + len(extra)
+                extra.append(i)
+            place[i] = own[key]
+        lead = np.append(lead, np.array(extra, lead.dtype))
+        at, left = self.first[lead], size[lead]
+        other = mix(left.astype(np.uint64) + _OTHER)
+        rest, step = np.arange(len(lead)), 0
+        while len(rest):
+            other[rest] = mix((other[rest] + (eight[at[rest] + step] & _MASK[np.minimum(left[rest] - step, 8)])) * _OTHER)
+            step += 8
+            rest = rest[left[rest] > step]
+        return place, other[place]
 
 
+_OTHER = np.uint64(0xA0761D6478BD642F)
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
@@ -153,58 +187,82 @@ def _bits(least: int, width: int):
     return run
 
 
+def _found(part: _Slice, tables: np.ndarray, langs: _Names, files: _Names) -> Iterator[pa.RecordBatch]:
+    """A slice's n-grams that may be frequent, and for k = 0 its words by language."""
+    number, other = part.same()
+    before = np.ones(len(part.hash) + 1, bool)
+    lang = langs.of(part.langs)
+    coded = part.part.column("file").dictionary_encode()
+    file = files.of(coded.dictionary)[coded.indices.to_numpy()]
+    row = part.part.column("row").to_numpy()
+
+    def rows(lang: np.ndarray, k: int, *rest) -> pa.RecordBatch:
+        columns = [lang, np.full(len(lang), k), *(np.full(len(lang), x) if isinstance(x, int) else x for x in rest)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, _HELD_ARROW, strict=True)], schema=_HELD_ARROW)
+
+    known, n = np.unique(part.lang[part.doc], return_counts=True)
+    yield rows(lang[known], 0, 0, 0, n, -1, -1, -1, -1)
+    for k in range(1, LONGEST + 1):
+        first = part.grams(k)
+        first = first[before[first] & before[first + 1]] if k > 1 else first
+        prints = part.prints(k, first)
+        at = (prints & np.uint64(8 * tables.shape[1] - 1)).astype(np.int64)
+        may = tables[k - 1][at >> 3] >> (7 - (at & 7)) & 1 == 1
+        first, prints = first[may], prints[may]
+        before = np.zeros(len(part.hash) + 1, bool)
+        before[first] = True
+        if not len(first):
+            return
+        values, place, order, begins = grouped(prints)
+        lead = np.minimum.reduceat(first[order], begins)
+        odd = part.lang[part.doc[first]] != part.lang[part.doc[lead[place]]]
+        for j in range(k):
+            odd |= number[first + j] != number[lead[place] + j]
+        own: dict[tuple, int] = {}
+        extra = []
+        for i in np.flatnonzero(odd):
+            key = (int(prints[i]), int(part.lang[part.doc[first[i]]]), *number[first[i] : first[i] + k].tolist())
+            if key not in own:
+                own[key] = len(values) + len(extra)
+                extra.append(i)
+            place[i] = own[key]
+        if extra:
+            values, lead = np.append(values, prints[extra]), np.append(lead, first[extra])
+        doc = part.doc[lead]
+        counts = np.bincount(place, minlength=len(values))
+        yield rows(lang[part.lang[doc]], k, values.view(np.int64), rolling(other, lead, lead + k).view(np.int64), counts, file[doc], row[doc], part.first[lead] - part.at[doc], part.last[lead + k - 1] - part.first[lead])
+
+
+def _sum(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each n-gram, with the place that came first."""
+    table = pa.Table.from_batches(held, _HELD_ARROW)
+    summed = table.group_by(_KEY, use_threads=False).aggregate([("n", "sum"), *((c, "first") for c in ("file", "row", "start", "length"))])
+    return pa.RecordBatch.from_arrays([summed.column(c).combine_chunks() for c in (*_KEY, "n_sum", "file_first", "row_first", "start_first", "length_first")], schema=_HELD_ARROW)
+
+
 def _send(tables: np.ndarray, bits: int):
-    """A slice's n-grams that may be frequent: language, words, fingerprint, count and one occurrence; for k = 0, its words."""
+    """The n-grams that may be frequent: language, words, fingerprints, count and one occurrence, summed over what a task can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, files = _Names(), _Names()
+        held: list[pa.RecordBatch] = []
+
+        def named(done: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, done.num_rows, _SENT):
+                x = done.slice(at, _SENT)
+                full = {"lang": langs.strings(x.column("lang")), "file": files.strings(x.column("file")) if files else pa.nulls(x.num_rows, pa.string())}
+                yield pa.RecordBatch.from_arrays([full[f.name] if f.name in full else x.column(f.name).cast(f.type) for f in _SPOT_ARROW], schema=_SPOT_ARROW)
+
         for part in _parts(batches, bits):
-            if not len(part.hash):
-                continue
-            number, before = part.same(), np.ones(len(part.hash) + 1, bool)
-            langs, n = np.unique(part.lang[part.doc], return_counts=True)
-            none = pa.nulls(len(langs))
-            yield pa.RecordBatch.from_arrays([part.langs.take(pa.array(langs)), pa.array(np.zeros(len(langs), np.int32)), pa.array(np.zeros(len(langs), np.int64)), pa.array(n), none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32())], schema=_SPOT_ARROW)
-            for k in range(1, LONGEST + 1):
-                first = part.grams(k)
-                first = first[before[first] & before[first + 1]] if k > 1 else first
-                prints = part.prints(k, first)
-                at = (prints & np.uint64(8 * tables.shape[1] - 1)).astype(np.int64)
-                may = tables[k - 1][at >> 3] >> (7 - (at & 7)) & 1 == 1
-                first, prints = first[may], prints[may]
-                before = np.zeros(len(part.hash) + 1, bool)
-                before[first] = True
-                if not len(first):
-                    break
-                values, place, order, begins = grouped(prints)
-                lead = np.minimum.reduceat(first[order], begins)
-                odd = part.lang[part.doc[first]] != part.lang[part.doc[lead[place]]]
-                for j in range(k):
-                    odd |= number[first + j] != number[lead[place] + j]
-                own: dict[tuple, int] = {}
-                extra = []
-                for i in np.flatnonzero(odd):
-                    key = (int(prints[i]), int(part.lang[part.doc[first[i]]]), *number[first[i] : first[i] + k].tolist())
-                    if key not in own:
-                        own[key] = len(own)
-                        extra.append(i)
-                    place[i] = len(values) + own[key]
-                if extra:
-                    values, lead = np.append(values, prints[extra]), np.append(lead, first[extra])
-                n = np.bincount(place, minlength=len(values))
-                doc = part.doc[lead]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.langs.take(pa.array(part.lang[doc])),
-                        pa.array(np.full(len(values), k, np.int32)),
-                        pa.array(values.view(np.int64)),
-                        pa.array(n),
-                        part.part.column("file").take(pa.array(doc)),
-                        part.part.column("row").take(pa.array(doc)),
-                        pa.array((part.first[lead] - part.at[doc]).astype(np.int32)),
-                        pa.array((part.last[lead + k - 1] - part.first[lead]).astype(np.int32)),
-                    ],
-                    schema=_SPOT_ARROW,
-                )
+            if len(part.hash):
+                held += _found(part, tables, langs, files)
+            if sum(map(len, held)) > _HELD:
+                held = [_sum(held)]
+                if len(held[0]) > _HELD // 2:
+                    yield from named(held.pop())
+        if held:
+            yield from named(_sum(held))
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -234,21 +292,24 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = 64) -> tuple[
     while buckets < min(MOST_BUCKETS, size // BUCKET_BYTES):
         buckets *= 2
     # A task sends counts once, for all it reads: as many tasks as the cluster keeps busy, however large the corpus.
-    few = source.select("lang", "text").coalesce(spark.sparkContext.defaultParallelism * 2)
+    few = source.coalesce(spark.sparkContext.defaultParallelism * 2)
     width = min(_ROW, buckets)
-    rows = few.mapInArrow(_count(buckets, bits), _COUNTS).groupBy("k", "part").applyInArrow(_bits(least, width), _COUNTS).collect()
+    rows = few.select("lang", "text").mapInArrow(_count(buckets, bits), _COUNTS).groupBy("k", "part").applyInArrow(_bits(least, width), _COUNTS).collect()
     tables = np.zeros((LONGEST, buckets // 8), np.uint8)
     for r in rows:
         tables[r["k"] - 1, r["part"] * width // 8 : (r["part"] + 1) * width // 8] = np.frombuffer(r["counts"], np.uint8)
     shared = spark.sparkContext.broadcast(tables)
-    spots = written(source.mapInArrow(lambda batches: _send(shared.value, bits)(batches), _SPOT), "phrases")
+    spots = written(few.mapInArrow(lambda batches: _send(shared.value, bits)(batches), _SPOT), "phrases")
     totals = spots.where("k = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    often = spots.where("k > 0").groupBy("lang", "k", "print").agg(F.sum("n").alias("every")).where(F.col("every") >= least)
-    # A text's places are fewer than its words times five.
-    places = spots.where("k > 0").join(often, ["lang", "k", "print"], "left_semi").groupBy("file", "row").agg(F.collect_list(F.struct("lang", "k", "n", "start", "length")).alias("spots"))
+    # A fingerprint's count is no less than that of any phrase that has it.
+    often = spots.where("k > 0").groupBy(*_KEY).agg(F.sum("n").alias("n"), F.min(F.struct("file", "row", "start", "length")).alias("at")).where(F.col("n") >= least)
+    # A text has fewer places than words times five.
+    places = written(often.select("lang", "k", "n", "at.*").groupBy("file", "row").agg(F.collect_list(F.struct("lang", "k", "n", "start", "length")).alias("spots")), "phrase-places")
     texts = source.select("file", "row", lower_ascii(F.col("text")).cast("binary").alias("raw"))
     read = lambda x: F.struct(x["lang"].alias("lang"), x["k"].alias("k"), x["n"].alias("n"), F.regexp_replace(F.substring(F.col("raw"), x["start"] + 1, x["length"]).cast("string"), "[ \t]+", " ").alias("phrase"))
-    found = places.join(texts, ["file", "row"]).select(F.explode(F.transform("spots", read)).alias("s")).select("s.*")
+    # One place a phrase: mostly few beside the texts, which then needn't be shuffled.
+    few_places = (places.agg(F.sum(F.size("spots"))).first()[0] or 0) <= BROADCAST
+    found = (F.broadcast(places) if few_places else places).join(texts, ["file", "row"]).select(F.explode(F.transform("spots", read)).alias("s")).select("s.*")
     counts = found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return written(counts, "phrase-counts"), totals
 

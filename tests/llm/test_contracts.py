@@ -202,7 +202,9 @@ def brute_phrases(rows, least, top=2000):
 PHRASE = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-def test_op11_phrases(spark, folder, rows):
+@pytest.mark.parametrize("broadcast", [0, 400_000])
+def test_op11_phrases(spark, folder, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(collocations, "BROADCAST", broadcast)
     want = Counter(brute_phrases(rows, 100))
     assert len(want) >= 2 and bag(ran(spark, folder, "op11_phrase_collocations"), PHRASE) == want
 
