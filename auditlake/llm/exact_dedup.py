@@ -2,12 +2,15 @@
 
 Every row becomes (digest, id, locator). A stream keyed by the digest keeps, in a
 disk-backed RocksDB state that never expires, the largest id, its locator and
-the number of rows. Whatever hits a key that another row has is checked within its
-batch, byte for byte, against the text at the key's locator.
+the number of rows. Whatever hits a key that another row has is checked in its call,
+byte for byte, against the text at the key's locator.
 
 With `state_dir`, rows, state and results stay in that folder: a later call reads
-its own rows alone and meets the keys of all earlier ones. A call that was cut off
-is taken up again where it stopped.
+its own rows alone and meets the keys of all earlier ones. The state also keeps which
+rows it has counted, by file, time of change and place in the file. So a call that is
+repeated, overlaps another one or takes up one that was cut off at any point counts
+no row twice. Rows that don't come straight from Parquet files have no lasting place
+and are new in every call.
 
 Defined results: null text is empty text; a null id counts as smaller than any
 id; of rows with the same id and text the one with the greatest locator stays;
@@ -18,7 +21,6 @@ digest shared by unequal texts raises an error instead of dropping a text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -35,7 +37,7 @@ _STATE = {
 }
 
 
-_ROWS = "doc_id bigint, digest string, locator string, call string"
+_ROWS = "doc_id bigint, digest string, locator string, version string, call string"
 _GROUPS = "digest string, keep struct<doc_id: bigint, locator: string>, group_size bigint, batch int"
 
 
@@ -53,24 +55,19 @@ def _located(docs: DataFrame) -> tuple[DataFrame, Column]:
     return docs, _where(docs)
 
 
-def _fold(spark: SparkSession, base: str, check: Callable[[DataFrame], None]) -> DataFrame:
-    """digest, keep (id, locator) and group_size of every key in the state, after the rows not read yet; check(groups) sees each batch's hits."""
+def _fold(spark: SparkSession, base: str) -> DataFrame:
+    """digest, keep (id, locator) and group_size of every key in the state, after the rows not read yet."""
 
     def put(batch: DataFrame, number: int) -> None:
-        path = f"{base}/groups/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
-        check(spark.read.parquet(path).where("group_size > 1"))
-
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = spark.readStream.schema(_ROWS).parquet(f"{base}/rows")
-        state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        batch.write.mode("overwrite").parquet(f"{base}/groups/batch={number}")
+
+    # A session of its own, so that no other query sees the store's settings.
+    own = spark.newSession()
+    for k, v in (_STATE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(k, v)
+    stream = own.readStream.schema(_ROWS).parquet(f"{base}/rows").dropDuplicates(["locator", "version"])
+    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     try:
         seen = spark.read.schema(_GROUPS).parquet(f"{base}/groups")
     except AnalysisException:
@@ -85,12 +82,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs, where = _located(docs)
     base = state_dir or table_path(spark, "dedup")
     call = uuid4().hex
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(lower_ascii(F.col(text_col)).cast("binary"), 256).alias("digest"), where.alias("locator"), F.lit(call).alias("call"))
+    version = docs.metadataColumn("_metadata")["file_modification_time"].cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(lower_ascii(F.col(text_col)).cast("binary"), 256).alias("digest"), where.alias("locator"), version.alias("version"), F.lit(call).alias("call"))
     rows.write.mode("append").parquet(f"{base}/rows")
     every = spark.read.schema(_ROWS).parquet(f"{base}/rows")
     mine = every.where(F.col("call") == call)
     texts = docs.select(where.alias("locator"), lower_ascii(F.col(text_col)).alias("norm"))
-    state = written(_fold(spark, base, lambda hits: _verify(hits, mine, texts, text_col)), "dedup-groups")
+    state = written(_fold(spark, base), "dedup-groups")
+    _verify(state.where("group_size > 1"), mine, texts, text_col)
     joined = mine.join(state, "digest")
     return joined.select("doc_id", "locator", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("keep.locator")).alias("kept"))
 

@@ -260,6 +260,28 @@ def test_exact_copies_over_several_calls(spark, tmp_path):
     assert out == [[(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)], [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)], [(6, 6, 1, True)]]
 
 
+def test_exact_copies_of_a_repeated_call(spark, tmp_path, monkeypatch):
+    """A call that is repeated, one that was cut off before its rows were counted, and one that overlaps others."""
+    state, paths = str(tmp_path / "state"), [str(tmp_path / f"day{n}") for n in range(2)]
+    for path, rows in zip(paths, [[(1, "a"), (2, "b"), (3, "A")], [(4, "b"), (5, "c"), (0, "a")]], strict=True):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    call = lambda *p: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.read.parquet(*p), state_dir=state).collect())
+    first = [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)]
+    assert call(paths[0]) == first and call(paths[0]) == first
+    fold = exact_dedup._fold
+
+    def cut(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact_dedup, "_fold", cut)
+    with pytest.raises(RuntimeError):
+        call(paths[1])
+    monkeypatch.setattr(exact_dedup, "_fold", fold)
+    second = [(0, 3, 3, False), (4, 4, 2, True), (5, 5, 1, True)]
+    assert call(paths[1]) == second and call(paths[1]) == second
+    assert call(*paths) == sorted([(1, 3, 3, False), (2, 4, 2, False), (3, 3, 3, True), *second])
+
+
 def test_columns_with_clashing_names(spark, tmp_path):
     names = ["found", "gone", "mark", "most", "kept", "node", "label", "row", "_row", "_hash", "_gone", "_found", "_locator", "_metadata", "_text", "text_", "h", "n", "rank", "size", "far", "key", "locator", "chunk", "bucket"]
     frame = spark.createDataFrame([(r[0], r[1], r[2], *names) for r in ROWS], "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
