@@ -146,6 +146,13 @@ def secret_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("f")).select("id", "f.*")
 
 
+def secret_severity(found: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """The highest severity of a group's findings (by, type) under the rules (rule, severity); a type without a rule is MEDIUM."""
+    severity = known.groupBy(F.col("rule").alias("type")).agg(F.max_by("severity", S.severity_rank(F.col("severity"))).alias("_severity"))
+    rated = found.join(severity, "type", "left").withColumn("_severity", F.coalesce("_severity", F.lit("MEDIUM")))
+    return rated.groupBy(*by).agg(F.max_by("_severity", S.severity_rank(F.col("_severity"))).alias("severity"))
+
+
 def sanitize_evidence(text: Column, safe: bool = False, typed: bool = True) -> Column:
     """cut, then redacted, as records have it; safe redacts first, so that no half secret stays at the cut.
 

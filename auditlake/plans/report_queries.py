@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from auditlake.functions import rules
 from auditlake.functions import scalars as S
 from auditlake.operators import config as G
+from auditlake.operators import injection as I
 from auditlake.operators import policy as P
 from auditlake.operators import report as R
+from auditlake.operators import sketches as K
 from auditlake.plans.fixtures import WITH, audit, literal, table
+from auditlake.sources.tables import shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,6 +140,20 @@ def _(spark, d):
     return audit(spark, d).agg(exact.alias("sessions"), F.count_distinct("user_name").alias("users"), (F.abs(near - exact) <= exact * 0.1).alias("close"))
 
 
+_BUCKET = "(v - v % CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT))"
+
+
+@query("a21_days", WITH + f""", a AS (SELECT coalesce(rule, '-') AS rule, session_id, CAST(latency_ms AS BIGINT) AS v FROM audit WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'), r AS (SELECT rule, v, row_number() OVER (PARTITION BY rule ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY rule) AS m FROM a WHERE v IS NOT NULL), q AS (SELECT rule, max({_BUCKET}) FILTER (i = m * 50 // 100) AS p50, max({_BUCKET}) FILTER (i = least(m * 95 // 100, m - 1)) AS p95 FROM r GROUP BY 1), t AS (SELECT rule, count(*) AS n, TRUE AS close FROM a GROUP BY 1) SELECT t.rule, n, p50, p95, close FROM t JOIN q USING (rule)""")
+def _(spark, d):
+    """A span of days from stored summaries of each day; distinct sessions are compared with their exact number."""
+    a = audit(spark, d).withColumn("rule", F.coalesce("rule", F.lit("-"))).withColumn("day", F.col("ts").cast("date").cast("string"))
+    path = shared_path(spark, "days")
+    K.store_days(K.summarise_days(a, ["rule"]), path)
+    found = K.over_days(K.read_days(spark, path, "2024-01-05", "2024-01-20"), ["rule"])
+    exact = a.where(F.col("day").between("2024-01-05", "2024-01-20")).groupBy("rule").agg(F.count_distinct("session_id").alias("exact"))
+    return found.join(exact, "rule").select("rule", "n", "p50", "p95", (F.abs(F.col("who") - F.col("exact")) <= 0.08 * F.col("exact")).alias("close"))
+
+
 @query("p02_split_kind", WITH + "SELECT kind, count(*) AS n, min(event_id) AS first_id FROM audit GROUP BY kind")
 def _(spark, d):
     e, h = R.split_kind(audit(spark, d))
@@ -252,12 +270,17 @@ def _(spark, d):
     return have.select("user_id").distinct().join(F.broadcast(want)).join(have, ["user_id", "rule"], "left_anti")
 
 
-@query("j10_secret_severity", WITH + f"SELECT session_id, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(CASE WHEN rule IS NULL THEN 2 ELSE {_RANK} END)] AS severity FROM audit GROUP BY 1")
+_KINDS = ", ".join(f"({literal(k)}, {literal(v)})" for k, v in (("GITHUB_TOKEN", "CRITICAL"), ("AWS_ACCESS_KEY_ID", "CRITICAL"), ("PRIVATE_KEY", "CRITICAL"), ("ENV_SECRET", "HIGH")))
+
+
+@query("j10_secret_severity", rf"""WITH f AS (SELECT source, t FROM documents, (VALUES ('GITHUB_TOKEN', '\bgh[pousr]_[A-Za-z0-9]{{36}}\b'), ('AWS_ACCESS_KEY_ID', '\b(AKIA|ASIA)[A-Z0-9]{{16}}\b'), ('PRIVATE_KEY', '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('ENV_SECRET', '(API_KEY|SECRET_ACCESS_KEY|PASSWORD|TOKEN)=[^\s''"]{{6,}}'), ('HEX_TOKEN', '\b[0-9a-f]{{40}}\b')) AS p(t, rx) WHERE regexp_matches(text, rx)), s(t, severity) AS (VALUES {_KINDS}) SELECT source, ['MEDIUM', 'HIGH', 'CRITICAL'][max(CASE coalesce(severity, 'MEDIUM') WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 ELSE 1 END)] AS severity FROM f LEFT JOIN s USING (t) GROUP BY 1""")
 def _(spark, d):
-    a = audit(spark, d)
-    rules = a.where("rule is not null").select("rule", "severity").distinct()
-    found = a.select("session_id", "rule").join(F.broadcast(rules), "rule", "left").withColumn("severity", F.coalesce("severity", F.lit("MEDIUM")))
-    return found.groupBy("session_id").agg(F.max_by("severity", S.severity_rank(F.col("severity"))).alias("severity"))
+    """Secrets found in every whole text, rated by a rule table that doesn't know hexadecimal tokens, by source."""
+    docs = table(spark, d, "documents")
+    found = I.secret_findings(docs.select(F.struct("doc_id", "source").alias("id"), "text"), "id", "text").select("id.source", "type")
+    known = spark.createDataFrame([(t, s) for t, s, _ in rules.SECRETS if t != "HEX_TOKEN"], "rule string, severity string")
+    return I.secret_severity(found, known, ["source"])
+
 
 
 @query("j11_heartbeat_gaps", WITH + ", b AS (SELECT DISTINCT user_name, CAST(ts AS DATE) AS day FROM audit WHERE kind = 'heartbeat'), u AS (SELECT DISTINCT user_name FROM audit), dd AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM audit) SELECT user_name, day FROM u, dd WHERE (user_name, day) NOT IN (SELECT user_name, day FROM b)")

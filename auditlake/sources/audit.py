@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.report import cap_rows
 from auditlake.sources.tables import ship
 from auditlake.sources.tail import RANGE, AppendLog
 
@@ -166,19 +167,21 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", F.when(bad, "LOCAL_FILE_INVALID"))
 
 
-def read_artifacts(spark: SparkSession, path: str, watched: list[str], folders: list[str] = ()) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, watched: list[str], folders: list[str] = (), most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
     """Repo, rel, content of the watched files of `path/<repo>/...` and of all files in its watched folders.
 
-    A missing file is a row without content. A content is cut at 2 MiB, a guard of this source against files meant to be too large.
+    A missing file is a row without content. Whole files are read; most_bytes cuts each, and most_files takes the first of each
+    watched folder by name, as guards against what is meant to be too large.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     base = path.rstrip("/")
     tail = F.substring_index("path", f"{base}/", -1)
-    found = files.select(F.substring_index(tail, "/", 1).alias("repo"), F.regexp_replace(tail, "^[^/]+/", "").alias("rel"), F.substring("content", 1, 2 << 20).alias("content"))
+    found = files.select(F.substring_index(tail, "/", 1).alias("repo"), F.regexp_replace(tail, "^[^/]+/", "").alias("rel"), (F.substring("content", 1, most_bytes) if most_bytes else F.col("content")).alias("content"))
     frame = found.select("repo").distinct().join(F.broadcast(spark.createDataFrame([(w,) for w in watched], "rel string")))
     rows = frame.join(found, ["repo", "rel"], "left")
     for folder in folders:
-        rows = rows.unionByName(found.where(F.col("rel").startswith(folder)))
+        inside = found.where(F.col("rel").startswith(folder))
+        rows = rows.unionByName(cap_rows(inside, most_files, ["repo"], ["rel"]) if most_files else inside)
     return rows
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from auditlake.functions import scalars as S
 from auditlake.sources.audit import stream_audit
-from auditlake.sources.tables import ship
+from auditlake.sources.tables import ship, stored
 from auditlake.sources.tail import drain
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,6 +29,35 @@ def rule_counts(df: DataFrame, late: str = "1 hour", slide: str | None = None) -
     return df.withWatermark("event_time", late).groupBy(when.alias("w"), F.coalesce("rule", F.lit("-")).alias("rule")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "rule", "n")
 
 
+def count_days(df: DataFrame, path: str, late: str = "1 hour"):
+    """X02 without loss: a writer of each batch's counts (day, rule, n, late) below `path`, and of its late rows.
+
+    A day's count is the sum over batches, so a late row corrects its day whenever it comes, and no state is kept. Rows that a
+    watermark would have dropped, `late` behind the newest time of the batches before, are also written to `path/late`. A
+    batch that is repeated replaces what it wrote.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        marks = f"{path}/marks"
+        newest = None
+        if number:
+            newest = spark.read.parquet(marks).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        rows = batch.where("event_time IS NOT NULL").withColumn("late", F.coalesce(F.col("event_time").cast("timestamp") < limit, F.lit(False)))
+        rows = stored(rows, "counted-batch")
+        rows.where("late").drop("late").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        rows.groupBy(F.to_date("event_time").alias("day"), F.coalesce("rule", F.lit("-")).alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late")).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        rows.agg(F.max(F.col("event_time").cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+
+    return df.writeStream.foreachBatch(put)
+
+
+def counted_days(spark: SparkSession, path: str) -> DataFrame:
+    """The counts that count_days has written, corrected by what came late: day, rule, n, late."""
+    return spark.read.parquet(f"{path}/counts").groupBy("day", "rule").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
 class _Memory(StatefulProcessor):
     """The time of the last emitted warning of a key; it expires two days after it was written."""
 
