@@ -11,12 +11,13 @@ from auditlake.functions import scalars as S
 from auditlake.operators import commands as C
 from auditlake.operators import config as G
 from auditlake.operators import injection as I
+from auditlake.operators import json as J
 from auditlake.operators import policy as L
 from auditlake.operators import report as R
 from auditlake.operators import trust as T
 from auditlake.operators.json import redact_json
 from auditlake.plans.command_queries import CWD, HOME, VERDICTS
-from auditlake.plans.fixtures import WITH, audit, expected, golden, table
+from auditlake.plans.fixtures import WITH, audit, expected, golden, literal, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -293,6 +294,47 @@ def classify(spark, d):
 QUERIES["c15_verdicts"] = lambda spark, d: classify(spark, d)[0]
 SQL["c15_verdicts"] = expected(["decision", "rule"], [r[1:] for r in VERDICTS])
 
+_AUDITED = {r["id"] for r in rules.COMMANDS if L.CLASS_LEVELS[r["class"]] == "audit"} | {r[0] for r in RAW if L.CLASS_LEVELS[r[1]] == "audit"} | {"PARSER_UNRESOLVED"}
+
+
+def of_users(spark, d):
+    """C15 under the default levels: one user in four has tightened everything, and one rule of another's own doesn't compile."""
+    g = golden(spark, d, "line string", [r[:1] for r in VERDICTS]).join(table(spark, d, "events").select("event_id", "user_id"), "event_id")
+    log = g.select("event_id", F.concat("line", F.lit("; true "), F.col("event_id").cast("string")).alias("line"), F.lit(CWD).alias("cwd"), F.lit(HOME).alias("home"), F.lit("topic").alias("branch"), F.col("event_id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("agent_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.col("user_id").cast("string").alias("user_name"))
+    broken = {"id": "own", "class": "privilege", "severity": "HIGH", "message": "m", "remediation": "r", "reference": "r", "match": {"kind": "regex", "pattern": "(unclosed"}}
+    users = log.select("user_name", F.pmod(F.col("user_name").cast("long"), F.lit(4)).alias("k")).distinct()
+    files = users.where("k < 2").select("user_name", F.when(F.col("k") == 0, F.lit('{"level": "strict"}')).otherwise(F.lit(json.dumps({"extra_rules": [broken]}))).alias("body"))
+    none = spark.createDataFrame([], "position int, rule string, target_regex string, expires string")
+    effective = G.merge_overrides(files, L.CLASS_LEVELS, "warn")[0]
+    return C.classify_commands(log, C.rule_table(spark, rules.COMMANDS), RAW, L.rule_levels(spark), none, "2024-01-01", ["main", "master", "release/*", "prod"], overlay=L.overlays(effective), extra=G.extra_rules(files))
+
+
+QUERIES["c15_user_verdicts"] = lambda spark, d: of_users(spark, d)[0]
+_LOOSE = "CASE WHEN rule IN (" + ", ".join(map(literal, sorted(_AUDITED))) + ") THEN NULL ELSE {} END"
+SQL["c15_user_verdicts"] = "WITH v AS (" + expected(["decision", "rule"], [r[1:] for r in VERDICTS]) + f"), u AS (SELECT v.*, user_id % 4 AS k, {_LOOSE.format('decision')} AS d2, {_LOOSE.format('rule')} AS r2 FROM v JOIN (SELECT event_id, user_id FROM events) USING (event_id)) SELECT event_id, CASE WHEN k = 0 THEN decision WHEN k = 1 AND coalesce(d2, '') NOT IN ('ask', 'deny') THEN 'ask' ELSE d2 END AS decision, CASE WHEN k = 0 THEN rule WHEN k = 1 AND coalesce(d2, '') NOT IN ('ask', 'deny') THEN 'PARSER_ERROR' ELSE r2 END AS rule FROM u"
+
+
+_DEEP = "doc_id % 12"
+
+
+def deep(spark, d):
+    """Documents' source and language below as many objects and lists as their number says."""
+    n = F.pmod(F.col("doc_id"), F.lit(12)).cast("int")
+    leaf = F.to_json(F.struct(F.col("doc_id").alias("id"), F.array("source", "lang").alias("of")))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.repeat(F.lit('{"k":['), n), leaf, F.repeat(F.lit("]}"), n)).alias("doc"))
+
+
+@query("p08_deep_strings", "SELECT doc_id, concat_ws(chr(10), source, lang) AS text FROM documents")
+def _(spark, d):
+    docs = deep(spark, d)
+    return docs.join(J.strings(docs, "doc"), "doc", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("f25_deep_keys", f"SELECT doc_id, array_to_string(list_sort(list_transform(range(1, {_DEEP} + 1), lambda i: rtrim(repeat('k.', i), '.')) || [repeat('k.', {_DEEP}) || 'id', repeat('k.', {_DEEP}) || 'of']), ',') AS keys FROM documents")
+def _(spark, d):
+    docs = deep(spark, d)
+    return docs.join(J.keys(docs, "doc"), "doc").select("doc_id", "keys")
+
 
 @query("a19_fleet_rollup", WITH + "SELECT user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, class, action, count(*) AS n, CAST(grouping(user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR), class, action) AS BIGINT) AS level_id FROM audit GROUP BY ROLLUP (user_name, host, CAST(CAST(ts AS DATE) AS VARCHAR), class, action)")
 def _(spark, d):
