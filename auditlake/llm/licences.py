@@ -8,12 +8,13 @@ whose classes are the licence families and `unknown`. It learns from the notices
 and from the paragraphs of at most about `SAMPLE_DOCS` documents, chosen by hash
 (a documented bound), labelled by comparison with the notices. The threshold for
 a family is calibrated on held-out paragraphs: at most one unknown paragraph in
-`ONE_IN` passes. Of what passes, the likeliest family counts that a notice and the
-family's own marks (`MARKS`) confirm; `BARS` are what other families have. A paragraph
-without any word that marks have (`CLUES`) isn't asked, as nothing could confirm it.
+`ONE_IN` passes. Of what passes, every family counts that a notice and the
+family's own marks (`MARKS`) confirm, so a choice of licences names each; `BARS` are
+what other families have. A paragraph without any word that marks have (`CLUES`)
+isn't asked, as nothing could confirm it.
 
 Defined results: null and empty texts have no paragraph; a text of any length is cut into
-its lines and sentences; of families that are equally likely the last by name counts; repeated rows are scanned
+its lines and sentences; a paragraph names a family once, however many notices fit; repeated rows are scanned
 each; an empty table gives an empty result; a null id is kept as one; further
 columns are ignored.
 """
@@ -54,19 +55,22 @@ def _gnu(kind: str, things: str, *versions: str) -> list[str]:
 
 NOTICES = {
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", *_gnu("Affero General Public License", "program", "3"), "SPDX-License-Identifier: AGPL-3.0-or-later", *_named("AGPL-3.0", "the AGPLv3", "the AGPL v3", "AGPL version 3")],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 the License you may not use this file except in compliance with the License", "Released under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache 2.0 licensed", *_named("Apache-2.0", "the Apache 2.0 license", "the Apache License v2", "the Apache License v2.0", "Apache License Version 2.0")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 the License you may not use this file except in compliance with the License", "Released under the Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache 2.0 licensed", "under Apache 2", *_named("Apache-2.0", "the Apache 2.0 license", "the Apache License v2", "the Apache License v2.0", "Apache License Version 2.0")],
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", *_named("BSD-2-Clause", "the 2-clause BSD license", "the Simplified BSD license")],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", *_named("BSD-3-Clause", "the 3-clause BSD license", "the New BSD license")],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", *_named("CC-BY-4.0")],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", *_named("CC-BY-NC-4.0")],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", *_named("CC-BY-SA-4.0")],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal", *_named("CC0-1.0", "CC0 1.0 Universal")],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0", *_named("BSL-1.0", "the Boost Software License", "the Boost Software License 1.0")],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "Eclipse Public License, Version 2.0", *_named("EPL-2.0", "the Eclipse Public License 2.0", "the Eclipse Public License v2.0")],
     "GPL-2.0": ["SPDX-License-Identifier: GPL-2.0-or-later", *_gnu("General Public License", "program", "2"), "GPLv2 licensed", "GNU General Public License Version 2 June 1991", *_named("GPL-2.0", "the GPLv2", "the GPL v2", "GPL version 2")],
     "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0-or-later", *_gnu("General Public License", "program", "3"), "GPLv3 licensed", "GNU General Public License Version 3 29 June 2007", *_named("GPL-3.0", "the GPLv3", "the GPL v3", "GPL version 3")],
     "ISC": ["Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC", *_named("the ISC License")],
-    "LGPL": ["Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0", *_gnu("Lesser General Public License", "library", "2.1", "3"), *_gnu("Library General Public License", "library", "2"), *_named("LGPL-2.1", "LGPL-3.0", "the LGPL", "the LGPLv3", "the LGPL v3", "the LGPL v2.1")],
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT", "MIT licensed", *_named("the MIT license", "MIT license")],
+    "LGPL": ["Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0", *_gnu("Lesser General Public License", "library", "2.1", "3"), *_gnu("Library General Public License", "library", "2"), *_named("LGPL-2.1", "LGPL-3.0", "the LGPL", "the LGPLv3", "the LGPL v3", "the LGPL v2.1", "the Lesser GPL", "the Lesser GPL v2.1", "the Lesser GPL v3")],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT", "MIT licensed", "License: MIT", "MIT-Lizenz", "under Apache 2 or MIT", "MIT or Apache 2", *_named("the MIT license", "MIT license")],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0", *_named("MPL-2.0", "the MPL v2", "the Mozilla Public License 2.0", "the Mozilla Public License Version 2.0")],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense", *_named("the Unlicense")],
     "Proprietary": ["All rights reserved", "Copyright, all rights reserved", "Proprietary and confidential"],
 }
 
@@ -81,15 +85,18 @@ MARKS = {
     "CC-BY-NC-4.0": r"\bcc by nc 4\b|\battribution noncommercial 4\b",
     "CC-BY-SA-4.0": r"\bcc by sa 4\b|\battribution sharealike 4\b",
     "CC0-1.0": r"\bcc0\b",
+    "BSL-1.0": r"\bboost software license\b|\bbsl 1\b",
+    "EPL-2.0": r"\beclipse public license\b.*\bv? ?2\b|\bepl v? ?2\b",
     "GPL-2.0": _LICENCE.format("", 2) + r"|\bgpl ?(version |v ?)?2\b",
     "GPL-3.0": _LICENCE.format("", 3) + r"|\bgpl ?(version |v ?)?3\b",
     "ISC": r"\bisc\b|\bwith or without fee\b|\bcopy modify and or distribute this software\b",
-    "LGPL": r"\b(lesser|library) general public\b|\blgpl",
+    "LGPL": r"\b(lesser|library) (general public|gpl)\b|\blgpl",
     "MIT": r"\bmit\b|\bgranted free of charge\b",
     "MPL-2.0": r"\bmozilla public license\b.*\bv? ?2\b|\bmpl v? ?2\b",
+    "Unlicense": r"\bunlicense\b|\bfree and unencumbered\b",
     "Proprietary": r"\brights reserved\b|\bproprietary and confidential\b",
 }
-BARS = {f: r"\baffero\b|\b(lesser|library) general public\b|\bl?agpl|\blgpl" for f in ("GPL-2.0", "GPL-3.0")} | {"AGPL-3.0": r"\blesser general public\b|\blgpl", "LGPL": r"\baffero\b|\bagpl"}
+BARS = {f: r"\baffero\b|\b(lesser|library) (general public|gpl)\b|\bl?agpl|\blgpl" for f in ("GPL-2.0", "GPL-3.0")} | {"AGPL-3.0": r"\blesser (general public|gpl)\b|\blgpl", "LGPL": r"\baffero\b|\bagpl"}
 
 #: Begin and end of the line number that is written behind each line feed while sentences are cut, and the mark behind a sentence.
 _OPEN, _CLOSE, _CUT = "\x02", "\x03", "\x01"
@@ -99,9 +106,9 @@ _END = rf"[.!?][\"')\]]*(?:\s|{_NUMBER})+(?=[^\w\n]*[A-ZÀ-Þ])|\n{_NUMBER}(?:[^
 
 
 # A word or the beginning of one that every match of a family's marks has, in lower case.
-CLUES = ["affero", "apache", "clause", "bsd", "redistribution", "commons", "public", "distribute", "charge", "mozilla", "reserved", "proprietary"]
-SHORT = ["cc", "gpl", "mpl", "isc", "fee"]
-_SHORT = r"(?<![a-z0-9])(?:cc0?(?![a-z0-9])|[al]?gpl|mpl|isc(?![a-z0-9])|fee(?![a-z0-9]))"
+CLUES = ["affero", "apache", "clause", "bsd", "redistribution", "commons", "public", "distribute", "charge", "mozilla", "reserved", "proprietary", "boost", "unencumbered", "unlicense"]
+SHORT = ["cc", "gpl", "mpl", "epl", "bsl", "isc", "fee"]
+_SHORT = r"(?<![a-z0-9])(?:cc0?(?![a-z0-9])|[al]?gpl|mpl|epl|bsl|isc(?![a-z0-9])|fee(?![a-z0-9]))"
 _MIT = r"(?<![a-z0-9])mit(?![a-z0-9])"
 
 
@@ -110,14 +117,14 @@ def _has(low: Column, words: list[str]) -> Column:
 
 
 def _clue(low: Column) -> Column:
-    """Whether lower-case text could have some family's marks. A notice of MIT cannot be confirmed without one of two further words."""
-    mit = low.contains("mit") & _has(low, ["licen", "under"]) & low.rlike(_MIT)
+    """Whether lower-case text could have some family's marks. A notice of MIT cannot be confirmed without one of four further words."""
+    mit = low.contains("mit") & _has(low, ["licen", "lizen", "under", "apache"]) & low.rlike(_MIT)
     return _has(low, CLUES) | mit | (_has(low, SHORT) & low.rlike(_SHORT))
 
 
 def _hinted(docs: DataFrame) -> DataFrame:
     """The documents that could have a clue; their text is lowered once for all tests."""
-    return docs.where(F.exists(F.array(F.lower("text")), lambda low: _has(low, CLUES + SHORT) | (low.contains("mit") & _has(low, ["licen", "under"]))))
+    return docs.where(F.exists(F.array(F.lower("text")), lambda low: _has(low, CLUES + SHORT) | (low.contains("mit") & _has(low, ["licen", "lizen", "under", "apache"]))))
 
 
 def _words(line: Column) -> Column:
@@ -166,12 +173,15 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, notice string").select("family", "notice", _words(F.col("notice")).alias("words")).withColumn("pairs", _pairs(F.col("words")))
 
 
-def _marked(words: Column, family: Column) -> Column:
+def _marked(words: Column, family: Column | str) -> Column:
     """Whether the words have the family's marks and none of those that bar it."""
-    said, ok = F.concat_ws(" ", words), F.lit(False)
-    for f, pattern in MARKS.items():
-        hit = said.rlike(pattern)
-        ok = F.when(family == f, hit & ~said.rlike(BARS[f]) if f in BARS else hit).otherwise(ok)
+    said = F.concat_ws(" ", words)
+    has = lambda f: said.rlike(MARKS[f]) & ~said.rlike(BARS[f]) if f in BARS else said.rlike(MARKS[f])
+    if isinstance(family, str):
+        return has(family)
+    ok = F.lit(False)
+    for f in MARKS:
+        ok = F.when(family == f, has(f)).otherwise(ok)
     return ok
 
 
@@ -232,14 +242,14 @@ class Classifier:
 
 
 def _confirmed(scored: DataFrame) -> DataFrame:
-    """The likeliest family that a notice and the marks confirm, of every row that isn't unknown."""
+    """Every family that a notice and the marks confirm, of every row that isn't unknown."""
     known = F.broadcast(notices(scored.sparkSession).groupBy(F.col("family").alias("notice_family")).agg(F.collect_list("pairs").alias("notices")))
     same = F.array_max(F.transform("notices", lambda n: F.coalesce(F.size(F.array_intersect(n, F.col("pairs"))) / F.nullif(F.size(n), F.lit(0)), F.lit(0.0))))
-    order = F.array(*map(F.lit, NOTICES))
-    near = scored.where(F.col("family") != UNKNOWN).drop("family").crossJoin(known).where(_marked(F.col("words"), F.col("notice_family"))).withColumn("similarity", same).where(F.col("similarity") >= CONFIRM)
-    chance = F.get(F.col("chances"), (F.array_position(order, F.col("notice_family")) - 1).cast("int"))
-    best = F.max(F.struct(chance.alias("chance"), F.col("notice_family").alias("family"), "similarity")).alias("best")
-    return near.groupBy("doc_id", "key", "row", "paragraph", "last", "score").agg(best).select("doc_id", "key", "paragraph", "last", "best.family", "score", "best.similarity")
+    # The table of families is a constant; a row meets those whose marks it has.
+    marked = [F.when(_marked(F.col("words"), f), f) for f in NOTICES]
+    rows = scored.where(F.col("family") != UNKNOWN).drop("family").withColumn("notice_family", F.explode(F.array_compact(F.array(*marked))))
+    near = rows.join(known, "notice_family").withColumn("similarity", same).where(F.col("similarity") >= CONFIRM)
+    return near.select("doc_id", "key", "paragraph", "last", F.col("notice_family").alias("family"), "score", "similarity")
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
