@@ -49,7 +49,7 @@ BROADCAST = 400_000
 _ROW = 1 << 14
 _HELD = 1 << 19
 _SENT = 1 << 16
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _SALT = 64
 
 _ENDS = np.zeros(256, bool)
@@ -153,6 +153,9 @@ def _parts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[_Slice]:
     for batch in batches:
         for part in slices(batch, "text", _SLICE):
             yield _Slice(part, bits)
+            del part
+        # Not kept while the next one is read, as it may hold tens of megabytes.
+        del batch
 
 
 def _count(buckets: int, bits: int):
@@ -164,6 +167,7 @@ def _count(buckets: int, bits: int):
             for k in range(1, LONGEST + 1):
                 at, n = np.unique((part.prints(k, part.grams(k)) & np.uint64(buckets - 1)).astype(np.uint32), return_counts=True)
                 counts[k - 1, at] = np.minimum(counts[k - 1, at] + n, 255)
+            del part
         for k in range(LONGEST):
             rows = counts[k].reshape(-1, min(_ROW, buckets))
             full = np.flatnonzero(rows.any(axis=1))
@@ -260,6 +264,7 @@ def _send(tables: np.ndarray, bits: int):
                 held = [_sum(held)]
                 if len(held[0]) > _HELD // 2:
                     yield from named(held.pop())
+            del part
         if held:
             yield from named(_sum(held))
         pa.default_memory_pool().release_unused()
