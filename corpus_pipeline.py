@@ -4,6 +4,13 @@ Language identification drops texts without a language, exact and near
 de-duplication keep one document of each group, decontamination drops documents
 that hold benchmark items, and packing lays the rest out in sequences. Every
 stage works on all rows that its predecessor kept.
+
+Defined results: null text, empty text and text without a letter have no language
+and go first; of equal texts the row with the largest id stays, of rows with one id
+and text one; of near copies the smallest id; an id with several texts stays while
+one of them does; texts have any length; an empty table gives no pieces; further
+columns pass all stages but the last, whatever their names. Ties are decided by the
+operators, whose docstrings say how.
 """
 
 from __future__ import annotations
