@@ -1,13 +1,19 @@
-"""Benchmark decontamination by word pairs and Smith-Waterman alignment (operator 6).
-
-A pair counts if the best local alignment of an item of n words reaches `least` of
-the score of the item aligned with itself. An alignment that does has at least
-n * least - 1 matched words whose next matched word follows after one error at
-most, so both are one or two words apart in the item and in the text; all of them
-lie within n * (3 - 2 * least) words of the text. Texts are searched for that many
-places of such word pairs, whatever was edited between them, and what holds them
-is aligned word by word: no pair is lost to the search. The benchmark is taken in
-blocks of constant size, one pass over the documents each.
+"""Benchmark decontamination by joins on rare word pairs and Smith-Waterman alignment (operator 6).
+
+A pair of a document and an item counts if the best local alignment of an item of n
+words reaches `least` of the score of the item aligned with itself. An alignment that
+does has at least need = n * least - 1 matched words whose next matched word follows
+after one error at most, so both are one or two words apart in the item and in the
+text; all of them lie within reach = n * (3 - 2 * least) words of the text. An item has
+n - 1 words that begin such pairs, so any n - need of them hold one that the alignment
+matches, whatever was edited. The rarest n - need, by how often their word pairs occur
+in all documents, are the item's seeds. Places of the documents that meet a seed are
+joined to the items; regions around them that hold enough of all the item's word pairs
+are aligned word by word. No pair is lost to the search.
+
+The documents are read three times: to count the pairs, to find the seeds' places, and
+for the texts of what was found. Tasks know the pairs sought by a bit of their hash: the
+bits have a constant size however large the benchmark is, and the joins are exact.
 
 Defined results: null texts and texts without words match nothing, nor do items
 of fewer than `SHORTEST` words; repeated rows give one row for each document id and
@@ -20,21 +26,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, grouped, mix, slices, unused, words, written
+from auditlake.llm.common import distinct, documents, grouped, mix, slices, unused, words, written
 
 SHORTEST = 5
 LEAST = 0.5
 MATCH, MISS, GAP = 2, -1, 1
-#: Words of the items of a block, and bits of the filter before its pairs.
-BLOCK_WORDS = 1 << 17
-FILTER_BITS = 1 << 22
+#: Bits by which tasks know the pairs sought: 4 MB.
+FILTER_BITS = 1 << 25
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 _FOUND = "doc_id bigint, item_id bigint, seeds bigint, score double"
@@ -45,7 +49,8 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             h, doc, _, _ = words(part.column("text"), lower=True)
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], ["item_id", "words"])
+            said = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("item"), part.column("item_id"), said], ["item", "item_id", "words"])
 
 
 def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,63 +59,66 @@ def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([mix(h[f] * _STEP + h[f + d]) for d, f in zip((1, 2), first, strict=True)]), np.concatenate(first)
 
 
-class _Index:
-    """The word pairs of a block of items: where each occurs, as item and place."""
-
-    def __init__(self, items: list[np.ndarray], least: float):
-        n = np.array([len(w) for w in items])
-        self.items, self.need = items, np.maximum(1, np.ceil(n * least - 1 - 1e-9)).astype(np.int64)
-        self.reach = np.maximum(n, np.ceil(n * (3 - 2 * least))).astype(np.int64)
-        owner = np.repeat(np.arange(len(n)), n)
-        hashes, self.place = _pairs(np.concatenate(items), owner)
-        self.pairs, _, order, first = grouped(hashes)
-        self.place, self.first, self.count = self.place[order], first, np.diff(np.append(first, len(order)))
-        self.item = owner[self.place]
-        self.bits = np.zeros(FILTER_BITS, bool)
-        self.bits[(self.pairs & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-
-    def met(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, word of the text, place in the block) of every pair that text and items share, by item and word."""
-        pairs, at = _pairs(h, doc)
-        hit = np.flatnonzero(self.bits[(pairs & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
-        pairs, at = pairs[hit], at[hit]
-        k = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        same = self.pairs[k] == pairs
-        k, at = k[same], at[same]
-        count = self.count[k]
-        p = np.repeat(self.first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item, at, place = self.item[p], np.repeat(at, count), self.place[p]
-        order = np.argsort(item * (len(h) + 1) + at, kind="stable")
-        return item[order], at[order], place[order]
-
-    def regions(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, first word, past the last word, places met) of what may hold an alignment."""
-        item, at, place = self.met(h, doc)
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (at[1:] != at[:-1])
-        once = np.flatnonzero(new)
-        i, a = item[once], at[once]
-        last = np.arange(len(i)) + self.need[i] - 1
-        ok = np.flatnonzero(last < len(i))
-        end = last[ok]
-        keep = (i[end] == i[ok]) & (doc[a[end]] == doc[a[ok]])
-        keep &= a[end] - a[ok] < self.reach[i[ok]]
-        ok = ok[keep]
-        if not len(ok):
-            return
-        i, d, reach = i[ok], doc[a[ok]], self.reach[i[ok]]
-        lo = np.maximum(a[ok] - reach, np.searchsorted(doc, d))
-        hi = np.minimum(a[ok] + reach + 1, np.searchsorted(doc, d, side="right"))
-        # Both ends grow with the place in the text, so overlapping neighbours join.
-        cut = np.ones(len(ok), bool)
-        cut[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (lo[1:] > hi[:-1])
-        edges = np.append(np.flatnonzero(cut), len(ok))
-        key = item * (len(h) + 1) + at
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            w = np.searchsorted(key, i[x] * (len(h) + 1) + np.array([lo[x], hi[y - 1]]))
-            seeds = len(np.unique(place[w[0] : w[1]]))
-            if seeds >= self.need[i[x]]:
-                yield int(d[x]), int(i[x]), int(lo[x]), int(hi[y - 1]), seeds
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word pairs of items and the word that each begins with."""
+    for batch in batches:
+        for item, said in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            h = np.frombuffer(said, np.uint64)
+            pair, at = _pairs(h, np.zeros(len(h), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), item)), pa.array(at), pa.array(pair.view(np.int64))], ["item", "at", "pair"])
+
+
+def _bits(pairs: DataFrame) -> np.ndarray:
+    """A bit for each hash class that holds a pair; at most FILTER_BITS / 64 rows come to the driver."""
+    place = f"pair & {FILTER_BITS - 1}L"
+    rows = pairs.groupBy(F.expr(f"shiftright({place}, 6)").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(pair & 63 AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[rows.column("k").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _sought(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(slice, pair, document of the slice, first word in it) of what may be among the pairs sought."""
+    for batch in batches:
+        for part in slices(batch, "text", 1 << 20):
+            h, doc, _, _ = words(part.column("text"), lower=True)
+            pair, at = _pairs(h, doc)
+            place = pair & np.uint64(FILTER_BITS - 1)
+            hit = np.flatnonzero(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+            own = doc[at[hit]]
+            yield part, pair[hit], own, at[hit] - np.searchsorted(doc, own)
+
+
+def _count(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pair, _, _ in _sought(shared.value, batches):
+            values, _, _, first = grouped(pair)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.diff(np.append(first, len(pair))))], ["pair", "n"])
+
+    return run
+
+
+def _find(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pair, own, at in _sought(shared.value, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), part.column("row").take(pa.array(own)), pa.array(at)], ["pair", "row", "at"])
+
+    return run
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of every region, one document at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            h, _, _, _ = words(batch.column("text").slice(i, 1), lower=True)
+            regions = batch.column("regions").slice(i, 1).flatten()
+            item, lo, hi = (regions.field(k) for k in range(3))
+            lo, hi = np.maximum(lo.to_numpy(), 0), np.minimum(hi.to_numpy(), len(h))
+            for a in range(0, len(item), 256):
+                part = slice(a, a + 256)
+                said = pa.array([h[x:y].tobytes() for x, y in zip(lo[part], hi[part], strict=True)], pa.binary())
+                ids = pa.array([batch.column("doc_id")[i].as_py()] * len(said), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, item.slice(a, 256), said], ["doc_id", "item", "said"])
 
 
 def align(item: np.ndarray, text: np.ndarray) -> int:
@@ -127,49 +135,89 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _search(shared, least: float):
+def need(n: int, least: float) -> int:
+    """Word pairs that an alignment of an item of n words must have."""
+    return max(1, math.ceil(n * least - 1 - 1e-9))
+
+
+def reach(n: int, least: float) -> int:
+    """Words of the text that hold such an alignment."""
+    return max(n, math.ceil(n * (3 - 2 * least)))
+
+
+def best_match(item: np.ndarray, text: np.ndarray, least: float) -> tuple[int, float]:
+    """(places of the item's pairs met, score) of the best part of a text that holds enough pairs to be aligned; (0, 0) without one."""
+    n, far = need(len(item), least), reach(len(item), least)
+    pair, place = _pairs(item, np.zeros(len(item), np.int64))
+    met, at = _pairs(text, np.zeros(len(text), np.int64))
+    hit = np.isin(met, pair)
+    met, at = met[hit], at[hit]
+    once = distinct(at)
+    if len(once) < n:
+        return 0, 0.0
+    begin, end = once[: len(once) - n + 1], once[n - 1 :]
+    begin = begin[end - begin < far]
+    if not len(begin):
+        return 0, 0.0
+    lo, hi = np.maximum(begin - far, 0), np.minimum(begin + far + 1, len(text))
+    edges = np.append(np.flatnonzero(np.append(True, lo[1:] > hi[:-1])), len(begin))
+    best = (0, 0.0)
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        a, b = lo[x], hi[y - 1]
+        seeds = len(np.unique(place[np.isin(pair, met[(at >= a) & (at < b)])]))
+        if seeds >= n:
+            best = max(best, (seeds, align(item, text[a:b]) / (MATCH * len(item))), key=lambda found: found[::-1])
+    return best
+
+
+def _score(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, items = shared.value
-        index = _Index([np.frombuffer(w, np.uint64) for w in items], least)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                h, doc, _, _ = words(part.column("text"), lower=True)
-                ids, out = part.column("doc_id"), []
-                for d, i, lo, hi, seeds in index.regions(h, doc):
-                    score = align(index.items[i], h[lo:hi]) / (MATCH * len(index.items[i]))
-                    if score >= least:
-                        out.append((ids[d].as_py(), names[i], seeds, score))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "seeds", "score"])
+            out = []
+            for r in zip(*(batch.column(c) for c in ("doc_id", "item_id", "words", "said")), strict=True):
+                doc_id, item_id, item, said = (v.as_py() for v in r)
+                seeds, score = best_match(np.frombuffer(item, np.uint64), np.frombuffer(said, np.uint64), least)
+                if score >= least:
+                    out.append({"doc_id": doc_id, "item_id": item_id, "seeds": seeds, "score": score})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("seeds", pa.int64()), ("score", pa.float64())]))
 
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and words of the items in blocks of about `BLOCK_WORDS` words; the driver holds one partition and one block."""
-    names, block, size = [], [], 0
-    for row in items.toLocalIterator():
-        names.append(row["item_id"])
-        block.append(bytes(row["words"]))
-        size += len(block[-1]) // 8
-        if size >= BLOCK_WORDS:
-            yield names, block
-            names, block, size = [], [], 0
-    if block:
-        yield names, block
+def rare_seeds(source: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """pair, item, reach: of each item the rarest pairs that no alignment reaching `least` can do without."""
+    n = (F.octet_length("words") / 8).cast("long")
+    places = written(items.select("item", "words").mapInArrow(_places, "item bigint, at bigint, pair bigint"), "item-pairs")
+    shared = source.sparkSession.sparkContext.broadcast(_bits(places))
+    often = written(source.select("text").mapInArrow(_count(shared), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    shared.destroy()
+    begun = places.join(often, "pair", "left").groupBy("item", "at").agg(F.sum(F.coalesce("n", F.lit(0))).alias("often"), F.collect_set("pair").alias("pairs"))
+    ranked = begun.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("often", "at")))
+    sizes = items.select("item", n.alias("n"), F.greatest(F.lit(1), F.ceil(n * least - 1 - 1e-9)).alias("need"), F.greatest(n, F.ceil(n * (3 - 2 * least))).alias("reach"))
+    rare = ranked.join(sizes, "item").where("rank <= n - need")
+    return written(rare.select(F.explode("pairs").alias("pair"), "item", "reach").distinct(), "rare-seeds")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, seeds (places of the item's word pairs met), score (0 to 1) of every pair that reaches `least`, which is above 0.2."""
     spark = docs.sparkSession
-    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id bigint, words binary"), "items").where(F.octet_length("words") >= 8 * SHORTEST)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(block)
-        found.append(written(source.mapInArrow(_search(shared, least), _FOUND), "contaminated"))
-        shared.destroy()
-    scored = reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], _FOUND)
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("item", F.xxhash64("item_id", "text"))
+    items = written(named.mapInArrow(_items, "item bigint, item_id bigint, words binary").where(F.octet_length("words") >= 8 * SHORTEST).dropDuplicates(["item"]), "items")
+    # Equal rows share a key, so a region of one is a region of each.
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    seeds = rare_seeds(source, items, least)
+    shared = spark.sparkContext.broadcast(_bits(seeds))
+    hits = source.select("row", "text").mapInArrow(_find(shared), "pair bigint, row bigint, at bigint")
+    met = hits.join(seeds, "pair").select("row", "item", "reach", "at").distinct()
+    along = Window.partitionBy("row", "item").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(along) > 2 * F.col("reach"), F.lit(True))
+    regions = met.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(along)).groupBy("row", "item", "part").agg(F.min(F.col("at") - F.col("reach")).alias("lo"), F.max(F.col("at") + F.col("reach") + 1).alias("hi"))
+    # Regions are fewer than the words of their text times the items that share a seed.
+    of_row = written(regions.groupBy("row").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")
+    shared.destroy()
+    said = source.join(of_row, "row").select("doc_id", "text", "regions").mapInArrow(_cut, "doc_id bigint, item bigint, said binary")
+    scored = written(said.join(items, "item").select("doc_id", "item_id", "words", "said").mapInArrow(_score(least), _FOUND), "contaminated")
     return scored.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
 
 
