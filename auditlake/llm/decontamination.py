@@ -5,14 +5,15 @@ words reaches `least` of the score of the item aligned with itself. An alignment
 does has at least need = n * least - 1 matched words whose next matched word follows
 after one error at most, so both are one or two words apart in the item and in the
 text; all of them lie within reach = n * (3 - 2 * least) words of the text. An item has
-n - 1 words that begin such pairs, so any n - need of them hold one that the alignment
-matches, whatever was edited. The rarest n - need, by how often their word pairs occur
-in all documents, are the item's seeds. Places of the documents that meet a seed are
-joined to the items; regions around them that hold enough of all the item's word pairs
-are aligned word by word. No pair is lost to the search.
+n - 1 words that begin such pairs, so any n - 1 - need + t of them hold t that the
+alignment matches, whatever was edited. The rarest of that number, by how often their
+word pairs occur in all documents, are the item's seeds; t is `TOGETHER`, or need where
+that is less. Places of the documents that meet a seed are joined to the items; regions
+around t of them within reach that hold enough of all the item's word pairs are aligned
+word by word. No pair is lost to the search.
 
 The documents are read three times: to count the pairs, to find the seeds' places, and
-for the texts of what was found. Tasks know the pairs sought by a bit of their hash: the
+for the texts of what was found, which alone are shuffled. Tasks know the pairs sought by a bit of their hash: the
 bits have a constant size however large the benchmark is, and the joins are exact.
 
 Defined results: null texts and texts without words match nothing, nor do items
@@ -37,6 +38,8 @@ from auditlake.llm.common import distinct, documents, grouped, mix, slices, unus
 SHORTEST = 5
 LEAST = 0.5
 MATCH, MISS, GAP = 2, -1, 1
+#: Seeds that must lie together for a region to be looked at.
+TOGETHER = 4
 #: Bits by which tasks know the pairs sought: 4 MB.
 FILTER_BITS = 1 << 25
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -68,23 +71,27 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), item)), pa.array(at), pa.array(pair.view(np.int64))], ["item", "at", "pair"])
 
 
-def _bits(pairs: DataFrame) -> np.ndarray:
-    """A bit for each hash class that holds a pair; at most FILTER_BITS / 64 rows come to the driver."""
-    place = f"pair & {FILTER_BITS - 1}L"
-    rows = pairs.groupBy(F.expr(f"shiftright({place}, 6)").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(pair & 63 AS int)))").alias("bits")).toArrow()
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each hash class that holds a key (one column); at most FILTER_BITS / 64 rows come to the driver."""
+    named = keys.toDF("key")
+    rows = named.groupBy(F.expr(f"shiftright(key & {FILTER_BITS - 1}L, 6)").alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 AS int)))").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[rows.column("k").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return bits
 
 
+def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(FILTER_BITS - 1)
+    return bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)
+
+
 def _sought(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(slice, pair, document of the slice, first word in it) of what may be among the pairs sought."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             h, doc, _, _ = words(part.column("text"), lower=True)
             pair, at = _pairs(h, doc)
-            place = pair & np.uint64(FILTER_BITS - 1)
-            hit = np.flatnonzero(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+            hit = np.flatnonzero(_set(bits, pair))
             own = doc[at[hit]]
             yield part, pair[hit], own, at[hit] - np.searchsorted(doc, own)
 
@@ -106,6 +113,16 @@ def _find(shared):
     return run
 
 
+def _keep(shared):
+    """The rows whose key may be among those sought."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_set(shared.value, batch.column("row").to_numpy().view(np.uint64)).astype(bool)))
+
+    return run
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of every region, one document at a time."""
     for batch in batches:
@@ -186,17 +203,17 @@ def _score(least: float):
 
 
 def rare_seeds(source: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """pair, item, reach: of each item the rarest pairs that no alignment reaching `least` can do without."""
+    """pair, item, reach, t: of each item the rarest pairs; every alignment reaching `least` holds t of them within reach."""
     n = (F.octet_length("words") / 8).cast("long")
     places = written(items.select("item", "words").mapInArrow(_places, "item bigint, at bigint, pair bigint"), "item-pairs")
-    shared = source.sparkSession.sparkContext.broadcast(_bits(places))
+    shared = source.sparkSession.sparkContext.broadcast(_bits(places.select("pair")))
     often = written(source.select("text").mapInArrow(_count(shared), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     shared.destroy()
     begun = places.join(often, "pair", "left").groupBy("item", "at").agg(F.sum(F.coalesce("n", F.lit(0))).alias("often"), F.collect_set("pair").alias("pairs"))
     ranked = begun.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("often", "at")))
     sizes = items.select("item", n.alias("n"), F.greatest(F.lit(1), F.ceil(n * least - 1 - 1e-9)).alias("need"), F.greatest(n, F.ceil(n * (3 - 2 * least))).alias("reach"))
-    rare = ranked.join(sizes, "item").where("rank <= n - need")
-    return written(rare.select(F.explode("pairs").alias("pair"), "item", "reach").distinct(), "rare-seeds")
+    rare = ranked.join(sizes.withColumn("t", F.least("need", F.lit(TOGETHER))), "item").where("rank <= n - 1 - need + t")
+    return written(rare.select(F.explode("pairs").alias("pair"), "item", "reach", "t").distinct(), "rare-seeds")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -207,17 +224,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     # Equal rows share a key, so a region of one is a region of each.
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     seeds = rare_seeds(source, items, least)
-    shared = spark.sparkContext.broadcast(_bits(seeds))
+    shared = spark.sparkContext.broadcast(_bits(seeds.select("pair")))
     hits = source.select("row", "text").mapInArrow(_find(shared), "pair bigint, row bigint, at bigint")
-    met = hits.join(seeds, "pair").select("row", "item", "reach", "at").distinct()
+    met = hits.join(seeds, "pair").select("row", "item", "reach", "t", "at").distinct()
     along = Window.partitionBy("row", "item").orderBy("at")
+    # The last of t places from here on; regions begin where t places lie within reach.
+    last = F.coalesce(*(F.when(F.col("t") == k + 1, F.lead("at", k).over(along) if k else F.col("at")) for k in range(TOGETHER)))
+    dense = met.withColumn("last", last).where(F.col("last") - F.col("at") < F.col("reach"))
     apart = F.coalesce(F.col("at") - F.lag("at").over(along) > 2 * F.col("reach"), F.lit(True))
-    regions = met.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(along)).groupBy("row", "item", "part").agg(F.min(F.col("at") - F.col("reach")).alias("lo"), F.max(F.col("at") + F.col("reach") + 1).alias("hi"))
-    # Regions are fewer than the words of their text times the items that share a seed.
+    parts = dense.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(along)).groupBy("row", "item", "part")
+    regions = parts.agg(F.min(F.col("at") - F.col("reach")).alias("lo"), F.max(F.col("at") + F.col("reach") + 1).alias("hi"))
+    # Regions are fewer than the words of their text times the items that share seeds.
     of_row = written(regions.groupBy("row").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")
     shared.destroy()
-    said = source.join(of_row, "row").select("doc_id", "text", "regions").mapInArrow(_cut, "doc_id bigint, item bigint, said binary")
+    shared = spark.sparkContext.broadcast(_bits(of_row.select("row")))
+    texts = source.mapInArrow(_keep(shared), "doc_id bigint, text string, row bigint")
+    said = texts.join(of_row, "row").select("doc_id", "text", "regions").mapInArrow(_cut, "doc_id bigint, item bigint, said binary")
     scored = written(said.join(items, "item").select("doc_id", "item_id", "words", "said").mapInArrow(_score(least), _FOUND), "contaminated")
+    shared.destroy()
     return scored.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
 
 

@@ -367,6 +367,27 @@ def test_decontamination_finds_edited_copies(spark):
     assert {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, bench).collect()} == want
 
 
+def test_decontamination_with_common_words_only(spark):
+    """Items of words that every text has, a hot pair, items that share a beginning, repeated and null ids, one long text."""
+    pick = random.Random(6)
+    say = lambda n: [pick.choice("abcdefgh") for _ in range(n)]
+    head = ["which", "of", "the", "following"]
+    items = [head + say(20), head + say(20), say(6), ["a"] * 12, head + say(20)]
+    texts = [say(200) for _ in range(20)] + [["a", "b"] * 40, head + say(30), items[0][:14], say(15) + items[1][5:] + say(15), say(3000) + items[4] + say(3000)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[20:23] + [(None, rows[22][1])], "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(0, " ".join(items[0])), (None, " ".join(items[1]))], "item_id bigint, text string")
+    code = {w: k for k, w in enumerate({w for t in texts + items for w in t})}
+    coded = lambda t: np.array([code[w] for w in t], np.uint64)
+    best = {(d, i): decontamination.align(coded(item), coded(t)) / (2 * len(item)) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    best |= {(d, None): s for (d, i), s in best.items() if i == 1}
+    best |= {(None, i): s for (d, i), s in best.items() if d == 22}
+    want = {k: s for k, s in best.items() if s >= 0.5}
+    assert len(want) > 20
+    found = [((r.doc_id, r.item_id), r.score) for r in decontamination.contaminated(docs, bench).collect()]
+    assert len(found) == len(want) and dict(found) == want
+
+
 def test_alignment_scores():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontamination.align(a, a) == 10
