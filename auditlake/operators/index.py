@@ -13,6 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Keys of rules that are broadcast: some MB.
+FEW = 20_000
+
 _WILD = re.compile(r"\*+|\?|\[[^\]]*\]")
 
 
@@ -47,13 +50,20 @@ def _row_keys(names: Column, sizes: Iterable[tuple[str, int]]) -> Column:
 def candidates(rows: DataFrame, names: Column, rules: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Every row with every rule (`index`: the keys of its patterns) that shares a key, once. names: the row's names; on: columns that must be equal as well.
 
-    The join is an equi join; Spark broadcasts the rules where they are few.
+    The join is an equi join. Up to `FEW` keys of rules are broadcast, and a row then keeps only keys that a rule has; of more
+    rules both sides are shuffled. Rows are never broadcast, whatever sizes Spark estimates.
     """
-    keys = rules.select(F.explode("index").alias("k")).select(F.left("k", F.lit(1)).alias("m"), (F.length("k") - 1).alias("n"))
+    keys = rules.select(F.explode("index").alias("k"))
+    known = [r["k"] for r in keys.distinct().limit(FEW + 1).collect()]
+    few = len(known) <= FEW and keys.count() <= FEW
+    ends = keys.where(F.left("k", F.lit(1)).isin("^", "$")).select(F.left("k", F.lit(1)).alias("m"), (F.length("k") - 1).alias("n"))
     # As many pairs as names have lengths.
-    sizes = sorted((r["m"], r["n"]) for r in keys.where("m IN ('^', '$')").distinct().collect())
-    left = rows.withColumn("_keys", _row_keys(names, sizes)).withColumn("_key", F.explode("_keys"))
+    sizes = {(k[0], len(k) - 1) for k in known if k[0] in "^$"} if few else {(r["m"], r["n"]) for r in ends.distinct().collect()}
+    of_row = _row_keys(names, sorted(sizes))
+    left = rows.withColumn("_keys", F.filter(of_row, lambda k: k.isin(known)) if few else of_row)
+    # An outer explode, as Spark would compute the keys a second time to filter empty lists; the join drops the nulls.
+    left = left.withColumn("_key", F.explode_outer("_keys"))
     right = rules.withColumn("_key", F.explode("index"))
-    both = left.join(right, ["_key", *(on or [])])
+    both = left.join(F.broadcast(right) if few else right.hint("merge"), ["_key", *(on or [])])
     # Of several shared keys the rule's first one counts.
     return both.where(F.col("_key") == F.get(F.filter("index", lambda k: F.array_contains(F.col("_keys"), k)), F.lit(0))).drop("_key", "_keys", "index")
