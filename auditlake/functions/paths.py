@@ -25,9 +25,14 @@ def fnmatch_to_regex(pattern: str) -> str:
     return r"(?s)\A" + "".join(known.get(p) or (p.replace("[!", "[^", 1) if p[:1] == "[" and len(p) > 1 else re.escape(p)) for p in parts if p) + r"\z"
 
 
+def glob_fits(pattern: Column, value: Column) -> Column:
+    """Does a compiled glob fit the value, as it is or without leading slashes?"""
+    return F.rlike(value, pattern) | (value.startswith("/") & F.rlike(F.ltrim(value, F.lit("/")), pattern))
+
+
 def glob_match(patterns: Column, value: Column) -> Column:
     """Does any compiled glob fit the value, as it is or without leading slashes?"""
-    return F.exists(patterns, lambda p: F.rlike(value, p) | F.rlike(F.regexp_replace(value, "^/+", ""), p))
+    return F.exists(patterns, lambda p: glob_fits(p, value))
 
 
 def basename(col: Column) -> Column:

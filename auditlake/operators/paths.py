@@ -9,27 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions import rules
-from auditlake.functions.paths import expand_path, glob_match, glob_to_regex
+from auditlake.functions.paths import expand_path, glob_fits, glob_match, glob_to_regex
 from auditlake.operators.index import candidates, glob_key
 from auditlake.operators.policy import first_match
 
-_TABLE = "rule_pos int, rule string, severity string, globs array<string>, fine array<string>, tools array<string>, readers array<string>, index array<string>"
+_TABLE = "rule_pos int, rule string, severity string, glob string, fine array<string>, tools array<string>, readers array<string>, index array<string>"
 
 
 def path_rules(spark: SparkSession, given: Sequence[tuple] = rules.PATHS) -> DataFrame:
-    """Path rules with compiled globs and their index."""
-    rows = [(i, id_, severity, [*map(glob_to_regex, globs)], [*map(glob_to_regex, fine)], tools, readers, sorted({glob_key(g) for g in globs})) for i, (id_, severity, globs, fine, tools, readers) in enumerate(given)]
+    """Path rules, a row for each glob of a rule, with compiled globs and their index."""
+    rows = [(i, id_, severity, glob_to_regex(g), [*map(glob_to_regex, fine)], tools, readers, [glob_key(g)]) for i, (id_, severity, globs, fine, tools, readers) in enumerate(given) for g in globs]
     return spark.createDataFrame(rows, T.StructType.fromDDL(_TABLE))
 
 
 def _fits(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows (v: a path) with the rules whose globs fit it and whose exceptions don't."""
+    """Rows (v: a path) with the rules whose globs fit it and whose exceptions don't, once for each glob that fits."""
     found = candidates(rows, F.filter(F.split("v", "/"), lambda x: x != ""), table)
-    return found.where(glob_match(F.col("globs"), F.col("v")) & ~glob_match(F.col("fine"), F.col("v")))
+    return found.where(glob_fits(F.col("glob"), F.col("v")) & ~glob_match(F.col("fine"), F.col("v")))
 
 
 def _both(path: Column, cwd: Column, home: Column) -> Column:
-    return F.explode(F.array_distinct(F.array_compact(F.array(path, expand_path(path, cwd, home)))))
+    # Outer, as Spark would expand the path a second time to filter empty lists; a null path fits nothing.
+    return F.explode_outer(F.array_distinct(F.array_compact(F.array(path, expand_path(path, cwd, home)))))
 
 
 def match_paths(rows: DataFrame, cwd: Column, home: Column, given: Sequence[tuple] = rules.PATHS) -> DataFrame:
