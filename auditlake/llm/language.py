@@ -171,9 +171,13 @@ def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: i
     return {k: v for k, v in plain.items() if v.strip()}
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = ()) -> DataFrame:
-    """keep columns, lang_pred and score of every document; reads text alone."""
+def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = (), inside: str | None = None) -> DataFrame:
+    """keep columns, lang_pred and score of every document; reads text alone.
+
+    inside: a kept struct that has the text as its field of that name, so that no text is sent to Python twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most chars_per_lang characters for each language
+    field = [f.name.lower() for f in docs.schema[inside].dataType].index("text") if inside else None
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +187,8 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = ()) ->
             _workers[key] = _Parser(shared.value)
         parser = _workers[key]
         for batch in batches:
+            if inside:
+                batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column(inside).field(field)], [*batch.schema.names, "_text"])
             for part in slices(batch, "_text", 8 << 20):
                 texts = part.column("_text").to_pylist()
                 bits, has = parser.entropies(texts) if parser.langs else (np.ones((len(texts), 1)), np.zeros(len(texts), bool))
@@ -191,7 +197,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = ()) ->
                 pred = [parser.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if inside else [F.col("text").alias("_text")])).mapInArrow(run, schema)
 
 
 def trained(docs: DataFrame) -> dict[str, bytes]:
@@ -202,8 +208,8 @@ def trained(docs: DataFrame) -> dict[str, bytes]:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is found; all columns stay as they are."""
     # The row travels as one column, so that no name of its own can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return identify(rows, trained(docs), ["_row"]).where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return identify(rows, trained(docs), ["_row"], "_row").where(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
