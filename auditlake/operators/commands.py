@@ -124,7 +124,10 @@ def _subs(word: Column) -> Column:
 
 
 def _word(word: Column) -> Column:
-    return F.struct(F.array_join(F.transform(_pieces(word), _text), "").alias("text"), _subs(word).alias("subs"), word.rlike("['\"]").alias("quoted"))
+    cut = F.struct(F.array_join(F.transform(_pieces(word), _text), "").alias("text"), _subs(word).alias("subs"), word.rlike("['\"]").alias("quoted"))
+    # Most words are one plain piece, which stands for itself.
+    plain = F.struct(word.alias("text"), _strings([]).alias("subs"), F.lit(False).alias("quoted"))
+    return F.when(word.rlike(r"[\\'\"$`]"), cut).otherwise(plain)
 
 
 _WORD = "struct<text: string, subs: array<string>, quoted: boolean>"
@@ -179,9 +182,11 @@ def _rest(items: Column, n: Column) -> Column:
 def split_flags(argv0: Column, args: Column) -> Column:
     """Canonical flags and operands."""
     alias = F.create_map(*[F.lit(x) for c, text in ALIASES.items() for short, long in (p.split("=") for p in text.split()) for x in (f"{c} {short}", long)])
-    valued = _strings([f"{c} {f}" for c, text in VALUE_FLAGS.items() for f in text.split()])
+    # Sets of constants are looked up by hash, maps and arrays from end to end.
+    known = [f"{c} {p.split('=')[0]}" for c, text in ALIASES.items() for p in text.split()]
+    valued = [f"{c} {f}" for c, text in VALUE_FLAGS.items() for f in text.split()]
     key = lambda f: F.concat(argv0, F.lit(" "), f)
-    named = lambda f: F.coalesce(F.element_at(alias, key(f)), f)
+    named = lambda f: F.when(key(f).isin(known), F.element_at(alias, key(f))).otherwise(f)
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("flags"), none.alias("operands"), F.lit(False).alias("skip"), F.lit(False).alias("end"))
 
@@ -194,13 +199,13 @@ def split_flags(argv0: Column, args: Column) -> Column:
         )
         long = F.regexp_extract(x, r"\A([^=]*)", 1)
         letters = F.transform(F.split(F.substring(x, 2, 1 << 20), ""), lambda c: named(F.concat(F.lit("-"), c)))
-        takes = F.array_contains(valued, key(x))
+        takes = key(x).isin(valued)
         short = x.startswith("-") & (F.length(x) > 1) & ~x.rlike(r"\A-\d+\z")
         return (
             F.when(a["skip"], to())
             .when(a["end"], to(operand=x))
             .when(x == "--", to(end=True))
-            .when(F.element_at(alias, key(x)).isNotNull(), to(F.array(named(x))))
+            .when(key(x).isin(known), to(F.array(named(x))))
             .when(x.startswith("--"), to(F.array(named(long)), skip=takes))
             .when(short & takes, to(F.array(named(x)), skip=F.lit(True)))
             .when(short, to(letters))
@@ -236,21 +241,29 @@ def _after(args: Column, names: list[str]) -> Column:
 _CHILD = "array<struct<code: string, depth: int, origin: string>>"
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once each, where Spark would copy the expressions into each filter above."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def _parsed(frontier: DataFrame) -> DataFrame:
     """One round: a row for each command of the frontier (id, ord, code, depth, origin) with the code that it holds in turn."""
-    # Cut once: a stage carries the list that it stands in.
-    cut = F.transform(F.array(split_pipelines(tokenize(F.col("code")))), lambda s: F.transform(s, lambda x, i: F.struct(i.alias("at"), x.alias("stage"), s.alias("stages"))))
-    stages = frontier.select("id", "ord", "depth", "origin", F.explode(F.flatten(cut)).alias("x")).select("id", "ord", "depth", "origin", "x.*")
-    clean = stages.withColumn("r", strip_redirects(F.col("stage.words"))).withColumn("n", _leading(F.col("r.words"), lambda w: w["text"].rlike(_ASSIGN) & (F.size(w["subs"]) == 0)))
-    clean = clean.withColumn("words", _rest(F.col("r.words"), F.col("n"))).where(F.size("words") > 0)
+    # Cut once: a stage carries the first words of the stages that it stands among.
+    first = lambda s: basename(F.get(s["words"], F.lit(0))["text"])
+    heads = lambda s: F.transform(s, lambda x, i: F.struct(i.alias("i"), x["pipeline"].alias("p"), first(x).alias("argv0")))
+    cut = F.transform(F.array(split_pipelines(tokenize(F.col("code")))), lambda s: F.struct(s.alias("stages"), heads(s).alias("heads")))
+    stages = _once(frontier.select("id", "ord", "depth", "origin", "code"), cut=F.get(cut, F.lit(0))).drop("code")
+    stages = stages.select("id", "ord", "depth", "origin", F.col("cut.heads").alias("heads"), F.posexplode_outer("cut.stages").alias("at", "stage"))
+    clean = _once(stages.where("stage IS NOT NULL"), r=strip_redirects(F.col("stage.words")))
+    clean = _once(clean, n=_leading(F.col("r.words"), lambda w: w["text"].rlike(_ASSIGN) & (F.size(w["subs"]) == 0)))
+    clean = _once(clean, words=_rest(F.col("r.words"), F.col("n"))).where(F.size("words") > 0)
     head = F.get("words", F.lit(0))
     named = F.regexp_extract(F.get(head["subs"], F.lit(0)), r"\A\s*(?:which|type|whereis|command\s+-v)\s+(\S+)", 1)
     from_sub = (F.trim(head["text"]) == "") & (F.size(head["subs"]) > 0)
     rows = clean.withColumn("argv0", F.when(from_sub, F.when(F.coalesce(named, F.lit("")) == "", "unknown").otherwise(basename(named))).otherwise(basename(head["text"])))
     rows = rows.withColumn("args", F.transform(_rest(F.col("words"), F.lit(1)), lambda w: F.concat(w["text"], F.repeat(F.lit("$()"), F.size(w["subs"])))))
     # Neighbours by the first word of each stage of the pipeline.
-    first = lambda s: basename(F.get(s["words"], F.lit(0))["text"])
-    same = F.filter(F.transform("stages", lambda s, i: F.struct(i.alias("i"), s["pipeline"].alias("p"), first(s).alias("argv0"))), lambda x: x["p"] == F.col("stage.pipeline"))
+    same = F.filter("heads", lambda x: x["p"] == F.col("stage.pipeline"))
     rows = rows.withColumn("same", same).withColumn("position", F.size(F.filter("same", lambda x: x["i"] < F.col("at"))))
     names = lambda test: F.transform(F.filter("same", test), lambda x: x["argv0"])
     rows = rows.withColumn("upstream", names(lambda x: x["i"] < F.col("at"))).withColumn("downstream", names(lambda x: x["i"] > F.col("at")))
