@@ -13,8 +13,8 @@ from candidates that fail a checksum or range, and from examples written into
 places of about `PLACES` documents chosen by hash: personal data of every kind, and
 what is mistaken for it (dates, times, ISBNs, amounts, counts, serial and version
 numbers, places named after "at"), both with and without words that announce them.
-At most `SAMPLE` of these rows are used (documented bounds). Candidates that fail a
-checksum or range are never added.
+All these rows are used: three in four to learn, the rest for the thresholds. Candidates
+that fail a checksum or range are never added.
 
 Defined results: null and empty texts have no spans; a text of any length is
 searched as a whole; repeated rows, and rows with one id or none, are searched each;
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import documents, slices, written
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE = 20_000
 PLACES = 1_500
 PRECISION = 0.98
 
@@ -255,15 +254,9 @@ def _search(one_in: int):
     return run
 
 
-def train(candidates: DataFrame, sample: int = SAMPLE):
+def train(candidates: DataFrame):
     """The boosted trees and a threshold by kind, or None without both classes. candidates: rid, kind, label, features."""
     rows = candidates.where("label is not null").select("kind", "label", array_to_vector("features").alias("features"), F.xxhash64("rid", "start", "features").alias("h"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        return None, {}
-    # The share with the smallest hashes: about `sample` rows at any size.
-    share = min(1.0, sample / sum(counts.values()))
-    rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     held = F.pmod(F.shiftright("h", 24), F.lit(4)) == 0
     rows = written(rows.withColumn("held", held).withColumn("label", F.col("label").cast("double")), "pii-rows")
     learn = rows.where("not held")
