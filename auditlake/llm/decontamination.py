@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import distinct, documents, grouped, mix, slices, unused, words, written
+from auditlake.llm.common import distinct, documents, grouped, mix, resident, slices, unused, words, written
 
 SHORTEST = 5
 LEAST = 0.5
@@ -87,6 +87,7 @@ def _set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _sought(bits: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(slice, pair, document of the slice, first word in it) of what may be among the pairs sought."""
+    resident()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             h, doc, _, _ = words(part.column("text"), lower=True)
@@ -238,10 +239,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
     of_row = written(regions.groupBy("row").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("regions")), "regions")
     shared.destroy()
     shared = spark.sparkContext.broadcast(_bits(of_row.select("row")))
-    texts = source.mapInArrow(_keep(shared), "doc_id bigint, text string, row bigint")
-    said = texts.join(of_row, "row").select("doc_id", "text", "regions").mapInArrow(_cut, "doc_id bigint, item bigint, said binary")
-    scored = written(said.join(items, "item").select("doc_id", "item_id", "words", "said").mapInArrow(_score(least), _FOUND), "contaminated")
+    # Each step in Python is written: joins by broadcast would put all three into one stage, and every task would hold three workers.
+    texts = written(source.mapInArrow(_keep(shared), "doc_id bigint, text string, row bigint"), "texts")
     shared.destroy()
+    said = written(texts.join(of_row, "row").select("doc_id", "text", "regions").mapInArrow(_cut, "doc_id bigint, item bigint, said binary"), "said")
+    scored = written(said.join(items, "item").select("doc_id", "item_id", "words", "said").mapInArrow(_score(least), _FOUND), "contaminated")
     return scored.groupBy("doc_id", "item_id").agg(F.max("seeds").alias("seeds"), F.max("score").alias("score"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import documents, fold, slices
+from auditlake.llm.common import documents, fold, resident, slices
 
 DOCS_PER_LANG = 100
 CHARS_PER_LANG = 20_000
@@ -39,7 +39,6 @@ LONG = 5_000
 LANES = 48
 UNKNOWN = "und"
 
-_workers: dict[int, _Parser] = {}
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -181,11 +180,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], keep: list[str] = (), ins
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sorted(shared.value.items())))
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = _Parser(shared.value)
-        parser = _workers[key]
+        parser = resident(("language", *sorted(shared.value.items())), lambda: _Parser(shared.value))
         for batch in batches:
             if inside:
                 batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column(inside).field(field)], [*batch.schema.names, "_text"])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import distinct, documents, rolling, slices, unused, windows, words, written
+from auditlake.llm.common import distinct, documents, resident, rolling, slices, unused, windows, words, written
 from auditlake.llm.components import components
 
 SHINGLE = 4
@@ -87,6 +87,7 @@ def _signed(size: int, hashes: int):
     coordinate = np.arange(hashes, dtype=np.int64) << 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 sets = shingle_sets(part.column("text"), size)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import documents, slices, text_bytes, written
+from auditlake.llm.common import documents, resident, slices, text_bytes, written
 
 CAPACITY = 4096
 UNIT = 8
@@ -49,7 +49,6 @@ _MARK = rb"[!-&(-/:-@\[-`{-~]"
 _MARKS = re.compile(_MARK + rb"(?:" + rb"|".join(rb"(?<=%s%s)" % (x, _MARK) for x in (rb"[a-z0-9 \t\n\r]", rb"\xc3[\x9f-\xb6\xb8-\xbf]", rb"\A")) + rb")" + _MARK + rb"*+(?=[a-z0-9 \t\n\r]|\xc3[\x9f-\xb6\xb8-\xbf]|\Z)")
 #: Words of lower-case letters alone, or of marks alone: nothing to normalise and nothing to split.
 _PLAIN = re.compile(_LETTER + rb"+|" + _MARK + rb"+")
-_workers: dict[str, _Ids] = {}
 
 
 def _byte_letters() -> str:
@@ -114,9 +113,7 @@ def _pieces(capacity: int, vocabulary: str):
     end = END.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _workers:
-            _workers[vocabulary] = _Ids(vocabulary)
-        tokens = _workers[vocabulary]
+        tokens = resident(("packing", vocabulary), lambda: _Ids(vocabulary))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, at = text_bytes(part.column("text"))
