@@ -102,7 +102,10 @@ BARS = {f: r"\baffero\b|\b(lesser|library) (general public|gpl)\b|\bl?agpl|\blgp
 _OPEN, _CLOSE, _CUT = "\x02", "\x03", "\x01"
 _NUMBER = f"{_OPEN}[0-9]+{_CLOSE}"
 #: A sentence ends at a full stop before a capital letter, or at a line without a word.
-_END = rf"[.!?][\"')\]]*(?:\s|{_NUMBER})+(?=[^\w\n]*[A-ZÀ-Þ])|\n{_NUMBER}(?:[^0-9A-Za-z\n{_OPEN}]*\n{_NUMBER})+"
+#: Repeated groups are possessive: Java recurses for each turn of others, and a long run would overflow the task's stack.
+_END = rf"[.!?][\"')\]]*+(?:\s|{_NUMBER})++(?=[^\w\nÀ-Þ]*+[A-ZÀ-Þ])|\n{_NUMBER}(?:[^0-9A-Za-z\n{_OPEN}]*+\n{_NUMBER})++"
+#: A sentence up to its last plain letter or digit that isn't of a line number.
+_OWN = rf"(?s)^.*[0-9A-Za-z](?![0-9]*+{_CLOSE})"
 
 
 # A word or the beginning of one that every match of a family's marks has, in lower case.
@@ -157,7 +160,7 @@ def sentences(docs: DataFrame, hinted: bool = False) -> DataFrame:
     numbered = F.array_join(F.transform(F.split(plain, "\n"), lambda line, i: F.when(i == 0, line).otherwise(F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE), line))), "\n")
     cut = F.split(F.regexp_replace(numbered, _END, "$0" + _CUT), _CUT)
     # What a sentence's end took along of the next line isn't the sentence's.
-    own = F.transform(cut, lambda s: F.regexp_replace(s, rf"(?:\s|{_NUMBER}|[^0-9A-Za-z{_CLOSE}])+$", ""))
+    own = F.transform(cut, lambda s: F.regexp_extract(s, _OWN, 0))
     over = F.filter(own, lambda s: s.contains(_OPEN))
     if hinted:
         over = F.filter(over, lambda s: F.exists(F.array(F.lower(s)), _clue))
